@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import quality
+from millrace.llm import pii, quality, url_reputation
 from millrace.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,8 @@ def over(name: str, operator: Callable[..., DataFrame], *more: str) -> Query:
 
 
 QUERIES: dict[str, Query] = {
+    "op4_pii": over("documents", pii.op4_pii),
+    "op5_url_filters": over("pages", url_reputation.op5_url_filters, "labels"),
     "op6_quality_rules": over("documents", quality.op6_quality_rules),
 }
 
