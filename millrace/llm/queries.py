@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontam, pii, quality, url_reputation
+from millrace.llm import decontam, pii, quality, simhash, url_reputation
 from millrace.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,7 @@ def over(name: str, operator: Callable[..., DataFrame], *more: str) -> Query:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_simhash": over("documents", simhash.op1_simhash),
     "op2_decontamination": over("documents", decontam.op2_decontamination, "benchmark"),
     "op4_pii": over("documents", pii.op4_pii),
     "op5_url_filters": over("pages", url_reputation.op5_url_filters, "labels"),
