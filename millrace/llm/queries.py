@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontam, pii, quality, simhash, url_reputation, warc
+from millrace.llm import decontam, html_text, packing, pii, quality, simhash, url_reputation, warc
 from millrace.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,7 +23,9 @@ QUERIES: dict[str, Query] = {
     "op4_pii": over("documents", pii.op4_pii),
     "op5_url_filters": over("pages", url_reputation.op5_url_filters, "labels"),
     "op6_quality_rules": over("documents", quality.op6_quality_rules),
+    "op7_best_fit_packing": over("documents", packing.op7_best_fit_packing),
     "op8_warc": over("pages", warc.op8_warc),
+    "op9_html_extraction": over("pages", html_text.op9_html_extraction),
 }
 
 #: DuckDB SQL for the queries that SQL can express.
