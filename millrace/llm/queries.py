@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontam, html_text, packing, pii, quality, simhash, url_reputation, warc
+from millrace.llm import decontam, html_text, line_dedup, packing, pii, quality, simhash, url_reputation, warc
 from millrace.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,7 @@ def over(name: str, operator: Callable[..., DataFrame], *more: str) -> Query:
 QUERIES: dict[str, Query] = {
     "op1_simhash": over("documents", simhash.op1_simhash),
     "op2_decontamination": over("documents", decontam.op2_decontamination, "benchmark"),
+    "op3_line_dedup": over("documents", line_dedup.op3_line_dedup),
     "op4_pii": over("documents", pii.op4_pii),
     "op5_url_filters": over("pages", url_reputation.op5_url_filters, "labels"),
     "op6_quality_rules": over("documents", quality.op6_quality_rules),
