@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontam, html_text, line_dedup, packing, pii, quality, simhash, url_reputation, warc
+from millrace.llm import decontam, html_text, line_dedup, packing, pii, quality, run_index, simhash, url_reputation, warc
 from millrace.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,7 @@ QUERIES: dict[str, Query] = {
     "op7_best_fit_packing": over("documents", packing.op7_best_fit_packing),
     "op8_warc": over("pages", warc.op8_warc),
     "op9_html_extraction": over("pages", html_text.op9_html_extraction),
+    "op10_run_index_dedup": over("documents", run_index.op10_run_index_dedup),
 }
 
 #: DuckDB SQL for the queries that SQL can express.
