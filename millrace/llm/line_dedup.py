@@ -5,10 +5,10 @@ A line occurrence is removed if an equal line, or one within `distance` edits, o
 with a smaller id or further up in the same one. This is judged on the input, not on what is left of it. The removed
 lines leave no empty line behind; every other line stays as it was, and a text that loses nothing is unchanged.
 
-Equal lines are counted by hash (two 64-bit numbers). For the others each distinct line is cut into distance + 1
+Equal lines are counted; edits are those of UTF-8 bytes. Each distinct line is cut into distance + 1
 segments; of two lines within the distance, one holds a segment of the other in a place that its index, the lengths and
-the distance confine to a few offsets. Segments and the substrings in those places meet by hash, a 24-bit signature of
-letter parities (two edits change at most four) drops most of what merely shares a segment inside the join itself, and
+the distance confine to a few offsets. Segments and the substrings in those places meet by hash, the counts of eight
+letters (which an edit changes by two at most) drop nearly all that merely share a segment inside the join itself, and
 what is left is verified by an edit distance over the band of 2 * distance + 1 diagonals, held in the bits of one number
 for each count of errors.
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from millrace.runtime import settle
 
 BLANKS = " \t\r\x0b\x0c"
-LETTERS = "etaoinshrdlucmfwypvbgkéä"
+LETTERS = "aeinorst"
 
 
 @dataclass(frozen=True)
@@ -40,9 +40,11 @@ class LinePolicy:
 
 
 def line_rows(docs: DataFrame, policy: LinePolicy) -> DataFrame:
-    """doc_id, at (from 0), line: the lines that take part."""
+    """doc_id, at (from 0), line, place: the lines that take part; places are in the order of ids, then lines."""
     lines = docs.select("doc_id", F.posexplode(F.split(F.col("text"), "\n", -1)).alias("at", "raw"))
-    return lines.select("doc_id", "at", F.btrim("raw", F.lit(BLANKS)).alias("line")).where(F.length("line") >= policy.min_chars)
+    number = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit("-9223372036854775809").cast("decimal(20,0)"))
+    place = (number * F.lit(1 << 31).cast("decimal(11,0)") + F.col("at")).cast("decimal(38,0)")
+    return lines.select("doc_id", "at", F.btrim("raw", F.lit(BLANKS)).alias("line"), place.alias("place")).where(F.length("line") >= policy.min_chars)
 
 
 def line_id(line: Column) -> list[Column]:
@@ -50,35 +52,43 @@ def line_id(line: Column) -> list[Column]:
 
 
 def signature(line: Column) -> Column:
-    """A bit per letter: whether the line holds an odd number of it."""
-    out = F.lit(0)
-    for bit, letter in enumerate(LETTERS):
-        odd = (F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))) % 2
-        out = out.bitwiseOR(F.shiftleft(odd, bit))
+    """How often the line holds each of eight letters (255 at most), a byte each."""
+    out = F.lit(0).cast("bigint")
+    for at, letter in enumerate(LETTERS):
+        out = out.bitwiseOR(F.shiftleft(F.least(F.regexp_count(line, F.lit(letter)), F.lit(255)).cast("bigint"), 8 * at))
     return out
 
 
+def alike(a: Column, b: Column, distance: int) -> Column:
+    """Whether the counts allow the distance: an edit changes two of them by one at most."""
+    byte = lambda x, at: F.shiftrightunsigned(x, 8 * at).bitwiseAND(F.lit(255))
+    off = F.lit(0).cast("bigint")
+    for at in range(len(LETTERS)):
+        off = off + F.abs(byte(a, at) - byte(b, at))
+    return off <= 2 * distance
+
+
 def segment(size: Column, index: int, parts: int) -> tuple[Column, Column]:
     """(start from 1, length) of segment index of a line of this size; the later segments take the remainder."""
-    short = F.floor(size / parts).cast("int")
-    over = (size % parts).cast("int")
+    over = size % parts
+    short = ((size - over) / parts).cast("int")
     extra = F.greatest(F.lit(index) - (F.lit(parts) - over), F.lit(0))
     longer = (F.lit(index) >= F.lit(parts) - over).cast("int")
     return short * index + extra + 1, short + longer
 
 
-def segment_keys(line: Column, distance: int) -> Column:
-    """Hashes of the line's own segments."""
-    size, parts = F.length(line), distance + 1
+def segment_keys(line: Column, size: Column, distance: int) -> Column:
+    """Hashes of the line's own segments; line: its bytes, size: how many."""
+    parts = distance + 1
     spans = [segment(size, i, parts) for i in range(parts)]
     return F.array(*(F.xxhash64(size, F.lit(i), F.substring(line, a, n)) for i, (a, n) in enumerate(spans)))
 
 
-def probe_keys(line: Column, distance: int) -> Column:
+def probe_keys(line: Column, length: Column, distance: int) -> Column:
     """Hashes of the substrings that may be a segment of a line as long as this one or up to distance shorter."""
     parts, out = distance + 1, []
     for shorter in range(distance + 1):
-        size = F.length(line) - shorter
+        size = length - shorter
         for i in range(parts):
             start, width = segment(size, i, parts)
             for shift in range(max(-i, shorter - (distance - i)), min(i, shorter + (distance - i)) + 1):
@@ -87,18 +97,18 @@ def probe_keys(line: Column, distance: int) -> Column:
 
 
 def within(a: Column, b: Column, distance: int) -> Column:
-    """Whether b comes from a by at most distance edits.
+    """Whether b comes from a by at most distance edits; a, b: arrays of single characters, as columns of their own (an
+    expression would be taken anew at each step).
 
     For each number of errors a word of bits has the diagonals (place in a less place in b) that are reached with that
     many; a character of b moves them by one match, substitution or insertion, and then deletions run up the words."""
     middle, full = distance, (1 << (2 * distance + 1)) - 1
-    left, right = F.split(a, ""), F.split(b, "")
 
     def step(rows: Column, j: Column) -> Column:
-        c = F.get(right, j)
+        c = F.get(b, j)
         equal = F.lit(0)
         for d in range(-distance, distance + 1):
-            equal = equal.bitwiseOR(F.when((j + d >= 0) & (F.get(left, F.greatest(j + d, F.lit(0))) == c), 1 << (d + middle)).otherwise(0))
+            equal = equal.bitwiseOR(F.when((j + d >= 0) & (F.get(a, F.greatest(j + d, F.lit(0))) == c), 1 << (d + middle)).otherwise(0))
         new = [rows["r0"].bitwiseAND(equal)]
         for e in range(1, distance + 1):
             old = rows[f"r{e - 1}"]
@@ -107,42 +117,71 @@ def within(a: Column, b: Column, distance: int) -> Column:
         return F.struct(*(x.alias(f"r{e}") for e, x in enumerate(new)))
 
     start = F.struct(*(F.lit(sum(1 << (middle + d) for d in range(e + 1))).alias(f"r{e}") for e in range(distance + 1)))
-    gap = F.length(a) - F.length(b)
-    places = F.when(F.length(b) > 0, F.sequence(F.lit(0), F.length(b) - 1)).otherwise(F.array().cast("array<int>"))
+    gap = F.size(a) - F.size(b)
+    places = F.when(F.size(b) > 0, F.sequence(F.lit(0), F.size(b) - 1)).otherwise(F.array().cast("array<int>"))
     last = F.aggregate(places, start, step, lambda rows: rows[f"r{distance}"])
     return F.when(F.abs(gap) > distance, False).otherwise(last.bitwiseAND(F.get(F.array(*(F.lit(1 << d) for d in range(2 * distance + 1))), gap + middle)) != 0)
 
 
-def close_pairs(lines: DataFrame, policy: LinePolicy) -> DataFrame:
-    """lines: line, any number of times. Verified pairs of different lines: id, id2, other, other2 (both ways)."""
-    distinct = lines.select("line").distinct().select("line", F.xxhash64("line").alias("id"), signature(F.col("line")).alias("sign"))
-    parts = policy.distance + 1
-    own = distinct.select("id", "sign", F.explode(segment_keys(F.col("line"), policy.distance)).alias("key"))
-    probes = distinct.select(F.col("id").alias("probe_id"), F.col("sign").alias("probe_sign"), F.explode(probe_keys(F.col("line"), policy.distance)).alias("key"))
-    alike = F.bit_count(F.col("sign").bitwiseXOR(F.col("probe_sign"))) <= 2 * policy.distance
-    pairs = own.hint("merge").join(probes.hint("merge"), (own.key == probes.key) & (F.col("id") != F.col("probe_id")) & alike)
-    pairs = settle(pairs.select(F.least("id", "probe_id").alias("a"), F.greatest("id", "probe_id").alias("b")).distinct(), f"line-pairs-{parts}")
-    wanted = settle(pairs.select(F.col("a").alias("want")).unionByName(pairs.select(F.col("b").alias("want"))).distinct(), "lines-wanted")
-    few = wanted.limit(policy.max_broadcast + 1).count() <= policy.max_broadcast
-    texts = lines.join(F.broadcast(wanted) if few else wanted, F.xxhash64("line") == F.col("want"), "left_semi").select("line").distinct()
-    texts = settle(texts.select(F.xxhash64("line").alias("id"), "line"), "line-texts")
+def byte_chars(line: Column) -> Column:
+    """The line's UTF-8 bytes, each as a character."""
+    return F.filter(F.split(F.decode(line.cast("binary"), "ISO-8859-1"), ""), lambda x: x != "")
+
+
+def distinct_lines(lines: DataFrame, policy: LinePolicy) -> DataFrame:
+    """A row per distinct line: id, id2, first place, n, own segments, probes. The text itself is not kept."""
+    counted = lines.groupBy("line").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    raw = counted.select("first", "n", *line_id(F.col("line")), F.col("line").cast("binary").alias("raw"), F.octet_length("line").alias("size"))
+    keyed = raw.select("id", "id2", "first", "n", segment_keys(F.col("raw"), F.col("size"), policy.distance).alias("own"), probe_keys(F.col("raw"), F.col("size"), policy.distance).alias("probes"))
+    return settle(keyed, "lines")
+
+
+def close_pairs(distinct: DataFrame, lines: DataFrame, policy: LinePolicy) -> DataFrame:
+    """Verified pairs of different lines: id, id2, other, other2 (both ways).
+
+    First the segments that more than the line itself hits are found, which takes a row per probe and segment; only
+    their lines are then read again and paired."""
+    own = distinct.select("id", F.explode("own").alias("key"))
+    probes = distinct.select("id", F.explode("probes").alias("key"))
+    held = own.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    hit = probes.join(held, "key").where((F.col("low") != F.col("id")) | (F.col("high") != F.col("id")))
+    hit = settle(hit.select("key").distinct(), "segments-hit")
+    hit = F.broadcast(hit) if few_rows(hit, policy) else hit
+    own, probes = settle(own.join(hit, "key", "left_semi"), "own-hit"), settle(probes.join(hit, "key", "left_semi"), "probes-hit")
+    wanted = settle(own.select(F.col("id").alias("want")).unionByName(probes.select(F.col("id").alias("want"))).distinct(), "lines-wanted")
+    texts = lines.join(F.broadcast(wanted) if few_rows(wanted, policy) else wanted, F.xxhash64("line") == F.col("want"), "left_semi").select("line").distinct()
+    texts = settle(texts.select(F.xxhash64("line").alias("id"), "line", signature(F.col("line")).alias("sign")), "line-texts")
+    signs = texts.select("id", "sign")
+    left = settle(own.join(signs, "id"), "own-signs").hint("merge")
+    right = settle(probes.join(signs, "id").select("key", F.col("id").alias("probe_id"), F.col("sign").alias("probe_sign")), "probe-signs").hint("merge")
+    pairs = left.join(right, (left.key == right.key) & (F.col("id") != F.col("probe_id")) & alike(F.col("sign"), F.col("probe_sign"), policy.distance))
+    pairs = settle(pairs.select(F.least("id", "probe_id").alias("a"), F.greatest("id", "probe_id").alias("b")).distinct(), "line-pairs")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    checked = settle(both.select("x", "y", within(F.col("x"), F.col("y"), policy.distance).alias("close")), "lines-checked").where("close")
+    both = settle(both.select("x", "y").repartition("x", "y"), "lines-paired").select("x", "y", byte_chars(F.col("x")).alias("xs"), byte_chars(F.col("y")).alias("ys"))
+    # edits of characters are at most as many as of bytes: the built-in bound spares most pairs the exact count
+    near = F.levenshtein("x", "y", policy.distance) >= 0
+    checked = settle(both.select("x", "y", F.when(near, within(F.col("xs"), F.col("ys"), policy.distance)).otherwise(False).alias("close")), "lines-checked").where("close")
     one = checked.select(*line_id(F.col("x")), F.xxhash64("y").alias("other"), F.xxhash64(F.lit(1), "y").alias("other2"))
     return one.unionByName(one.select(F.col("other").alias("id"), F.col("other2").alias("id2"), F.col("id").alias("other"), F.col("id2").alias("other2")))
 
 
+def few_rows(frame: DataFrame, policy: LinePolicy) -> bool:
+    return frame.limit(policy.max_broadcast + 1).count() <= policy.max_broadcast
+
+
 def removed_lines(docs: DataFrame, policy: LinePolicy | None = None) -> DataFrame:
     """doc_id, places: sorted places of the lines that go; documents that lose none are missing."""
     policy = policy or LinePolicy()
     lines = line_rows(docs.select("doc_id", "text"), policy)
-    pairs = settle(close_pairs(lines, policy), "line-links")
-    places = lines.select("doc_id", "at", *line_id(F.col("line")))
-    firsts = settle(places.groupBy("id", "id2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")), "line-firsts")
-    near = pairs.join(firsts.select(F.col("id").alias("other"), F.col("id2").alias("other2"), F.col("first").alias("near")), ["other", "other2"]).groupBy("id", "id2").agg(F.min("near").alias("near"))
+    distinct = distinct_lines(lines, policy)
+    pairs = settle(close_pairs(distinct, lines, policy), "line-links")
+    firsts = distinct.select("id", "id2", "first", "n")
+    others = distinct.select(F.col("id").alias("other"), F.col("id2").alias("other2"), F.col("first").alias("near"))
+    near = pairs.join(others, ["other", "other2"]).groupBy("id", "id2").agg(F.min("near").alias("near"))
     decided = firsts.join(near, ["id", "id2"], "left").withColumn("stays", F.least("first", F.coalesce("near", "first"))).where((F.col("n") > 1) | (F.col("stays") < F.col("first")))
     decided = settle(decided.select("id", "id2", "stays"), "line-decisions")
-    gone = places.join(decided.hint("merge"), ["id", "id2"]).where(F.struct("doc_id", "at") > F.col("stays"))
+    decided = F.broadcast(decided) if few_rows(decided, policy) else decided.hint("merge")
+    gone = lines.select("doc_id", "at", "place", *line_id(F.col("line"))).join(decided, ["id", "id2"]).where(F.col("place") > F.col("stays"))
     return settle(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("places")), "lines-removed")
 
 
