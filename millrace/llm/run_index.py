@@ -53,19 +53,18 @@ class RepeatPolicy:
 # Phrases
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
-
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
     """A hash of the 16 bytes from each place on."""
     n = len(raw) - 7
     words = np.empty(n, np.uint64)
     for at in range(min(8, n)):
         words[at::8] = raw[at : at + (n - at + 7) // 8 * 8].view("<u8")
-    return mixed(mixed(words[:-8]) + words[8:])
+    out = words[:-8] * np.uint64(0x9E3779B97F4A7C15)
+    out ^= out >> np.uint64(32)
+    out += words[8:]
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(31)
+    return out
 
 
 def least_hashes(raw: np.ndarray, length: int) -> np.ndarray:
@@ -79,23 +78,48 @@ def least_hashes(raw: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def phrases(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first string, number of strings) of each phrase of a text."""
+@dataclass
+class Block:
+    """Some documents laid end to end. row, doc: of each; edge: where they begin, and the end. hashes, starts, counts,
+    owner: of their phrases (hash, first string, number of strings, which document)."""
+
+    row: np.ndarray
+    doc: np.ndarray
+    raw: np.ndarray
+    edge: np.ndarray
+    hashes: np.ndarray
+    starts: np.ndarray
+    counts: np.ndarray
+    owner: np.ndarray
+
+
+def phrases(raw: np.ndarray, edge: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first string, number of strings, document) of each phrase; no string crosses an edge."""
     if len(raw) < length:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     least = least_hashes(raw, length)
-    starts = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+    change = np.concatenate(([True], least[1:] != least[:-1]))
+    begins, stops = np.minimum(edge[:-1], len(least)), np.clip(edge[1:] - length + 1, 0, len(least))
+    # a run ends with the last string that its document holds whole: what begins there is cut off
+    change[begins[begins < len(least)]] = True
+    change[stops[stops < len(least)]] = True
+    starts = np.flatnonzero(change)
     counts = np.diff(np.append(starts, len(least)))
+    owner = np.searchsorted(edge, starts, side="right") - 1
+    whole = starts < stops[owner]
+    starts, counts, owner = starts[whole], counts[whole], owner[whole]
     if (counts > MOST_STRINGS).any():
         pieces = -(-counts // MOST_STRINGS)
         within = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         starts = np.repeat(starts, pieces) + within * MOST_STRINGS
         counts = np.minimum(np.repeat(counts, pieces) - within * MOST_STRINGS, MOST_STRINGS)
-    return least[starts], starts, counts
+        owner = np.repeat(owner, pieces)
+    return least[starts], starts, counts, owner
 
 
 def buckets_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return (mixed(hashes) >> np.uint64(33)).astype(np.int64) % buckets
+    spread_out = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return (spread_out >> np.uint64(33)).astype(np.int64) % buckets
 
 
 def bytes_of(text: pa.Scalar) -> np.ndarray:
@@ -103,14 +127,27 @@ def bytes_of(text: pa.Scalar) -> np.ndarray:
     return np.frombuffer(raw, np.uint8) if raw is not None else np.empty(0, np.uint8)
 
 
-def documents(table: pa.Table) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(row, id, bytes) of a batch of documents."""
-    ids = table.column("id").to_pylist()
-    row = 0
-    for chunk in table.column("text").cast(pa.large_binary()).chunks:
-        for text in chunk:
-            yield row, ids[row], bytes_of(text)
-            row += 1
+def blocks(table: pa.Table, length: int, size: int = 1 << 18) -> Iterator[Block]:
+    """The documents of a batch, some at a time."""
+    ids = table.column("id").to_numpy().astype(np.int64) if table.num_rows else np.empty(0, np.int64)
+    texts = (text for chunk in table.column("text").cast(pa.large_binary()).chunks for text in chunk)
+    held: list[np.ndarray] = []
+    first, total = 0, 0
+
+    def block() -> Block:
+        raw = np.concatenate(held)
+        edge = np.concatenate(([0], np.cumsum([len(x) for x in held])))
+        rows = np.arange(first, first + len(held))
+        return Block(rows, ids[rows], raw, edge, *phrases(raw, edge, length))
+
+    for text in texts:
+        held.append(bytes_of(text))
+        total += len(held[-1])
+        if total >= size:
+            yield block()
+            first, total, held = first + len(held), 0, []
+    if held:
+        yield block()
 
 
 def spread(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -125,21 +162,22 @@ def spread(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
 
 def hashes_of(table: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes in one document of the batch, and those in several."""
-    parts, ids = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    for _, doc, raw in documents(table):
-        own = np.unique(phrases(raw, length)[0])
-        parts.append(own)
-        ids.append(np.full(len(own), doc))
-    every, owner = np.concatenate(parts), np.concatenate(ids)
-    order = np.lexsort((owner, every))
-    every, owner = every[order], owner[order]
-    new = np.concatenate(([True], every[1:] != every[:-1])) if len(every) else np.empty(0, bool)
-    starts = np.flatnonzero(new)
-    if not len(starts):
-        return every, every
-    ends = np.append(starts[1:], len(every)) - 1
-    several = owner[starts] != owner[ends]
-    return every[starts][~several], every[starts][several]
+    parts = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))]
+    for block in blocks(table, length):
+        values, low, high = extremes(block.hashes, block.doc[block.owner], block.doc[block.owner])
+        parts.append((values, low, high))
+    values, low, high = extremes(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    return values[low == high], values[low != high]
+
+
+def extremes(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values, with the least low and the greatest high of each."""
+    if not len(values):
+        return values, low, high
+    order = np.argsort(values)
+    values = values[order]
+    starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+    return values[starts], np.minimum.reduceat(low[order], starts), np.maximum.reduceat(high[order], starts)
 
 
 def report(table: pa.Table, batch: int, length: int, buckets: int) -> pa.Table:
@@ -154,62 +192,93 @@ def report(table: pa.Table, batch: int, length: int, buckets: int) -> pa.Table:
 
 
 def shared_hashes(table: pa.Table) -> pa.Table:
-    """For each batch the hashes of its single documents that others have too."""
+    """For each batch those of its hashes that several documents have, in the batch or beyond it."""
     batches = table.column("batch").to_pylist()
     ones = [np.frombuffer(x, np.uint64) for x in table.column("ones").to_pylist()]
     many = [np.frombuffer(x, np.uint64) for x in table.column("many").to_pylist()]
-    every = np.concatenate((*ones, *many, *many))  # those of several documents of one batch count twice
-    values, counts = np.unique(every, return_counts=True)
-    shared = values[counts > 1]
+    every = np.sort(np.concatenate((*ones, *many, *many)))  # those of several documents of one batch count twice
+    again = every[1:] == every[:-1]
+    shared = every[1:][again]
     rows = []
-    for batch, own in zip(batches, ones, strict=True):
-        found = own[np.isin(own, shared, kind="sort")]
+    for batch, own, sure in zip(batches, ones, many, strict=True):
+        found = np.concatenate((own[among(own, shared)], sure))
         if len(found):
             rows.append((batch, found.tobytes(), b"", b""))
     return as_table(rows, REPLY)
 
 
+def among(values: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which values a sorted array holds."""
+    if not len(held):
+        return np.zeros(len(values), bool)
+    return held[np.minimum(np.searchsorted(held, values), len(held) - 1)] == values
+
+
 # Round two: the dictionary and its index
 
 
-def entries_of(table: pa.Table, shared: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """The batch's distinct phrases with a shared hash, as sorted rows of bytes (hash, number of strings, text, padding);
-    the least id that has each; and for each document (row of the table, first strings, entries)."""
-    width = length - 1 + MOST_STRINGS
-    rows, owners, found = [np.empty((0, 9 + width), np.uint8)], [np.empty(0, np.int64)], []
+def row_bytes(length: int) -> int:
+    """An entry: its hash, its number of strings, its text and padding, in whole words."""
+    return (9 + length - 1 + MOST_STRINGS + 7) // 8 * 8
+
+
+@dataclass
+class Found:
+    block: Block
+    starts: np.ndarray
+    counts: np.ndarray
+    owner: np.ndarray
+    entry: np.ndarray
+
+
+def entries_of(table: pa.Table, shared: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, list[Found]]:
+    """The batch's distinct phrases with a shared hash, as rows of bytes in order; the least id that has each; and what
+    each block of documents has of them."""
+    width, every = length - 1 + MOST_STRINGS, row_bytes(length)
+    rows, owners, found = [np.empty((0, every), np.uint8)], [np.empty(0, np.int64)], []
     reach = np.arange(width)
-    for row, doc, raw in documents(table):
-        hashes, starts, counts = phrases(raw, length)
-        at = np.searchsorted(shared, hashes)
-        hit = shared[np.minimum(at, len(shared) - 1)] == hashes if len(shared) else np.zeros(len(hashes), bool)
-        hashes, starts, counts = hashes[hit], starts[hit], counts[hit]
-        if not len(hashes):
-            continue
-        places = starts[:, None] + reach
-        body = raw[np.minimum(places, len(raw) - 1)] * (reach < (counts + length - 1)[:, None])
-        rows.append(np.concatenate((hashes.astype(">u8").view(np.uint8).reshape(-1, 8), counts.astype(np.uint8)[:, None], body), axis=1))
-        owners.append(np.full(len(hashes), doc))
-        found.append((row, starts, counts))
-    every, owner = np.concatenate(rows), np.concatenate(owners)
-    entries, least, entry_of = distinct_rows(every, owner)
-    out, at = [], 0
-    for row, starts, counts in found:
-        out.append((row, starts, counts, entry_of[at : at + len(starts)]))
-        at += len(starts)
-    return entries, least, out
+    for block in blocks(table, length):
+        hit = among(block.hashes, shared)
+        hashes, starts, counts, owner = block.hashes[hit], block.starts[hit], block.counts[hit], block.owner[hit]
+        part = np.zeros((len(hashes), every), np.uint8)
+        part[:, :8] = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
+        part[:, 8] = counts
+        if len(hashes):
+            padded = np.concatenate((block.raw, np.zeros(width, np.uint8)))
+            body = np.lib.stride_tricks.sliding_window_view(padded, width)[starts]
+            np.multiply(body, reach < (counts + length - 1)[:, None], out=part[:, 9 : 9 + width])
+        rows.append(part)
+        owners.append(block.doc[owner])
+        found.append(Found(block, starts, counts, owner, np.empty(0, np.int64)))
+    entries, least, entry_of = distinct_rows(np.concatenate(rows), np.concatenate(owners))
+    at = 0
+    for x in found:
+        x.entry = entry_of[at : at + len(x.starts)]
+        at += len(x.starts)
+    return entries, least, found
 
 
 def distinct_rows(rows: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct rows, sorted; the least owner of each; and which of them each row is."""
+    """The distinct rows in the order of their hash and a second one; the least owner of each; which of them each is."""
     if not len(rows):
         return rows, owner, np.empty(0, np.int64)
-    packed = np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").ravel()
-    order = np.argsort(packed, kind="stable")
-    new = np.concatenate(([True], (rows[order][1:] != rows[order][:-1]).any(axis=1)))
+    words = np.ascontiguousarray(rows).view("<u8")
+    second = np.zeros(len(rows), np.uint64)
+    for at in range(1, words.shape[1]):
+        second = (second ^ words[:, at]) * np.uint64(0x9E3779B97F4A7C15)
+        second ^= second >> np.uint64(32)
+    order = np.lexsort((second, hash_of(rows)))
+    ranked = words[order]
+    new = np.concatenate(([True], (ranked[1:] != ranked[:-1]).any(axis=1)))
+    keyed = np.concatenate(([True], (ranked[1:, 0] != ranked[:-1, 0]) | (second[order][1:] != second[order][:-1])))
+    if (new != keyed).any():  # two texts of one pair of hashes: told apart by their bytes
+        order = np.lexsort((np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").ravel().argsort(kind="stable").argsort(), second, hash_of(rows)))
+        ranked = words[order]
+        new = np.concatenate(([True], (ranked[1:] != ranked[:-1]).any(axis=1)))
     starts = np.flatnonzero(new)
     entry = np.empty(len(rows), np.int64)
     entry[order] = np.cumsum(new) - 1
-    return rows[order][starts], np.minimum.reduceat(owner[order], starts), entry
+    return rows[order[starts]], np.minimum.reduceat(owner[order], starts), entry
 
 
 def hash_of(rows: np.ndarray) -> np.ndarray:
@@ -217,9 +286,8 @@ def hash_of(rows: np.ndarray) -> np.ndarray:
 
 
 def offer(table: pa.Table, replies: pa.Table, batch: int, length: int, buckets: int) -> pa.Table:
-    _, several = hashes_of(table, length)
     parts = [np.frombuffer(x, np.uint64) for x in replies.column("hashes").to_pylist()]
-    shared = np.unique(np.concatenate((several, *parts)))
+    shared = np.sort(np.concatenate((*parts, np.empty(0, np.uint64))))
     entries, least, _ = entries_of(table, shared, length)
     where = buckets_of(hash_of(entries), buckets)
     order = np.argsort(where, kind="stable")
@@ -262,12 +330,13 @@ class RunIndex:
     def sorted_suffixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """The order of the suffixes, and whether each agrees with the one before it in length symbols (none of them
         counts as agreeing beyond the last zero)."""
-        n = len(text)
-        padded = np.concatenate((text.astype(np.uint64), np.zeros(3, np.uint64)))
-        key = (padded[:n] << np.uint64(27)) | (padded[1 : n + 1] << np.uint64(18)) | (padded[2 : n + 2] << np.uint64(9)) | padded[3 : n + 3]
-        depth, near = 4, None
+        n, depth, near = len(text), 7, None
+        padded = np.concatenate((text.astype(np.uint64), np.zeros(depth, np.uint64)))
+        key = np.zeros(n, np.uint64)
+        for at in range(depth):
+            key = (key << np.uint64(9)) | padded[at : at + n]
         while True:
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             ranked = key[order]
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(np.concatenate(([0], ranked[1:] != ranked[:-1])))
@@ -322,7 +391,7 @@ class RunIndex:
 
 def resolve(table: pa.Table, length: int) -> pa.Table:
     """For each batch's entries the least id of all batches, and the marks within that id's document."""
-    width = 9 + length - 1 + MOST_STRINGS
+    width, body = row_bytes(length), 9 + length - 1 + MOST_STRINGS
     batches = table.column("batch").to_pylist()
     parts = [np.frombuffer(x, np.uint8).reshape(-1, width) for x in table.column("entries").to_pylist()]
     owners = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("least").to_pylist()])
@@ -332,7 +401,7 @@ def resolve(table: pa.Table, length: int) -> pa.Table:
     several = np.concatenate((same, [False])) | np.concatenate(([False], same))
     marks = np.zeros(len(entries), np.uint64)
     if several.any():
-        texts, own_counts = np.ascontiguousarray(entries[several, 9:]), counts[several]
+        texts, own_counts = np.ascontiguousarray(entries[several, 9:body]), counts[several]
         index = RunIndex(texts, own_counts + length - 1, least[several], length)
         marks[several] = index.marks(texts, own_counts, least[several])
     rows, at = [], 0
@@ -357,25 +426,23 @@ def cut(table: pa.Table, replies: pa.Table, length: int) -> pa.Table:
     marks = np.concatenate((*parts[2], np.empty(0, np.uint64)))[order]
     if not np.array_equal(hash_of(entries), hashes[order]):
         raise RuntimeError("the replies don't fit the batch")
-    by_row = {row: (starts, counts, entry) for row, starts, counts, entry in found}
     rows, kept = [], []
-    for row, doc, raw in documents(table):
-        gone = np.zeros(len(raw), bool)
-        if row in by_row:
-            starts, counts, entry = by_row[row]
-            bits = np.where(least[entry] < doc, np.uint64(0xFFFFFFFFFFFFFFFF), np.where(least[entry] == doc, marks[entry], np.uint64(0)))
-            string = np.arange(MOST_STRINGS, dtype=np.uint64)
-            hit = ((bits[:, None] >> string) & np.uint64(1)).astype(bool) & (np.arange(MOST_STRINGS) < counts[:, None])
-            places = (starts[:, None] + np.arange(MOST_STRINGS))[hit]
-            if len(places):
-                edge = np.zeros(len(raw) + 1, np.int64)
-                np.add.at(edge, places, 1)
-                np.add.at(edge, places + length, -1)
-                gone = np.cumsum(edge)[:-1] > 0
-        spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + bool(len(gone) and gone[0]))
-        rest = raw[~gone].tobytes()
-        rows.append((len(raw), int(gone.sum()), spans, hashlib.sha256(rest).hexdigest()))
-        kept.append(rest)
+    string = np.arange(MOST_STRINGS, dtype=np.uint64)
+    for x in found:
+        block, doc = x.block, x.block.doc[x.owner]
+        bits = np.where(least[x.entry] < doc, np.uint64(0xFFFFFFFFFFFFFFFF), np.where(least[x.entry] == doc, marks[x.entry], np.uint64(0)))
+        hit = ((bits[:, None] >> string) & np.uint64(1)).astype(bool) & (np.arange(MOST_STRINGS) < x.counts[:, None])
+        places = (x.starts[:, None] + np.arange(MOST_STRINGS))[hit]
+        size = len(block.raw)
+        depth = np.bincount(places, minlength=size + 1) - np.bincount(places + length, minlength=size + 1)
+        gone = np.cumsum(depth)[:size] > 0
+        for a, b in zip(block.edge[:-1].tolist(), block.edge[1:].tolist(), strict=True):
+            raw, out = block.raw[a:b], gone[a:b]
+            lost = int(out.sum())
+            spans = int(np.count_nonzero(out[1:] & ~out[:-1]) + bool(lost and out[0])) if lost else 0
+            rest = (raw[~out] if lost else raw).tobytes()
+            rows.append((len(raw), lost, spans, hashlib.sha256(rest).hexdigest()))
+            kept.append(rest)
     columns = list(zip(*rows, strict=True)) or [()] * 4
     return pa.table(
         {"doc_id": table.column("doc_id"), "n_bytes": pa.array(columns[0], pa.int64()), "n_removed": pa.array(columns[1], pa.int64()), "n_spans": pa.array(columns[2], pa.int64()), "kept_sha256": pa.array(columns[3], pa.string()), "kept": pa.array(kept, pa.binary())}
