@@ -195,28 +195,36 @@ def dedup_lines(docs: DataFrame, policy: LinePolicy | None = None, drop_emptied:
     has none left that is long enough to take part holds only scraps, and is dropped if drop_emptied; those that lost
     nothing always stay."""
     policy = policy or LinePolicy()
-    gone = with_removed(docs, policy)
-    out = gone.withColumn("text", without_lines(F.col("text"), F.col("lines__gone")))
+    found, gone = with_removed(docs, policy)
+    out = found.withColumn("text", without_lines(F.col("text"), F.col(gone)))
     if drop_emptied:
-        out = out.where(F.col("lines__gone").isNull() | F.exists(F.split("text", "\n", -1), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) >= policy.min_chars))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+        out = out.where(F.col(gone).isNull() | F.exists(F.split("text", "\n", -1), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) >= policy.min_chars))
+    return out.drop(gone)
 
 
-def with_removed(docs: DataFrame, policy: LinePolicy) -> DataFrame:
-    """docs with column lines__gone: the places to remove, null where there are none."""
-    gone = removed_lines(docs, policy).select(F.col("doc_id").alias("gone__id"), F.col("places").alias("lines__gone"))
-    few = gone.limit(policy.max_broadcast + 1).agg(F.count("*").alias("n"), F.sum(F.size("lines__gone")).alias("places")).first()
+def with_removed(docs: DataFrame, policy: LinePolicy) -> tuple[DataFrame, str]:
+    """docs with the places to remove, null where there are none, and the name of that column, which docs doesn't use."""
+    key, places = free_name(docs, "gone_id"), free_name(docs, "gone")
+    gone = removed_lines(docs, policy).select(F.col("doc_id").alias(key), F.col("places").alias(places))
+    few = gone.limit(policy.max_broadcast + 1).agg(F.count("*").alias("n"), F.sum(F.size(places)).alias("places")).first()
     small = few["n"] <= policy.max_broadcast and (few["places"] or 0) <= 10 * policy.max_broadcast
-    return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"].eqNullSafe(gone["gone__id"]), "left").drop("gone__id")
+    joined = docs.join(F.broadcast(gone) if small else gone, docs["doc_id"].eqNullSafe(gone[key]), "left")
+    return joined.drop(key), places
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    while name in docs.columns:
+        name += "_"
+    return name
 
 
 def op3_line_dedup(docs: DataFrame) -> DataFrame:
     """Per document: lines, lines removed, and the digest of the text that is left."""
-    found = with_removed(docs.select("doc_id", "text"), LinePolicy())
+    found, gone = with_removed(docs.select("doc_id", "text"), LinePolicy())
     text = F.coalesce(F.col("text"), F.lit(""))
     return found.select(
         "doc_id",
         F.size(F.split(text, "\n", -1)).cast("bigint").alias("n_lines"),
-        F.coalesce(F.size("lines__gone"), F.lit(0)).cast("bigint").alias("n_removed"),
-        F.sha2(without_lines(text, F.col("lines__gone")), 256).alias("kept_sha256"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("bigint").alias("n_removed"),
+        F.sha2(without_lines(text, F.col(gone)), 256).alias("kept_sha256"),
     )

@@ -152,7 +152,9 @@ def blocks(table: pa.Table, length: int, size: int = 1 << 18) -> Iterator[Block]
 
 def spread(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
     """The stretches of a sorted array."""
-    edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else []
+    if not len(bucket):
+        return
+    edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
     for a, b in zip(edges, [*edges[1:], len(bucket)], strict=True):
         yield int(bucket[a]), slice(int(a), int(b))
 
