@@ -705,7 +705,7 @@ def _(spark, d):
     "mount_union_cap",
     """WITH c AS (SELECT user_id, event_type AS doc, count(*) AS n, max(event_id) AS newest FROM events GROUP BY ALL), a AS (SELECT user_id, doc, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, doc) AS rank FROM c),
  b AS (SELECT user_id, doc, row_number() OVER (PARTITION BY user_id ORDER BY newest DESC) AS rank FROM c), x AS (SELECT user_id, doc, 0 AS part, rank FROM a WHERE rank <= 2 UNION ALL SELECT user_id, doc, 1, rank FROM b WHERE rank <= 3),
- m AS (SELECT user_id, doc, min(part * 100 + rank) AS at FROM x GROUP BY ALL), p AS (SELECT user_id, doc, row_number() OVER (PARTITION BY user_id ORDER BY at, doc) AS place FROM m),
+ m AS (SELECT user_id, doc, min(part * 100 + rank) AS spot FROM x GROUP BY ALL), p AS (SELECT user_id, doc, row_number() OVER (PARTITION BY user_id ORDER BY spot, doc) AS place FROM m),
  k AS (SELECT user_id, greatest(count(*) FILTER (part = 0), count(*) FILTER (part = 1)) AS cap FROM x GROUP BY user_id) SELECT user_id, doc, place FROM p JOIN k USING (user_id) WHERE place <= cap""",
 )
 def _(spark, d):
