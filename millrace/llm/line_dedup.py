@@ -7,7 +7,7 @@ lines leave no empty line behind; every other line stays as it was, and a text t
 
 Equal lines are counted; edits are those of UTF-8 bytes. Each distinct line is cut into distance + 1
 segments; of two lines within the distance, one holds a segment of the other in a place that its index, the lengths and
-the distance confine to a few offsets. Segments and the substrings in those places meet by hash, the counts of eight
+the distance confine to a few offsets. Segments and the substrings in those places meet by hash, the counts of 24
 letters (which an edit changes by two at most) drop nearly all that merely share a segment inside the join itself, and
 what is left is verified by an edit distance over the band of 2 * distance + 1 diagonals, held in the bits of one number
 for each count of errors.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from millrace.runtime import settle
 
 BLANKS = " \t\r\x0b\x0c"
-LETTERS = "aeinorst"
+LETTERS = ("aeinorst", "bcdfghlm", "kpuvwyz ")
 
 
 @dataclass(frozen=True)
@@ -52,19 +52,23 @@ def line_id(line: Column) -> list[Column]:
 
 
 def signature(line: Column) -> Column:
-    """How often the line holds each of eight letters (255 at most), a byte each."""
-    out = F.lit(0).cast("bigint")
-    for at, letter in enumerate(LETTERS):
-        out = out.bitwiseOR(F.shiftleft(F.least(F.regexp_count(line, F.lit(letter)), F.lit(255)).cast("bigint"), 8 * at))
-    return out
+    """How often the line holds each of 24 letters (255 at most), a byte each, in an array of three numbers."""
+    words = []
+    for letters in LETTERS:
+        out = F.lit(0).cast("bigint")
+        for at, letter in enumerate(letters):
+            out = out.bitwiseOR(F.shiftleft(F.least(F.regexp_count(line, F.lit(letter)), F.lit(255)).cast("bigint"), 8 * at))
+        words.append(out)
+    return F.array(*words)
 
 
 def alike(a: Column, b: Column, distance: int) -> Column:
     """Whether the counts allow the distance: an edit changes two of them by one at most."""
-    byte = lambda x, at: F.shiftrightunsigned(x, 8 * at).bitwiseAND(F.lit(255))
     off = F.lit(0).cast("bigint")
-    for at in range(len(LETTERS)):
-        off = off + F.abs(byte(a, at) - byte(b, at))
+    for word, letters in enumerate(LETTERS):
+        byte = lambda x, at: F.shiftrightunsigned(x[word], 8 * at).bitwiseAND(F.lit(255))
+        for at in range(len(letters)):
+            off = off + F.abs(byte(a, at) - byte(b, at))
     return off <= 2 * distance
 
 
@@ -85,14 +89,16 @@ def segment_keys(line: Column, size: Column, distance: int) -> Column:
 
 
 def probe_keys(line: Column, length: Column, distance: int) -> Column:
-    """Hashes of the substrings that may be a segment of a line as long as this one or up to distance shorter."""
+    """Hashes of the substrings that may be a segment of a line as long as this one or up to distance shorter; the line's
+    own segments, which are substrings of this kind as well, are left out."""
     parts, out = distance + 1, []
     for shorter in range(distance + 1):
         size = length - shorter
         for i in range(parts):
             start, width = segment(size, i, parts)
             for shift in range(max(-i, shorter - (distance - i)), min(i, shorter + (distance - i)) + 1):
-                out.append(F.xxhash64(size, F.lit(i), F.substring(line, start + shift, width)))
+                if shorter or shift:
+                    out.append(F.xxhash64(size, F.lit(i), F.substring(line, start + shift, width)))
     return F.array(*out)
 
 
@@ -139,13 +145,13 @@ def distinct_lines(lines: DataFrame, policy: LinePolicy) -> DataFrame:
 def close_pairs(distinct: DataFrame, lines: DataFrame, policy: LinePolicy) -> DataFrame:
     """Verified pairs of different lines: id, id2, other, other2 (both ways).
 
-    First the segments that more than the line itself hits are found, which takes a row per probe and segment; only
+    First the segments that more than the line itself hits are found, from hashes alone, without saying whose; only
     their lines are then read again and paired."""
     own = distinct.select("id", F.explode("own").alias("key"))
     probes = distinct.select("id", F.explode("probes").alias("key"))
-    held = own.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    hit = probes.join(held, "key").where((F.col("low") != F.col("id")) | (F.col("high") != F.col("id")))
-    hit = settle(hit.select("key").distinct(), "segments-hit")
+    held = own.groupBy("key").agg(F.count("*").alias("n"))
+    hit = held.join(probes.select("key", F.lit(True).alias("probed")).distinct(), "key", "left").where((F.col("n") > 1) | F.col("probed"))
+    hit = settle(hit.select("key"), "segments-hit")
     hit = F.broadcast(hit) if few_rows(hit, policy) else hit
     own, probes = settle(own.join(hit, "key", "left_semi"), "own-hit"), settle(probes.join(hit, "key", "left_semi"), "probes-hit")
     wanted = settle(own.select(F.col("id").alias("want")).unionByName(probes.select(F.col("id").alias("want"))).distinct(), "lines-wanted")
@@ -153,7 +159,7 @@ def close_pairs(distinct: DataFrame, lines: DataFrame, policy: LinePolicy) -> Da
     texts = settle(texts.select(F.xxhash64("line").alias("id"), "line", signature(F.col("line")).alias("sign")), "line-texts")
     signs = texts.select("id", "sign")
     left = settle(own.join(signs, "id"), "own-signs").hint("merge")
-    right = settle(probes.join(signs, "id").select("key", F.col("id").alias("probe_id"), F.col("sign").alias("probe_sign")), "probe-signs").hint("merge")
+    right = settle(own.unionByName(probes).join(signs, "id").select("key", F.col("id").alias("probe_id"), F.col("sign").alias("probe_sign")), "probe-signs").hint("merge")
     pairs = left.join(right, (left.key == right.key) & (F.col("id") != F.col("probe_id")) & alike(F.col("sign"), F.col("probe_sign"), policy.distance))
     pairs = settle(pairs.select(F.least("id", "probe_id").alias("a"), F.greatest("id", "probe_id").alias("b")).distinct(), "line-pairs")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
