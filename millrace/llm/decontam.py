@@ -150,7 +150,8 @@ def leak_report(docs: DataFrame, benchmark: DataFrame, policy: LeakPolicy | None
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, policy: LeakPolicy | None = None) -> DataFrame:
     """The documents that hold no window of the benchmark, with their own columns."""
     leaks, _ = find_leaks(docs, benchmark, policy)
-    dirty = leaks.select(F.col("doc_id").alias("leak__id")).distinct()
+    dirty = settle(leaks.select(F.col("doc_id").alias("leak__id")).distinct(), "leaky")
+    dirty = F.broadcast(dirty) if small(dirty, policy or LeakPolicy()) else dirty
     return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["leak__id"]), "left_anti")
 
 

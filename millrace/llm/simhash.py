@@ -33,6 +33,8 @@ from millrace.llm.components import smallest_reachable
 from millrace.runtime import settle
 
 SEED = 42
+#: Rows of ids that are broadcast at most.
+MOST_BROADCAST = 200_000
 
 
 @dataclass(frozen=True)
@@ -123,7 +125,9 @@ def drop_near_duplicates(docs: DataFrame, policy: SimHashPolicy | None = None) -
     """One document of each group stays, that with the least id; rows that repeat it stay with it, as do rows without
     an id."""
     groups = near_duplicate_groups(docs.select("doc_id", "text"), policy)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone__id")).distinct()
+    gone = settle(groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone__id")).distinct(), "copies")
+    if gone.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:  # else the texts are shuffled
+        gone = F.broadcast(gone)
     return docs.join(gone, docs["doc_id"] == gone["gone__id"], "left_anti")
 
 
