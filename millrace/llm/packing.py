@@ -39,12 +39,14 @@ class PackPolicy:
     capacity: int = 4096
     end_id: int = 1
     max_nodes: int = 4_000
-    cache_words: int = 300_000
+    cache_words: int = 400_000
     longest_cached: int = 48
 
 
 # Tokens
 
+MARKS = frozenset(b".,;:!?")
+
 
 class ChunkTokenizer:
     """Tokenizes texts through their chunks between ASCII blanks.
@@ -66,28 +68,37 @@ class ChunkTokenizer:
 
     def learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         """The ids of chunks that aren't known yet, as little-endian unsigned 32-bit numbers."""
+        if not chunks:
+            return {}
         done = self.encoder.encode_batch_fast([x.decode("utf-8", "replace") for x in chunks], add_special_tokens=False)
         return {x: np.array(e.ids, "<u4").tobytes() for x, e in zip(chunks, done, strict=True)}
 
+    def resolve(self, new: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of new chunks. One mark after a letter or digit is a piece of its own and is taken apart, so that a
+        word is learned once with and without it."""
+        known, limit = self.known, self.policy.longest_cached
+        parts = {x: (x[:-1], x[-1:]) for x in new if len(x) > 1 and x[-1] in MARKS and chr(x[-2]).isascii() and chr(x[-2]).isalnum()}
+        wanted = {y for pair in parts.values() for y in pair} | {x for x in new if x not in parts}
+        learned = self.learn([x for x in wanted if x not in known])
+        found = {x: learned[x] if x in learned else known[x] for x in wanted}
+        out = {x: found[parts[x][0]] + found[parts[x][1]] if x in parts else found[x] for x in new}
+        if len(known) + len(learned) > self.policy.cache_words:
+            known.clear()
+        known.update((x, ids) for x, ids in learned.items() if len(x) <= limit)
+        return out
+
     def encode(self, text: str | None) -> bytes:
-        chunks = (text or "").encode("utf-8", "surrogatepass").split()
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        if b"<|" not in raw:  # special tokens alone mind the case; the tokenizer takes all else in small letters
+            raw = raw.lower()
+        chunks = raw.split()
         known = self.known
-        new = [x for x in set(chunks) if x not in known]
-        extra = {}
-        if new:
-            learned = self.learn(new)
-            if len(known) + len(learned) > self.policy.cache_words:
-                known.clear()
-                extra = self.learn(list(set(chunks) - learned.keys()))
-            longest = self.policy.longest_cached
-            for x, ids in learned.items():
-                if len(x) <= longest:
-                    known[x] = ids
-                else:
-                    extra[x] = ids
-        if extra:
-            return b"".join([extra[x] if x in extra else known[x] for x in chunks])
-        return b"".join([known[x] for x in chunks])
+        new = {x for x in chunks if x not in known}
+        if not new:
+            return b"".join([known[x] for x in chunks])
+        held = {x: known[x] for x in chunks if x in known} if len(known) + len(new) > self.policy.cache_words else known
+        extra = self.resolve(new)
+        return b"".join([extra[x] if x in extra else held[x] for x in chunks])
 
 
 def token_pieces(docs: DataFrame, policy: PackPolicy) -> DataFrame:
@@ -226,6 +237,8 @@ def fillings(counts: np.ndarray, gap: int, limit: int = 3, widest: int = 64) ->
                     found.append(trio)
         if len(found) >= limit:
             break
+    if not found:  # what the bounds promised needs more pieces of a length than there are
+        found.append((top,))
     return [(*forced, *x) for x in undominated(found)[:limit]]
 
 
