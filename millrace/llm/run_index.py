@@ -472,7 +472,8 @@ def remove_repeats(docs: DataFrame, policy: RepeatPolicy | None = None) -> DataF
     docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(int(LAST))).cast("bigint").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     size = min(max(policy.batch_bytes, math.isqrt(100 * total)), policy.most_batch_bytes)
-    batches = buckets = max(1, -(-total // size))
+    batches = max(1, -(-total // size))
+    buckets = 3 * batches  # an index takes some twenty times its bucket's bytes
     dealt = docs.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches))).repartition(batches, "batch")
 
     def round_one(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
