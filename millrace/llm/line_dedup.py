@@ -1,6 +1,8 @@
 """Line dedup by a segment-partition edit join.
 
-A line is what lies between newlines, without blanks at its ends; lines of at least `min_chars` characters take part.
+A line is what lies between newlines, without blanks at its ends. Lines of at least `min_chars` characters take part; with
+`short_lines` all that are not blank do, those under `min_chars` with fewer edits (`short_edits`): none below 16
+characters, one from there on.
 A line occurrence is removed if an equal line, or one within `distance` edits, occurs before it, that is in a document
 with a smaller id or further up in the same one. This is judged on the input, not on what is left of it. The removed
 lines leave no empty line behind; every other line stays as it was, and a text that loses nothing is unchanged.
@@ -37,6 +39,16 @@ class LinePolicy:
     min_chars: int = 32
     distance: int = 2
     max_broadcast: int = 200_000
+    short_lines: bool = False
+    #: (characters from which on, edits) for lines under min_chars
+    short_edits: tuple[tuple[int, int], ...] = ((16, 1),)
+
+    def joins(self) -> list[tuple[int, int | None, int]]:
+        """(least characters, most of the shorter line, edits) of each edit join."""
+        if not self.short_lines:
+            return [(self.min_chars, None, self.distance)]
+        tops = [a for a, _ in self.short_edits[1:]] + [self.min_chars]
+        return [(a, b, k) for (a, k), b in zip(self.short_edits, tops, strict=True)] + [(self.min_chars, None, self.distance)]
 
 
 def line_rows(docs: DataFrame, policy: LinePolicy) -> DataFrame:
@@ -44,7 +56,7 @@ def line_rows(docs: DataFrame, policy: LinePolicy) -> DataFrame:
     lines = docs.select("doc_id", F.posexplode(F.split(F.col("text"), "\n", -1)).alias("at", "raw"))
     number = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit("-9223372036854775809").cast("decimal(20,0)"))
     place = (number * F.lit(1 << 31).cast("decimal(11,0)") + F.col("at")).cast("decimal(38,0)")
-    return lines.select("doc_id", "at", F.btrim("raw", F.lit(BLANKS)).alias("line"), place.alias("place")).where(F.length("line") >= policy.min_chars)
+    return lines.select("doc_id", "at", F.btrim("raw", F.lit(BLANKS)).alias("line"), place.alias("place")).where(F.length("line") >= (1 if policy.short_lines else policy.min_chars))
 
 
 def line_id(line: Column) -> list[Column]:
@@ -135,15 +147,30 @@ def byte_chars(line: Column) -> Column:
 
 
 def distinct_lines(lines: DataFrame, policy: LinePolicy) -> DataFrame:
-    """A row per distinct line: id, id2, first place, n, own segments, probes. The text itself is not kept."""
+    """A row per distinct line: id, id2, first place, n, and for each edit join own segments and probes (null where the
+    line takes no part in it). The text itself is not kept."""
     counted = lines.groupBy("line").agg(F.min("place").alias("first"), F.count("*").alias("n"))
-    raw = counted.select("first", "n", *line_id(F.col("line")), F.col("line").cast("binary").alias("raw"), F.octet_length("line").alias("size"))
-    keyed = raw.select("id", "id2", "first", "n", segment_keys(F.col("raw"), F.col("size"), policy.distance).alias("own"), probe_keys(F.col("raw"), F.col("size"), policy.distance).alias("probes"))
+    raw = counted.select("first", "n", *line_id(F.col("line")), F.col("line").cast("binary").alias("raw"), F.octet_length("line").alias("size"), F.length("line").alias("chars"))
+    keys = []
+    for at, (least, below, distance) in enumerate(policy.joins()):
+        part = F.col("chars") >= least if below is None else (F.col("chars") >= least) & (F.col("chars") < below + distance)
+        keys.append(F.when(part, segment_keys(F.col("raw"), F.col("size"), distance)).alias(f"own{at}"))
+        keys.append(F.when(part, probe_keys(F.col("raw"), F.col("size"), distance)).alias(f"probes{at}"))
+    keyed = raw.select("id", "id2", "first", "n", *keys)
     return settle(keyed, "lines")
 
 
 def close_pairs(distinct: DataFrame, lines: DataFrame, policy: LinePolicy) -> DataFrame:
-    """Verified pairs of different lines: id, id2, other, other2 (both ways).
+    """Verified pairs of different lines: id, id2, other, other2 (both ways), of all edit joins."""
+    found = [joined_pairs(distinct.select("id", F.col(f"own{at}").alias("own"), F.col(f"probes{at}").alias("probes")), lines, policy, distance) for at, (_, _, distance) in enumerate(policy.joins())]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.distinct() if len(found) > 1 else out
+
+
+def joined_pairs(distinct: DataFrame, lines: DataFrame, policy: LinePolicy, distance: int) -> DataFrame:
+    """The pairs of one edit join.
 
     First the segments that more than the line itself hits are found, from hashes alone, without saying whose; only
     their lines are then read again and paired."""
@@ -160,13 +187,13 @@ def close_pairs(distinct: DataFrame, lines: DataFrame, policy: LinePolicy) -> Da
     signs = texts.select("id", "sign")
     left = settle(own.join(signs, "id"), "own-signs").hint("merge")
     right = settle(own.unionByName(probes).join(signs, "id").select("key", F.col("id").alias("probe_id"), F.col("sign").alias("probe_sign")), "probe-signs").hint("merge")
-    pairs = left.join(right, (left.key == right.key) & (F.col("id") != F.col("probe_id")) & alike(F.col("sign"), F.col("probe_sign"), policy.distance))
+    pairs = left.join(right, (left.key == right.key) & (F.col("id") != F.col("probe_id")) & alike(F.col("sign"), F.col("probe_sign"), distance))
     pairs = settle(pairs.select(F.least("id", "probe_id").alias("a"), F.greatest("id", "probe_id").alias("b")).distinct(), "line-pairs")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
     both = settle(both.select("x", "y").repartition("x", "y"), "lines-paired").select("x", "y", byte_chars(F.col("x")).alias("xs"), byte_chars(F.col("y")).alias("ys"))
     # edits of characters are at most as many as of bytes: the built-in bound spares most pairs the exact count
-    near = F.levenshtein("x", "y", policy.distance) >= 0
-    checked = settle(both.select("x", "y", F.when(near, within(F.col("xs"), F.col("ys"), policy.distance)).otherwise(False).alias("close")), "lines-checked").where("close")
+    near = F.levenshtein("x", "y", distance) >= 0
+    checked = settle(both.select("x", "y", F.when(near, within(F.col("xs"), F.col("ys"), distance)).otherwise(False).alias("close")), "lines-checked").where("close")
     one = checked.select(*line_id(F.col("x")), F.xxhash64("y").alias("other"), F.xxhash64(F.lit(1), "y").alias("other2"))
     return one.unionByName(one.select(F.col("other").alias("id"), F.col("other2").alias("id2"), F.col("id").alias("other"), F.col("id2").alias("other2")))
 
