@@ -225,13 +225,12 @@ def without_lines(text: Column, places: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, policy: LinePolicy | None = None, drop_emptied: bool = True) -> DataFrame:
     """docs with the repeated lines taken out of their texts, other columns as they were. A document that lost lines and
-    has none left that is long enough to take part holds only scraps, and is dropped if drop_emptied; those that lost
-    nothing always stay."""
+    has none left that is not blank is dropped if drop_emptied; those that lost nothing always stay."""
     policy = policy or LinePolicy()
     found, gone = with_removed(docs, policy)
     out = found.withColumn("text", without_lines(F.col("text"), F.col(gone)))
     if drop_emptied:
-        out = out.where(F.col(gone).isNull() | F.exists(F.split("text", "\n", -1), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) >= policy.min_chars))
+        out = out.where(F.col(gone).isNull() | (F.btrim("text", F.lit(BLANKS + "\n")) != ""))
     return out.drop(gone)
 
 

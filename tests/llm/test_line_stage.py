@@ -48,3 +48,10 @@ def test_stage_removes_short_repeats(spark, sf_dir):
     rows = [(1, "first text of some length that stays here\nAll rights reserved."), (2, "second one, quite unlike the other in words\nAll rights reserved.")]
     found = dict(corpus_pipeline.STAGES)["line_dedup"](spark, spark.createDataFrame(rows, DOC), sf_dir)
     assert {r["doc_id"]: r["text"] for r in found.collect()} == {1: rows[0][1], 2: rows[1][1].split("\n")[0]}
+
+
+def test_stage_keeps_documents_of_short_lines(spark, sf_dir):
+    footer = "This footer stands on all the pages of its source."
+    poems = [(i, "\n".join(f"line {i} {chr(97 + at) * 6}" for at in range(9)) + "\n" + footer) for i in range(3)] + [(3, " \n" + footer + "\n\t")]
+    found = dict(corpus_pipeline.STAGES)["line_dedup"](spark, spark.createDataFrame(poems, DOC), sf_dir)
+    assert {r["doc_id"]: r["text"] for r in found.collect()} == {i: t if i == 0 else t[: -len(footer) - 1] for i, t in poems[:3]}
