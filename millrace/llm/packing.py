@@ -6,7 +6,9 @@ and check sum. Pieces of one length are alike to the packing, so the whole probl
 the largest length left opens a sequence, the undominated fillings of what remains beside it are tried in the order of
 their waste, a filling being used for as many sequences at once as the counts allow; branches are cut where their waste
 exceeds what a better solution than the incumbent could have. The first incumbent is best-fit decreasing. The search
-ends at the lower bound or after `max_nodes` fillings.
+ends at the lower bound, or when no branch waits, or after the first dive that brings it to `max_nodes` fillings or twice
+the number of different lengths, if that is more: a dive is never broken off, so some end however many lengths there are.
+The plan says what the bound was, how many fillings were tried and whether branches were left; `pack` logs it.
 
 The plan, a few numbers per filling, goes back to the pieces, which are numbered within their length (in salted groups,
 as one length may have most of the rows) and so find their sequence and place.
@@ -17,6 +19,7 @@ as they occur. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,6 +33,8 @@ from pyspark.sql.window import Window
 
 from millrace.runtime import settle
 
+LOG = logging.getLogger(__name__)
+
 
 @dataclass(frozen=True)
 class PackPolicy:
@@ -135,9 +140,13 @@ Filling = tuple[int, ...]
 
 @dataclass
 class Plan:
-    """fillings: (lengths in one sequence, number of such sequences)."""
+    """fillings: (lengths in one sequence, number of such sequences); bound: the least number of sequences there can be;
+    nodes: fillings tried; cut: whether the search left branches that might hold a better plan."""
 
     fillings: list[tuple[Filling, int]] = field(default_factory=list)
+    bound: int = 0
+    nodes: int = 0
+    cut: bool = False
 
     @property
     def sequences(self) -> int:
@@ -255,10 +264,14 @@ def complete(counts: np.ndarray, policy: PackPolicy) -> Plan:
     lengths = np.arange(capacity + 1)
     bound, total = lower_bound(counts, capacity), int((lengths * counts).sum())
     best = best_fit(counts, capacity)
-    nodes = 0
-    branches: list[tuple[np.ndarray, list, int, int]] = [(counts.copy(), [], 0, 0)]
-    while branches and best.sequences > bound and nodes < policy.max_nodes:
-        left, done, used, waste = branches.pop()
+    nodes, budget = 0, max(policy.max_nodes, 2 * int((counts > 0).sum()))
+    branches: list[tuple[Path, Filling]] = [(None, ())]  # a branch's state is made from its path when its turn comes
+    while branches and best.sequences > bound and nodes < budget:
+        path, filling = branches.pop()
+        left, done, used, waste = replayed(counts, path, capacity)
+        if filling:
+            left, done, used, waste = used_up(left, done, used, waste, filling, capacity)
+            path = (path, *done[-1])
         while True:
             sizes = np.flatnonzero(left)
             if len(sizes) == 0:
@@ -266,17 +279,35 @@ def complete(counts: np.ndarray, policy: PackPolicy) -> Plan:
                     best = Plan(done)
                 break
             nodes += 1
-            if waste > (best.sequences - 1) * capacity - total or nodes >= policy.max_nodes:
+            if waste > (best.sequences - 1) * capacity - total:
                 break
             top = int(sizes[-1])
             left[top] -= 1
             options = fillings(left, capacity - top)
             left[top] += 1
-            for other in options[:0:-1]:  # the best is followed at once, the others wait
-                if len(branches) < 256:
-                    branches.append(used_up(left.copy(), list(done), used, waste, (top, *other), capacity))
+            # the best is followed at once, the others wait
+            branches += [(path, (top, *other)) for other in options[:0:-1]]
             left, done, used, waste = used_up(left, done, used, waste, (top, *options[0]), capacity)
-    return best
+            path = (path, *done[-1])
+    return Plan(best.fillings, bound, nodes, bool(branches) and best.sequences > bound)
+
+
+#: (path before, filling, number of sequences), or None at the start.
+Path = tuple | None
+
+
+def replayed(counts: np.ndarray, path: Path, capacity: int) -> tuple[np.ndarray, list, int, int]:
+    """The state at the end of a path."""
+    done = []
+    while path is not None:
+        path, filling, times = path
+        done.append((filling, times))
+    left, used, waste = counts.copy(), 0, 0
+    for filling, times in done[::-1]:
+        for x in filling:
+            left[x] -= times
+        used, waste = used + times, waste + times * (capacity - sum(filling))
+    return left, done[::-1], used, waste
 
 
 def used_up(left: np.ndarray, done: list, used: int, waste: int, filling: Filling, capacity: int) -> tuple[np.ndarray, list, int, int]:
@@ -328,6 +359,7 @@ def pack(docs: DataFrame, policy: PackPolicy | None = None) -> DataFrame:
     for row in pieces.groupBy("length").count().collect():  # a row per length: at most `capacity`
         counts[row["length"]] = row["count"]
     plan = complete(counts, policy)
+    LOG.info("packing: %d sequences, bound %d, %d nodes, search %s", plan.sequences, plan.bound, plan.nodes, "cut" if plan.cut else "ended")
     places = Places.of(plan)
     salts = int(min(max(counts.sum() // 200_000, 16), 4096))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
