@@ -19,9 +19,12 @@ as they occur. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
+import json
 import logging
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from millrace.llm.workers import give_back
 from millrace.runtime import settle
 
 LOG = logging.getLogger(__name__)
@@ -38,72 +42,323 @@ LOG = logging.getLogger(__name__)
 
 @dataclass(frozen=True)
 class PackPolicy:
-    """tokenizer: the file's path, or None for the public one. end_id closes each document."""
+    """tokenizer: the file's path, or None for the public one. end_id closes each document. A worker keeps the tokens
+    of 2 ** cache_bits pieces at most; chunks of more than longest_merged bytes go to the tokenizer itself; texts are
+    tokenized group_bytes at a time."""
 
     tokenizer: str | None = None
     capacity: int = 4096
     end_id: int = 1
     max_nodes: int = 4_000
-    cache_words: int = 400_000
-    longest_cached: int = 48
+    cache_bits: int = 17
+    longest_merged: int = 256
+    group_bytes: int = 1 << 18
 
 
 # Tokens
 
-MARKS = frozenset(b".,;:!?")
+#: The pieces that the pair tables stand for: what the tokenizer file must say for them to be used.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END = "</w>"
+NONE = np.iinfo(np.int32).max
+LETTER, DIGIT, OTHER, GAP, FOREIGN = range(5)
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    shifted = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(shifted)) for b in range(256)]
+
+
+def byte_classes() -> np.ndarray:
+    """What each byte of a chunk is to the splitting. Chunks with FOREIGN bytes are left to the tokenizer itself: ASCII
+    controls, the apostrophe (contractions), × and ÷, and all letters beyond Latin-1, whose lead bytes are not 0xC3."""
+    out = np.full(256, FOREIGN, np.uint8)
+    out[0x21:0x7F] = OTHER
+    out[ord("0") : ord("9") + 1] = DIGIT
+    for first, last in ((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xBF), (0xC3, 0xC3)):
+        out[first : last + 1] = LETTER
+    out[[ord("'"), 0x97, 0xB7]] = FOREIGN
+    out[list(b" \t\n\r\x0b\x0c")] = GAP
+    return out
+
+
+def byte_lower() -> np.ndarray:
+    """Small letters of ASCII and, by the second byte after 0xC3, of Latin-1."""
+    out = np.arange(256, dtype=np.uint8)
+    out[0x41:0x5B] += 32
+    out[0x80:0x9F] += 32
+    return out
+
+
+CLASS, SMALL = byte_classes(), byte_lower()
+
+
+class PairTable:
+    """The merges of a byte-pair encoding with word ends, for very many short pieces at once.
+
+    All pieces lie end to end; in each round every piece merges its pair of the least rank wherever it stands, until no
+    piece has one. Each merge makes a token of its own, so a pair never ranks before the merges that made its sides, and
+    the order among equal pairs doesn't matter but for overlaps, which go from left to right."""
+
+    def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]]):
+        letters = byte_letters()
+        self.inner = np.array([vocabulary[x] for x in letters], np.int32)
+        self.last = np.array([vocabulary[x + WORD_END] for x in letters], np.int32)
+        self.made = np.array([vocabulary[a + b] for a, b in merges], np.int32)
+        keys = np.array([vocabulary[a] << 32 | vocabulary[b] for a, b in merges], np.int64)
+        self.levels: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []  # shift, key, rank, whether more follow
+        ranks, bits = np.arange(len(keys), dtype=np.int32), max(4, int(len(keys)).bit_length() + 2)
+        while len(keys):
+            held, rank, more = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NONE, np.int32), np.zeros(1 << bits, bool)
+            slots = self.slots(keys, 64 - bits)
+            _, first = np.unique(slots, return_index=True)
+            held[slots[first]], rank[slots[first]] = keys[first], ranks[first]
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            more[slots[rest]] = True
+            self.levels.append((64 - bits, held, rank, more))
+            keys, ranks, bits = keys[rest], ranks[rest], bits - 1
+
+    @staticmethod
+    def slots(keys: np.ndarray, shift: int) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(shift)).astype(np.int64)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left.astype(np.int64) << 32 | right
+        shift, held, rank, more = self.levels[0]
+        slots = self.slots(keys, shift)
+        out = np.where(held[slots] == keys, rank[slots], NONE)
+        left_over = np.flatnonzero(more[slots] & (out == NONE))
+        for shift, held, rank, more in self.levels[1:]:
+            if not len(left_over):
+                break
+            asked = keys[left_over]
+            slots = self.slots(asked, shift)
+            found = held[slots] == asked
+            out[left_over[found]] = rank[slots[found]]
+            left_over = left_over[more[slots] & ~found]
+        return out
+
+    def merge(self, raw: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """raw: bytes of pieces laid end to end, first: where each begins. Their tokens likewise, and how many each has."""
+        tokens = self.inner[raw]
+        sizes = np.diff(np.append(first, len(raw)))
+        tokens[first + sizes - 1] = self.last[raw[first + sizes - 1]]
+        out, counts = np.full(len(raw), -1, np.int32), np.zeros(len(first), np.int64)
+        piece, begin = np.arange(len(first)), first
+        while len(piece):
+            ranks = np.full(len(tokens), NONE, np.int32)
+            ranks[:-1] = self.ranks(tokens[:-1], tokens[1:])
+            ranks[begin + sizes - 1] = NONE
+            least = np.minimum.reduceat(ranks, begin)
+            if (done := least == NONE).any():
+                where, number = np.repeat(done, sizes), sizes[done]
+                inside = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
+                out[np.repeat(first[piece[done]], number) + inside] = tokens[where]
+                counts[piece[done]] = number
+                tokens, ranks = tokens[~where], ranks[~where]
+                piece, sizes, least = piece[~done], sizes[~done], least[~done]
+                if not len(piece):
+                    break
+            at = np.flatnonzero(ranks == np.repeat(least, sizes))
+            if (at[1:] == at[:-1] + 1).any():  # a pair of equal sides in a row: every second one
+                starts = np.concatenate(([True], at[1:] != at[:-1] + 1))
+                run = at[starts][np.cumsum(starts) - 1]
+                at = at[(at - run) % 2 == 0]
+            owner = np.repeat(np.arange(len(sizes)), sizes)[at]
+            tokens[at] = self.made[ranks[at]]
+            keep = np.ones(len(tokens), bool)
+            keep[at + 1] = False
+            tokens = tokens[keep]
+            sizes = sizes - np.bincount(owner, minlength=len(sizes))
+            begin = np.cumsum(sizes) - sizes
+        return out[out >= 0], counts
+
+
+@functools.lru_cache(maxsize=1)
+def pair_table(path: str) -> PairTable | None:
+    """The tables of a tokenizer file, or None if it isn't of the form that they stand for."""
+    with open(path, encoding="utf-8") as file:
+        said = json.load(file)
+    model, normal, before = said["model"], said.get("normalizer") or {}, said.get("pre_tokenizer") or {}
+    steps = [x["type"] for x in normal.get("normalizers", [])]
+    parts = before.get("pretokenizers", [])
+    plain = [x["type"] for x in parts] == ["Split", "ByteLevel"] and parts[0]["pattern"] == {"Regex": SPLIT} and parts[0]["invert"] and not parts[1]["add_prefix_space"] and not parts[1]["use_regex"]
+    if model.get("type") != "BPE" or model.get("end_of_word_suffix") != WORD_END or steps != ["NFC", "Replace", "Lowercase"] or not plain or model.get("dropout") or model.get("ignore_merges"):
+        return None
+    merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
+    return PairTable(model["vocab"], merges) if len({a + b for a, b in merges}) == len(merges) else None
+
+
+@functools.lru_cache(maxsize=1)
+def tokenizer_of(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def tokenizer_path(policy: PackPolicy) -> str:
+    if policy.tokenizer is not None:
+        return policy.tokenizer
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+WHOLE = 16  # bytes of a piece that can be kept
+TOKENS = 8  # tokens of a piece that can be kept
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+class PieceCache:
+    """Tokens of pieces of at most WHOLE bytes and TOKENS tokens, found by the bytes themselves. A piece has one slot,
+    and a new one there replaces the old, so the cache never grows."""
+
+    def __init__(self, bits: int):
+        self.shift = np.uint64(64 - bits)
+        self.low, self.high = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
+        self.count = np.zeros(1 << bits, np.int64)
+        self.tokens = np.zeros((1 << bits, TOKENS), np.int32)
+
+    def slots(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        mixed = (low ^ (high * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0x9E3779B97F4A7C15)
+        return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> self.shift).astype(np.int64)
+
+    def put(self, slots: np.ndarray, low: np.ndarray, high: np.ndarray, tokens: np.ndarray, counts: np.ndarray) -> None:
+        ends = np.cumsum(counts)
+        fit = np.flatnonzero(counts <= TOKENS)
+        _, last = np.unique(slots[fit][::-1], return_index=True)  # of several pieces in one slot one stays
+        fit = fit[len(fit) - 1 - last]
+        slots, counts, first = slots[fit], counts[fit], (ends - counts)[fit]
+        self.low[slots], self.high[slots], self.count[slots] = low[fit], high[fit], counts
+        reach = np.minimum(first[:, None] + np.arange(TOKENS), max(len(tokens) - 1, 0))
+        self.tokens[slots] = tokens[reach]
+
+
+def ragged(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, .. (counts[0] numbers), first[1], .."""
+    return np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
 
 
 class ChunkTokenizer:
     """Tokenizes texts through their chunks between ASCII blanks.
 
     The tokenizer's own splitting never crosses a blank, nor do its normal forms, so a text's ids are those of its
-    chunks one after another; chunks recur, and the ids of short ones are kept.
-    """
+    chunks one after another. Chunks of Latin-1 letters, digits and marks are split into pieces and merged by the pair
+    table, very many at once, the tokens of short pieces being kept; the tokenizer itself does the other chunks, and all
+    texts if its file is of another form. Texts are taken some at a time and long ones in parts, so that memory doesn't
+    follow their length."""
 
     def __init__(self, policy: PackPolicy):
-        from tokenizers import Tokenizer
-
-        path = policy.tokenizer
-        if path is None:
-            import public_tokenizers
-
-            path = public_tokenizers.path("word_bpe_49k.json")
-        self.encoder = Tokenizer.from_file(path)
-        self.policy, self.known = policy, {}
-
-    def learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        """The ids of chunks that aren't known yet, as little-endian unsigned 32-bit numbers."""
-        if not chunks:
-            return {}
-        done = self.encoder.encode_batch_fast([x.decode("utf-8", "replace") for x in chunks], add_special_tokens=False)
-        return {x: np.array(e.ids, "<u4").tobytes() for x, e in zip(chunks, done, strict=True)}
-
-    def resolve(self, new: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of new chunks. One mark after a letter or digit is a piece of its own and is taken apart, so that a
-        word is learned once with and without it."""
-        known, limit = self.known, self.policy.longest_cached
-        parts = {x: (x[:-1], x[-1:]) for x in new if len(x) > 1 and x[-1] in MARKS and chr(x[-2]).isascii() and chr(x[-2]).isalnum()}
-        wanted = {y for pair in parts.values() for y in pair} | {x for x in new if x not in parts}
-        learned = self.learn([x for x in wanted if x not in known])
-        found = {x: learned[x] if x in learned else known[x] for x in wanted}
-        out = {x: found[parts[x][0]] + found[parts[x][1]] if x in parts else found[x] for x in new}
-        if len(known) + len(learned) > self.policy.cache_words:
-            known.clear()
-        known.update((x, ids) for x, ids in learned.items() if len(x) <= limit)
-        return out
+        self.policy, self.path = policy, tokenizer_path(policy)
+        self.table = pair_table(self.path)
+        self.cache = PieceCache(policy.cache_bits)
+
+    def asked(self, texts: list[str]) -> list[np.ndarray]:
+        """What the tokenizer itself says."""
+        done = tokenizer_of(self.path).encode_batch_fast(texts, add_special_tokens=False) if texts else []
+        return [np.array(x.ids, np.int32) for x in done]
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit numbers."""
+        if self.table is None:
+            for text in texts:
+                yield self.asked([text or ""])[0].astype("<u4").tobytes()
+            return
+        parts: list[bytes] = []
+        closes: list[bool] = []
+        size, held = 0, b""
+        for text in texts:
+            for raw, last in segments((text or "").encode("utf-8", "surrogatepass"), self.policy.group_bytes):
+                parts.append(raw)
+                closes.append(last)
+                size += len(raw)
+                if size >= self.policy.group_bytes:
+                    for ids, whole in zip(self.encoded(parts), closes, strict=True):
+                        held += ids
+                        if whole:
+                            yield held
+                            held = b""
+                    parts, closes, size = [], [], 0
+        for ids, whole in zip(self.encoded(parts), closes, strict=True):
+            held += ids
+            if whole:
+                yield held
+                held = b""
+
+    def encoded(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of each part."""
+        if not parts:
+            return []
+        joined = b"\n".join(parts) + b"\n"
+        raw = np.frombuffer(joined, np.uint8)
+        kind = CLASS[raw]
+        body = kind != GAP
+        chunk_begins = body.copy()
+        chunk_begins[1:] &= ~body[:-1]
+        first = np.flatnonzero(chunk_begins)
+        bounds = np.cumsum([len(x) + 1 for x in parts])
+        if not len(first):
+            return [b""] * len(parts)
+        stops = np.flatnonzero(body[:-1] & ~body[1:]) + 1
+        marks = (raw[:-1] == ord("<")) & (raw[1:] == ord("|"))
+        odd = np.maximum.reduceat(kind, first) == FOREIGN
+        odd |= stops - first > self.policy.longest_merged
+        if marks.any():
+            odd[np.searchsorted(first, np.flatnonzero(marks), side="right") - 1] = True
+        begins = body.copy()
+        begins[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        if odd.any():  # such a chunk is one piece
+            inner = ragged(first[odd] + 1, (stops - first)[odd] - 1)
+            begins[inner] = False
+        start = np.flatnonzero(begins)
+        size = np.minimum(np.append(start[1:], len(raw)), stops[np.searchsorted(first, start, side="right") - 1]) - start
+        strange = odd[np.searchsorted(first, start, side="right") - 1] if odd.any() else np.zeros(len(start), bool)
+        small = np.concatenate((SMALL[raw], np.zeros(WHOLE, np.uint8)))
+        words = np.ndarray((len(raw) + 8,), "<u8", small, strides=(1,))
+        low = words[start] & MASKS[np.minimum(size, 8)]
+        high = words[start + 8] & MASKS[np.clip(size - 8, 0, 8)]
+        slots = self.cache.slots(low, high)
+        kept = size <= WHOLE
+        hit = kept & ~strange & (self.cache.low[slots] == low) & (self.cache.high[slots] == high)
+        counts, at = np.where(hit, self.cache.count[slots], 0), slots * TOKENS
+        pool = [self.cache.tokens.ravel().copy()]
+        pooled = len(pool[0])
+        new = np.flatnonzero(~hit & ~strange)
+        if len(new):
+            inside = ragged(start[new], size[new])
+            tokens, number = self.table.merge(small[inside], np.cumsum(size[new]) - size[new])
+            counts[new], at[new] = number, pooled + np.cumsum(number) - number
+            pool.append(tokens)
+            pooled += len(tokens)
+            short = kept[new]
+            self.cache.put(slots[new][short], low[new][short], high[new][short], tokens[ragged((np.cumsum(number) - number)[short], number[short])], number[short])
+        if strange.any():
+            where = np.flatnonzero(strange)
+            found = self.asked([joined[a : a + n].decode("utf-8", "replace") for a, n in zip(start[where].tolist(), size[where].tolist(), strict=True)])
+            number = np.array([len(x) for x in found], np.int64)
+            counts[where], at[where] = number, pooled + np.cumsum(number) - number
+            pool += found
+        ids = np.concatenate(pool)[ragged(at, counts)].astype("<u4").tobytes()
+        ends = np.concatenate(([0], np.cumsum(counts)))[np.searchsorted(start, bounds)] * 4
+        return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
     def encode(self, text: str | None) -> bytes:
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        if b"<|" not in raw:  # special tokens alone mind the case; the tokenizer takes all else in small letters
-            raw = raw.lower()
-        chunks = raw.split()
-        known = self.known
-        new = {x for x in chunks if x not in known}
-        if not new:
-            return b"".join([known[x] for x in chunks])
-        held = {x: known[x] for x in chunks if x in known} if len(known) + len(new) > self.policy.cache_words else known
-        extra = self.resolve(new)
-        return b"".join([extra[x] if x in extra else held[x] for x in chunks])
+        return next(iter(self.encode_all([text])))
+
+
+def segments(raw: bytes, size: int) -> Iterator[tuple[bytes, bool]]:
+    """A text in parts of about size bytes, cut at blanks, and whether a part is the last."""
+    at = 0
+    while len(raw) - at > 2 * size and (found := BLANK.search(raw, at + size)):
+        yield raw[at : found.start()], False
+        at = found.end()
+    yield (raw[at:] if at else raw), True
+
+
+BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 
 def token_pieces(docs: DataFrame, policy: PackPolicy) -> DataFrame:
@@ -116,8 +371,8 @@ def token_pieces(docs: DataFrame, policy: PackPolicy) -> DataFrame:
         step = 4 * policy.capacity
         for batch in batches:
             rows, pieces, starts, lengths, sums = [], [], [], [], []
-            for row, text in enumerate(batch.column("text")):
-                ids = tokenizer.encode(text.as_py()) + end
+            for row, ids in enumerate(tokenizer.encode_all(x.as_py() for x in batch.column("text"))):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     rows.append(row)
@@ -129,6 +384,8 @@ def token_pieces(docs: DataFrame, policy: PackPolicy) -> DataFrame:
                 [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int32()), pa.array(sums, pa.int64())],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        del tokenizer
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(cut, schema)
 

@@ -251,7 +251,7 @@ def test_tokens_by_chunks_are_those_of_the_whole_text():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    whole, chunked, rnd = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), packing.ChunkTokenizer(packing.PackPolicy(cache_words=50)), random.Random(5)
+    whole, chunked, rnd = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), packing.ChunkTokenizer(packing.PackPolicy(cache_bits=4, group_bytes=64)), random.Random(5)
     bits = list("abÉéΣσ1'’  \x1c\x85\n\t́😀<|>") + ["<|endoftext|>", "'s", "Straße", "İ"]
     for _ in range(600):
         text = "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 80)))
