@@ -2,28 +2,34 @@
 
 A byte goes if some `length`-byte string that covers it also starts in a document with a smaller id.
 
-Which strings can repeat. Each such string has a least hash among the 16-byte grams in it, which depends on its bytes
-alone, so equal strings share it. Neighbouring strings mostly have the same least hash; a run of them (at most 64) is a
-phrase, a piece of a text of `length` - 1 bytes more than it has strings. Each string lies in one phrase. Round one
-finds the hashes that occur in two or more documents; other phrases hold nothing that repeats.
-
-The dictionary. Round two brings together, by hash, the phrases that are left: equal ones are one entry, with the least
+Which strings can repeat. Each such string has a least hash among the 16-byte grams in it, and a first place of that
+gram, both of which depend on its bytes alone; beside the gram it holds at least 17 bytes more on one side, on the right
+if the gram begins in its first 18 bytes, else on the left. The hash of these 33 bytes is the string's key, which equal
+strings share. Neighbouring strings mostly have the same 33 bytes; a run of them (at most 18) is a phrase, a piece of a
+text of `length` - 1 bytes more than it has strings. Each string lies in one phrase. Round one finds the keys that occur
+in two or more documents; other phrases hold nothing that repeats. Keys travel as 32 bits within their bucket, so that a
+few that don't occur again may come along; what follows compares bytes.
+
+The dictionary. Round two brings together, by key, the phrases that are left: equal ones are one entry, with the least
 id that has it. In a repetitive corpus the entries are few beside the text. A document with a greater id than an entry's
 loses all strings of that phrase. Within an entry's own first document, strings may still repeat ones of other entries
-of the same hash; those entries are put into the index: a suffix sort of their texts gives the Burrows-Wheeler
-transform, which is kept as runs with the place of each run's end and, for the strings, the least id in each of their
-ranges. Matching statistics, cut at `length`, are streamed over the entries from right to left, all entries abreast: a
-backward search over the runs finds the last string, each further byte extends the match to the left by one step of the
-same kind, after which the range widens to that of the string. A range whose least id is smaller marks the string.
+of the same key; those entries are put into the index: a suffix sort of their texts gives the Burrows-Wheeler
+transform, which is kept as runs, and beside it the least id in the range of each string. (What is asked of a match is
+the least id that has it, not a place, so no places are sampled at the runs' ends.) Matching statistics, cut at
+`length`, are streamed over the entries from right to left, all entries abreast: a backward search over the runs finds
+the last string, each further byte extends the match to the left by one step of the same kind, after which the range
+widens to that of the string. A range whose least id is smaller marks the string.
 
-Round three carries ids and marks back, and cuts the texts.
+Round three carries ids and marks back, where they differ from what the batch knows itself, and cuts the texts.
 
-Rows are dealt to batches by their id and phrases to buckets by their hash, both in numbers that follow the corpus, and
-a batch reports a hash or phrase once, however often its documents have it: a passage that a third of all rows share is
+Rows are dealt to batches by their id and phrases to buckets by their key, both in numbers that follow the corpus, and
+a batch reports a key or phrase once, however often its documents have it: a passage that a third of all rows share is
 one entry per batch. Nothing but byte counts reaches the driver.
 
 Null text counts as empty. Rows of one id don't take from each other; rows with a null id count as after all others and
-don't take from each other either.
+don't take from each other either, as do rows with the id 2^63 - 1. Ids that aren't integers are ordered by their hash.
+Texts of any length are taken whole, each by one task. Other columns are not read, whatever their names. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,11 +41,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GRAM = 16
-MOST_STRINGS = 64
+#: Bytes of a key beside its gram, and the strings that have one key's bytes on the same side.
+BESIDE = 17
+MOST_STRINGS = BESIDE + 1
+SIDE = 128
+#: Bytes of an entry before its text.
+HEAD = 10
 LAST = np.iinfo(np.int64).max
 
 
@@ -49,6 +61,10 @@ class RepeatPolicy:
     batch_bytes: int = 8 << 20
     most_batch_bytes: int = 256 << 20
 
+    def __post_init__(self):
+        if not GRAM + 2 * BESIDE <= self.length < 256:
+            raise ValueError(f"repeats of {GRAM + 2 * BESIDE} to 255 bytes can be found")
+
 
 # Phrases
 
@@ -67,21 +83,35 @@ def gram_hashes(raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def least_hashes(raw: np.ndarray, length: int) -> np.ndarray:
-    """For each string of length bytes the least hash of the grams in it."""
-    out, have, want = gram_hashes(raw), 1, length - GRAM + 1
-    while 2 * have <= want:
-        out = np.minimum(out[:-have], out[have:])
-        have *= 2
-    if have < want:
-        out = np.minimum(out[: len(out) - (want - have)], out[want - have :])
-    return out
+def least_grams(raw: np.ndarray, length: int) -> np.ndarray:
+    """For each string of length bytes the first place in it of the least of its grams."""
+    value, have, want = gram_hashes(raw), 1, length - GRAM + 1
+    place = np.zeros(len(value), np.uint8)
+    while have < want:
+        step = min(have, want - have)
+        left, right = value[:-step], value[step:]
+        later = right < left
+        value = np.where(later, right, left)
+        place = np.where(later, place[step:] + np.uint8(step), place[:-step])
+        have += step
+    return place
+
+
+def key_hashes(raw: np.ndarray, at: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """A hash of the GRAM + BESIDE bytes from each of these places on, and of the side."""
+    words = np.ndarray((len(raw) - 7,), "<u8", np.ascontiguousarray(raw), strides=(1,))
+    out = side.astype(np.uint64)
+    for step in (*range(0, GRAM + BESIDE - 8, 8), GRAM + BESIDE - 8):
+        out = (out ^ words[at + step]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(31)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(32))
 
 
 @dataclass
 class Block:
     """Some documents laid end to end. row, doc: of each; edge: where they begin, and the end. hashes, starts, counts,
-    owner: of their phrases (hash, first string, number of strings, which document)."""
+    owner, places: of their phrases (the key's hash, first string, number of strings, which document, the key's place)."""
 
     row: np.ndarray
     doc: np.ndarray
@@ -91,30 +121,36 @@ class Block:
     starts: np.ndarray
     counts: np.ndarray
     owner: np.ndarray
+    places: np.ndarray
 
 
-def phrases(raw: np.ndarray, edge: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first string, number of strings, document) of each phrase; no string crosses an edge."""
+def phrases(raw: np.ndarray, edge: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of the key, first string, number of strings, document, place of the key) of each phrase; no string crosses an
+    edge. A place is the key's first byte, counted from the first string, and in the bit above them the side."""
     if len(raw) < length:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    least = least_hashes(raw, length)
-    change = np.concatenate(([True], least[1:] != least[:-1]))
-    begins, stops = np.minimum(edge[:-1], len(least)), np.clip(edge[1:] - length + 1, 0, len(least))
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint8)
+    place = least_grams(raw, length)
+    size = len(place)
+    gram = np.arange(size) + place
+    side = place > BESIDE
+    change = np.concatenate(([True], (gram[1:] != gram[:-1]) | (side[1:] != side[:-1])))
+    begins, stops = np.minimum(edge[:-1], size), np.clip(edge[1:] - length + 1, 0, size)
     # a run ends with the last string that its document holds whole: what begins there is cut off
-    change[begins[begins < len(least)]] = True
-    change[stops[stops < len(least)]] = True
+    change[begins[begins < size]] = True
+    change[stops[stops < size]] = True
     starts = np.flatnonzero(change)
-    counts = np.diff(np.append(starts, len(least)))
+    counts = np.diff(np.append(starts, size))
     owner = np.searchsorted(edge, starts, side="right") - 1
     whole = starts < stops[owner]
     starts, counts, owner = starts[whole], counts[whole], owner[whole]
-    if (counts > MOST_STRINGS).any():
+    if (counts > MOST_STRINGS).any():  # of lengths beyond the least
         pieces = -(-counts // MOST_STRINGS)
         within = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         starts = np.repeat(starts, pieces) + within * MOST_STRINGS
         counts = np.minimum(np.repeat(counts, pieces) - within * MOST_STRINGS, MOST_STRINGS)
         owner = np.repeat(owner, pieces)
-    return least[starts], starts, counts, owner
+    at, left = gram[starts] - BESIDE * side[starts], side[starts]
+    return key_hashes(raw, at, left), starts, counts, owner, (at - starts + SIDE * left).astype(np.uint8)
 
 
 def buckets_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -122,6 +158,29 @@ def buckets_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (spread_out >> np.uint64(33)).astype(np.int64) % buckets
 
 
+def tags_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """A key's bucket and, below it, 32 bits of the key."""
+    return buckets_of(hashes, buckets).astype(np.uint64) << np.uint64(32) | hashes & np.uint64(0xFFFFFFFF)
+
+
+def squeezed(raw: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(raw).tobytes())
+
+
+def squeezed_keys(keys: np.ndarray) -> bytes:
+    """Sorted 32-bit numbers, as the bytes of their differences, the first bytes of all before the second ones."""
+    return squeezed(np.diff(keys, prepend=keys[:1] * 0).astype("<u4").view(np.uint8).reshape(-1, 4).T)
+
+
+def restored_keys(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(restored(raw), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
+
+
+def restored(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
 def bytes_of(text: pa.Scalar) -> np.ndarray:
     raw = text.as_buffer()
     return np.frombuffer(raw, np.uint8) if raw is not None else np.empty(0, np.uint8)
@@ -159,15 +218,15 @@ def spread(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
         yield int(bucket[a]), slice(int(a), int(b))
 
 
-# Round one: hashes that occur in several documents
+# Round one: keys that occur in several documents
 
 
-def hashes_of(table: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes in one document of the batch, and those in several."""
+def tags_in(table: pa.Table, length: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tags in one document of the batch, and those in several, both in order."""
     parts = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))]
     for block in blocks(table, length):
-        values, low, high = extremes(block.hashes, block.doc[block.owner], block.doc[block.owner])
-        parts.append((values, low, high))
+        owner = block.doc[block.owner]
+        parts.append(extremes(tags_of(block.hashes, buckets), owner, owner))
     values, low, high = extremes(*(np.concatenate(x) for x in zip(*parts, strict=True)))
     return values[low == high], values[low != high]
 
@@ -182,33 +241,36 @@ def extremes(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.
     return values[starts], np.minimum.reduceat(low[order], starts), np.maximum.reduceat(high[order], starts)
 
 
+def by_bucket(tags: np.ndarray) -> dict[int, bytes]:
+    """Sorted tags as the 32-bit parts of each bucket."""
+    return {bucket: squeezed_keys(tags[x].astype("<u4")) for bucket, x in spread((tags >> np.uint64(32)).astype(np.int64))}
+
+
 def report(table: pa.Table, batch: int, length: int, buckets: int) -> pa.Table:
-    one, several = hashes_of(table, length)
-    every = np.concatenate((one, several))
-    many = np.arange(len(every)) >= len(one)
-    where = buckets_of(every, buckets)
-    order = np.argsort(where, kind="stable")
-    every, many, where = every[order], many[order], where[order]
-    rows = [(bucket, batch, every[x][~many[x]].tobytes(), every[x][many[x]].tobytes()) for bucket, x in spread(where)]
-    return as_table(rows, ROUND_ONE)
+    one, several = (by_bucket(x) for x in tags_in(table, length, buckets))
+    return as_table([(bucket, batch, one.get(bucket, NO_KEYS), several.get(bucket, NO_KEYS)) for bucket in sorted(one.keys() | several.keys())], ROUND_ONE)
 
 
-def shared_hashes(table: pa.Table) -> pa.Table:
-    """For each batch those of its hashes that several documents have, in the batch or beyond it."""
-    batches = table.column("batch").to_pylist()
-    ones = [np.frombuffer(x, np.uint64) for x in table.column("ones").to_pylist()]
-    many = [np.frombuffer(x, np.uint64) for x in table.column("many").to_pylist()]
+def shared_keys(table: pa.Table) -> pa.Table:
+    """For each batch those of its keys that several documents have, in the batch or beyond it."""
+    bucket, batches = table.column("bucket")[0].as_py(), table.column("batch").to_pylist()
+    ones, many = ([restored_keys(x) for x in table.column(name).to_pylist()] for name in ("ones", "many"))
     every = np.sort(np.concatenate((*ones, *many, *many)))  # those of several documents of one batch count twice
-    again = every[1:] == every[:-1]
-    shared = every[1:][again]
+    shared = every[1:][every[1:] == every[:-1]]
     rows = []
     for batch, own, sure in zip(batches, ones, many, strict=True):
         found = np.concatenate((own[among(own, shared)], sure))
         if len(found):
-            rows.append((batch, found.tobytes(), b"", b""))
+            rows.append((batch, bucket, squeezed_keys(np.sort(found)), b"", b"", b""))
     return as_table(rows, REPLY)
 
 
+def tags_said(replies: pa.Table) -> np.ndarray:
+    """The tags in replies, in order."""
+    parts = zip(replies.column("bucket").to_pylist(), replies.column("keys").to_pylist(), strict=True)
+    return np.sort(np.concatenate([np.empty(0, np.uint64), *(np.uint64(bucket << 32) | restored_keys(x).astype(np.uint64) for bucket, x in parts)]))
+
+
 def among(values: np.ndarray, held: np.ndarray) -> np.ndarray:
     """Which values a sorted array holds."""
     if not len(held):
@@ -220,8 +282,9 @@ def among(values: np.ndarray, held: np.ndarray) -> np.ndarray:
 
 
 def row_bytes(length: int) -> int:
-    """An entry: its hash, its number of strings, its text and padding, in whole words."""
-    return (9 + length - 1 + MOST_STRINGS + 7) // 8 * 8
+    """An entry: its key's hash, its number of strings, where the key begins and on which side, its text and padding, in
+    whole words."""
+    return (HEAD + length - 1 + MOST_STRINGS + 7) // 8 * 8
 
 
 @dataclass
@@ -233,22 +296,23 @@ class Found:
     entry: np.ndarray
 
 
-def entries_of(table: pa.Table, shared: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, list[Found]]:
-    """The batch's distinct phrases with a shared hash, as rows of bytes in order; the least id that has each; and what
+def entries_of(table: pa.Table, shared: np.ndarray, length: int, buckets: int) -> tuple[np.ndarray, np.ndarray, list[Found]]:
+    """The batch's distinct phrases with a shared key, as rows of bytes in order; the least id that has each; and what
     each block of documents has of them."""
     width, every = length - 1 + MOST_STRINGS, row_bytes(length)
     rows, owners, found = [np.empty((0, every), np.uint8)], [np.empty(0, np.int64)], []
     reach = np.arange(width)
     for block in blocks(table, length):
-        hit = among(block.hashes, shared)
+        hit = among(tags_of(block.hashes, buckets), shared)
         hashes, starts, counts, owner = block.hashes[hit], block.starts[hit], block.counts[hit], block.owner[hit]
         part = np.zeros((len(hashes), every), np.uint8)
         part[:, :8] = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
         part[:, 8] = counts
+        part[:, 9] = block.places[hit]
         if len(hashes):
             padded = np.concatenate((block.raw, np.zeros(width, np.uint8)))
             body = np.lib.stride_tricks.sliding_window_view(padded, width)[starts]
-            np.multiply(body, reach < (counts + length - 1)[:, None], out=part[:, 9 : 9 + width])
+            np.multiply(body, reach < (counts + length - 1)[:, None], out=part[:, HEAD : HEAD + width])
         rows.append(part)
         owners.append(block.doc[owner])
         found.append(Found(block, starts, counts, owner, np.empty(0, np.int64)))
@@ -287,14 +351,17 @@ def hash_of(rows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(rows[:, :8]).view(">u8").ravel().astype(np.uint64)
 
 
-def offer(table: pa.Table, replies: pa.Table, batch: int, length: int, buckets: int) -> pa.Table:
-    parts = [np.frombuffer(x, np.uint64) for x in replies.column("hashes").to_pylist()]
-    shared = np.sort(np.concatenate((*parts, np.empty(0, np.uint64))))
-    entries, least, _ = entries_of(table, shared, length)
+def dealt_out(entries: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of entries by bucket, and their buckets in that order."""
     where = buckets_of(hash_of(entries), buckets)
     order = np.argsort(where, kind="stable")
-    entries, least, where = entries[order], least[order], where[order]
-    return as_table([(bucket, batch, entries[x].tobytes(), least[x].tobytes()) for bucket, x in spread(where)], ROUND_TWO)
+    return order, where[order]
+
+
+def offer(table: pa.Table, replies: pa.Table, batch: int, length: int, buckets: int) -> pa.Table:
+    entries, least, _ = entries_of(table, tags_said(replies), length, buckets)
+    order, where = dealt_out(entries, buckets)
+    return as_table([(bucket, batch, squeezed(entries[order[x], 8:]), squeezed(least[order[x]])) for bucket, x in spread(where)], ROUND_TWO)
 
 
 class RunIndex:
@@ -315,7 +382,6 @@ class RunIndex:
         self.start = np.flatnonzero(new)
         self.count = np.diff(np.append(self.start, self.size))
         self.symbol = before[self.start].astype(np.int64)
-        self.end_place = order[self.start + self.count - 1]  # sampled: where the suffix at each run's end begins
         by = np.lexsort((self.start, self.symbol))
         self.key = self.symbol[by] * (self.size + 1) + self.start[by]
         counts, symbols_of = self.count[by], self.symbol[by]
@@ -375,7 +441,7 @@ class RunIndex:
 
     def marks(self, texts: np.ndarray, counts: np.ndarray, owners: np.ndarray) -> np.ndarray:
         """For each text the bits of those of its strings that also occur in a text of a smaller owner."""
-        out = np.zeros(len(texts), np.uint64)
+        out = np.zeros(len(texts), np.uint32)
         low, high = np.zeros(len(texts), np.int64), np.full(len(texts), self.size)
         rows = np.arange(len(texts))
         for back in range(1, self.length + 1):
@@ -384,56 +450,69 @@ class RunIndex:
         while len(live):
             found = self.widened(low)
             hit = self.range_least[found] < owners[live]
-            out[live[hit]] |= np.uint64(1) << at[hit].astype(np.uint64)
+            out[live[hit]] |= np.uint32(1) << at[hit].astype(np.uint32)
             on = at > 0
             live, at, found = live[on], at[on] - 1, found[on]
             low, _ = self.extended(self.range_start[found], self.range_end[found], texts[live, at].astype(np.int64) + 1)
         return out
 
 
+def rows_of(raw: bytes, length: int) -> np.ndarray:
+    """Entries that came without their hash."""
+    width = row_bytes(length)
+    held = np.frombuffer(raw, np.uint8).reshape(-1, width - 8)
+    out = np.empty((len(held), width), np.uint8)
+    out[:, 8:] = held
+    place = held[:, HEAD - 8 - 1].astype(np.int64)
+    at = np.arange(len(held)) * (width - 8) + (HEAD - 8) + place % SIDE
+    out[:, :8] = key_hashes(held.ravel(), at, place >= SIDE).astype(">u8").view(np.uint8).reshape(-1, 8)
+    return out
+
+
 def resolve(table: pa.Table, length: int) -> pa.Table:
-    """For each batch's entries the least id of all batches, and the marks within that id's document."""
-    width, body = row_bytes(length), 9 + length - 1 + MOST_STRINGS
-    batches = table.column("batch").to_pylist()
-    parts = [np.frombuffer(x, np.uint8).reshape(-1, width) for x in table.column("entries").to_pylist()]
-    owners = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("least").to_pylist()])
-    entries, least, entry_of = distinct_rows(np.concatenate(parts), owners)
+    """For each batch the keys of its entries, and for those where it differs from what the batch knows the least id of
+    all batches and the marks within that id's document."""
+    body = HEAD + length - 1 + MOST_STRINGS
+    bucket, batches = table.column("bucket")[0].as_py(), table.column("batch").to_pylist()
+    parts = [rows_of(restored(x), length) for x in table.column("entries").to_pylist()]
+    known = [np.frombuffer(restored(x), np.int64) for x in table.column("least").to_pylist()]
+    entries, least, entry_of = distinct_rows(np.concatenate(parts), np.concatenate(known))
     hashes, counts = hash_of(entries), entries[:, 8].astype(np.int64)
     same = hashes[1:] == hashes[:-1]
     several = np.concatenate((same, [False])) | np.concatenate(([False], same))
-    marks = np.zeros(len(entries), np.uint64)
+    marks = np.zeros(len(entries), np.uint32)
     if several.any():
-        texts, own_counts = np.ascontiguousarray(entries[several, 9:body]), counts[several]
+        texts, own_counts = np.ascontiguousarray(entries[several, HEAD:body]), counts[several]
         index = RunIndex(texts, own_counts + length - 1, least[several], length)
         marks[several] = index.marks(texts, own_counts, least[several])
     rows, at = [], 0
-    for batch, part in zip(batches, parts, strict=True):
+    for batch, part, own in zip(batches, parts, known, strict=True):
         mine = entry_of[at : at + len(part)]
         at += len(part)
-        rows.append((batch, hash_of(part).tobytes(), least[mine].tobytes(), marks[mine].tobytes()))
+        news = np.flatnonzero((least[mine] != own) | (marks[mine] != 0))
+        keys = np.unique(hash_of(part).astype("<u4"))
+        rows.append((batch, bucket, squeezed_keys(keys), squeezed_keys(news.astype("<u4")), squeezed(least[mine[news]]), squeezed(marks[mine[news]])))
     return as_table(rows, REPLY)
 
 
 # Round three
 
 
-def cut(table: pa.Table, replies: pa.Table, length: int) -> pa.Table:
+def cut(table: pa.Table, replies: pa.Table, length: int, buckets: int) -> pa.Table:
     """Per document: what goes, and the rest."""
-    parts = [[np.frombuffer(x, kind) for x in replies.column(name).to_pylist()] for name, kind in (("hashes", np.uint64), ("least", np.int64), ("marks", np.uint64))]
-    hashes = np.concatenate((*parts[0], np.empty(0, np.uint64)))
-    entries, _, found = entries_of(table, np.unique(hashes), length)
-    # a reply's rows are a bucket's entries in their order, so a stable sort by hash sets them beside the entries again
-    order = np.argsort(hashes, kind="stable")
-    least = np.concatenate((*parts[1], np.empty(0, np.int64)))[order]
-    marks = np.concatenate((*parts[2], np.empty(0, np.uint64)))[order]
-    if not np.array_equal(hash_of(entries), hashes[order]):
-        raise RuntimeError("the replies don't fit the batch")
+    entries, least, found = entries_of(table, tags_said(replies), length, buckets)
+    marks = np.zeros(len(entries), np.uint32)
+    order, where = dealt_out(entries, buckets)
+    begins = dict((bucket, x.start) for bucket, x in spread(where))
+    for bucket, *news in zip(*(replies.column(x).to_pylist() for x in ("bucket", "news", "least", "marks")), strict=True):
+        mine = order[begins[bucket] + restored_keys(news[0]).astype(np.int64)]
+        least[mine], marks[mine] = np.frombuffer(restored(news[1]), np.int64), np.frombuffer(restored(news[2]), np.uint32)
     rows, kept = [], []
-    string = np.arange(MOST_STRINGS, dtype=np.uint64)
+    string = np.arange(MOST_STRINGS, dtype=np.uint32)
     for x in found:
         block, doc = x.block, x.block.doc[x.owner]
-        bits = np.where(least[x.entry] < doc, np.uint64(0xFFFFFFFFFFFFFFFF), np.where(least[x.entry] == doc, marks[x.entry], np.uint64(0)))
-        hit = ((bits[:, None] >> string) & np.uint64(1)).astype(bool) & (np.arange(MOST_STRINGS) < x.counts[:, None])
+        bits = np.where(least[x.entry] < doc, np.uint32(0xFFFFFFFF), np.where(least[x.entry] == doc, marks[x.entry], np.uint32(0)))
+        hit = ((bits[:, None] >> string) & np.uint32(1)).astype(bool) & (np.arange(MOST_STRINGS) < x.counts[:, None])
         places = (x.starts[:, None] + np.arange(MOST_STRINGS))[hit]
         size = len(block.raw)
         depth = np.bincount(places, minlength=size + 1) - np.bincount(places + length, minlength=size + 1)
@@ -451,9 +530,10 @@ def cut(table: pa.Table, replies: pa.Table, length: int) -> pa.Table:
     )
 
 
+NO_KEYS = squeezed_keys(np.empty(0, "<u4"))
 ROUND_ONE = {"bucket": pa.int64(), "batch": pa.int64(), "ones": pa.binary(), "many": pa.binary()}
 ROUND_TWO = {"bucket": pa.int64(), "batch": pa.int64(), "entries": pa.binary(), "least": pa.binary()}
-REPLY = {"batch": pa.int64(), "hashes": pa.binary(), "least": pa.binary(), "marks": pa.binary()}
+REPLY = {"batch": pa.int64(), "bucket": pa.int64(), "keys": pa.binary(), "news": pa.binary(), "least": pa.binary(), "marks": pa.binary()}
 
 
 def as_table(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.Table:
@@ -469,7 +549,9 @@ def remove_repeats(docs: DataFrame, policy: RepeatPolicy | None = None) -> DataF
     """docs: doc_id, text. Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay)."""
     policy = policy or RepeatPolicy()
     length = policy.length
-    docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(int(LAST))).cast("bigint").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    whole = docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    number = F.col("doc_id").cast("bigint") if whole else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
+    docs = docs.select("doc_id", F.coalesce(number, F.lit(int(LAST))).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     size = min(max(policy.batch_bytes, math.isqrt(100 * total)), policy.most_batch_bytes)
     batches = max(1, -(-total // size))
@@ -480,7 +562,7 @@ def remove_repeats(docs: DataFrame, policy: RepeatPolicy | None = None) -> DataF
         return report(table, key[0].as_py(), length, buckets)
 
     def reply_one(table: pa.Table) -> pa.Table:
-        return shared_hashes(table)
+        return shared_keys(table)
 
     def round_two(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
         return offer(table, replies, key[0].as_py(), length, buckets)
@@ -489,7 +571,7 @@ def remove_repeats(docs: DataFrame, policy: RepeatPolicy | None = None) -> DataF
         return resolve(table, length)
 
     def round_three(table: pa.Table, replies: pa.Table) -> pa.Table:
-        return cut(table, replies, length)
+        return cut(table, replies, length, buckets)
 
     for f in (round_one, round_two):
         f.__annotations__ = {}
