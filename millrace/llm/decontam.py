@@ -11,8 +11,9 @@ Only DataFrame functions are used. The anchors are broadcast while they are at m
 are shuffled, and only ids and positions with them. A document's matches are gathered in its own row, never by item
 or by passage.
 
-Null text has no words. Repeated or null document ids are pooled: each such row shows the hits of all of them. Benchmark
-rows without an id are left out, repeated ones count once. Empty tables give no hits.
+Null text has no words. Each row is judged for itself, whether its id is null, repeated or its own. Benchmark rows without
+an id are left out, repeated ones count once. Texts of any length are taken whole; columns besides the named ones are
+kept or left out, but never read, whatever their names. Empty tables give no hits.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ class LeakPolicy:
     window: int = 10
     shingle: int = 3
     max_broadcast: int = 100_000
+    max_broadcast_bytes: int = 64 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -66,11 +68,28 @@ def item_shingles(benchmark: DataFrame, policy: LeakPolicy) -> DataFrame:
 
 
 def small(frame: DataFrame, policy: LeakPolicy) -> bool:
-    return frame.limit(policy.max_broadcast + 1).count() <= policy.max_broadcast
+    """Whether a settled frame may be broadcast: by its rows, and by the bytes of the words that it carries."""
+    if frame.limit(policy.max_broadcast + 1).count() > policy.max_broadcast:
+        return False
+    return "snip" not in frame.columns or (frame.agg(F.sum(F.octet_length(F.array_join("snip", " ")))).first()[0] or 0) <= policy.max_broadcast_bytes
+
+
+#: What tells a row from others: its id and two hashes of its text.
+KEY = ["doc_id", "key1", "key2"]
+
+
+def keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("text").alias("key1"), F.xxhash64(F.lit(1), "text").alias("key2"), *more)
+
+
+def same_row(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
+    """Whether a row of left has the key that right holds under these names."""
+    doc_id, key1, key2 = names
+    return left["doc_id"].eqNullSafe(right[doc_id]) & (left["key1"] == right[key1]) & (left["key2"] == right[key2])
 
 
 def document_words(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", words_of(F.col("text")).alias("words"))
+    return keyed(docs, words_of(F.col("text")).alias("words"))
 
 
 def rarity(docs: DataFrame, keys: DataFrame, sizes: list[int], policy: LeakPolicy) -> DataFrame:
@@ -108,11 +127,11 @@ def verified(rows: DataFrame) -> DataFrame:
         return F.when(inside, F.slice("near", begin + j - F.col("low") + 1, F.col("width")) == F.slice("snip", j + 1, F.col("width"))).otherwise(False)
 
     found = F.filter(F.sequence(F.lit(0), F.size("snip") - F.col("width")), stands)
-    return rows.withColumn("starts", F.transform(found, lambda j: begin + j)).select("doc_id", "anchor", "width", "starts")
+    return rows.withColumn("starts", F.transform(found, lambda j: begin + j)).select(*KEY, "anchor", "width", "starts")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, policy: LeakPolicy | None = None) -> tuple[DataFrame, DataFrame]:
-    """(occurrences: doc_id, anchor, width, starts; items: anchor, item_id)."""
+    """(occurrences: a row's key, anchor, width, starts; items: anchor, item_id)."""
     policy = policy or LeakPolicy()
     docs = docs.select("doc_id", "text")
     shingles = settle(item_shingles(benchmark, policy), "shingles")
@@ -127,8 +146,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, policy: LeakPolicy | None
         if held:
             parts.append(verified(shingle_rows(texts, "words", n).join(F.broadcast(own), "key")))
         else:
-            places = shingle_rows(texts, "words", n).select("doc_id", "pos", "key").join(own, "key").withColumnRenamed("doc_id", "place_id")
-            parts.append(verified(places.join(texts, F.col("place_id").eqNullSafe(F.col("doc_id"))).drop("place_id")))
+            places = shingle_rows(texts, "words", n).select(*(F.col(x).alias(f"place_{x}") for x in KEY), "pos", "key").join(own, "key")
+            found = [f"place_{x}" for x in KEY]
+            parts.append(verified(places.join(texts.distinct(), same_row(texts, places, found)).drop(*found)))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -139,20 +159,22 @@ def leak_report(docs: DataFrame, benchmark: DataFrame, policy: LeakPolicy | None
     """For each document: doc_id, n_words, n_hit, item_ids (sorted as strings)."""
     leaks, items = find_leaks(docs, benchmark, policy)
     covered = F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.col("width") - 1)))
-    hits = leaks.select("doc_id", covered.alias("places")).groupBy("doc_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("bigint").alias("n_hit"))
-    named = leaks.select("doc_id", "anchor").distinct().join(items, "anchor").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
-    found = hits.join(named, hits.doc_id.eqNullSafe(named.doc_id)).select(hits.doc_id.alias("leak_id"), "n_hit", "item_ids")
-    counted = docs.select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("n_words"))
-    out = counted.join(found, F.col("doc_id").eqNullSafe(F.col("leak_id")), "left")
+    hits = leaks.select(*KEY, covered.alias("places")).groupBy(*KEY).agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("bigint").alias("n_hit"))
+    held = [f"leak_{x}" for x in KEY]
+    named = leaks.select(*KEY, "anchor").distinct().join(items, "anchor").groupBy(*(F.col(x).alias(y) for x, y in zip(KEY, held, strict=True))).agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
+    found = hits.join(named, same_row(hits, named, held)).select(*held, "n_hit", "item_ids")
+    counted = keyed(docs, F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("n_words"))
+    out = counted.join(found, same_row(counted, found, held), "left")
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, policy: LeakPolicy | None = None) -> DataFrame:
     """The documents that hold no window of the benchmark, with their own columns."""
     leaks, _ = find_leaks(docs, benchmark, policy)
-    dirty = settle(leaks.select(F.col("doc_id").alias("leak__id")).distinct(), "leaky")
+    dirty = settle(leaks.select(*(F.col(x).alias(f"leak__{x}") for x in KEY)).distinct(), "leaky")
     dirty = F.broadcast(dirty) if small(dirty, policy or LeakPolicy()) else dirty
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["leak__id"]), "left_anti")
+    same = docs["doc_id"].eqNullSafe(dirty["leak__doc_id"]) & (F.xxhash64(docs["text"]) == dirty["leak__key1"]) & (F.xxhash64(F.lit(1), docs["text"]) == dirty["leak__key2"])
+    return docs.join(dirty, same, "left_anti")
 
 
 def op2_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

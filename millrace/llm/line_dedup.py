@@ -17,8 +17,12 @@ for each count of errors.
 Only DataFrame functions are used. A line that a third of all documents share is one row after the first partial sum;
 where its occurrences meet the decisions, Spark may split them, as the decisions are a written table.
 
-Null text has no lines. Rows with null ids come before all others (Spark's order). Rows of one id are pooled: a place in
-one of them counts as the same place in all. Empty tables give empty results.
+Null text has no lines. Rows without an id come before all others, in the order of a hash of their texts; rows that share
+an id are each a document of their own, in that order too. Rows that are equal in id and text are copies of one row:
+what stays in one stays in all, and what goes from one goes from all. (Where the hashes of two texts with one id fall
+together, 28 bits of them for a given id, lines that are equal in text and place may both stay; none is lost.) Ids that
+aren't integers are ordered by their hash. Texts of any length are taken whole. Columns besides doc_id and text are kept
+as they are, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -51,12 +55,27 @@ class LinePolicy:
         return [(a, b, k) for (a, k), b in zip(self.short_edits, tops, strict=True)] + [(self.min_chars, None, self.distance)]
 
 
+INTEGERS = ("tinyint", "smallint", "int", "bigint")
+
+
+def row_key(docs: DataFrame) -> list[Column]:
+    """What tells a row's text from those of other rows with its id."""
+    return [F.xxhash64("text").alias("key1"), F.xxhash64(F.lit(1), "text").alias("key2")]
+
+
 def line_rows(docs: DataFrame, policy: LinePolicy) -> DataFrame:
-    """doc_id, at (from 0), line, place: the lines that take part; places are in the order of ids, then lines."""
-    lines = docs.select("doc_id", F.posexplode(F.split(F.col("text"), "\n", -1)).alias("at", "raw"))
-    number = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit("-9223372036854775809").cast("decimal(20,0)"))
-    place = (number * F.lit(1 << 31).cast("decimal(11,0)") + F.col("at")).cast("decimal(38,0)")
-    return lines.select("doc_id", "at", F.btrim("raw", F.lit(BLANKS)).alias("line"), place.alias("place")).where(F.length("line") >= (1 if policy.short_lines else policy.min_chars))
+    """doc_id, key1, key2, at (from 0), line, place: the lines that take part. Places are in the order of rows, then
+    lines: rows without an id first, by the hash of their texts, then the others by id and by the hash of their texts."""
+    whole = docs.schema["doc_id"].dataType.simpleString() in INTEGERS
+    number = (F.col("doc_id") if whole else F.xxhash64("doc_id")).cast("decimal(20,0)")
+    lost = F.lit("-18446744073709551617").cast("decimal(20,0)") - F.col("key1").cast("decimal(20,0)")
+    first = F.when(F.col("doc_id").isNull(), lost).otherwise(number).cast("decimal(20,0)")
+    tie = F.shiftrightunsigned("key1", 36) * F.lit(1 << 31)  # 28 bits of the hash, above the line's number
+    keyed = docs.select("doc_id", "text", *row_key(docs))
+    row = keyed.select("doc_id", "key1", "key2", "text", (first * F.lit(1 << 59).cast("decimal(18,0)") + tie.cast("decimal(18,0)")).cast("decimal(38,0)").alias("row"))
+    lines = row.select("doc_id", "key1", "key2", "row", F.posexplode(F.split(F.col("text"), "\n", -1)).alias("at", "raw"))
+    cut = lines.select("doc_id", "key1", "key2", "at", F.btrim("raw", F.lit(BLANKS)).alias("line"), (F.col("row") + F.col("at")).cast("decimal(38,0)").alias("place"))
+    return cut.where(F.length("line") >= (1 if policy.short_lines else policy.min_chars))
 
 
 def line_id(line: Column) -> list[Column]:
@@ -203,7 +222,7 @@ def few_rows(frame: DataFrame, policy: LinePolicy) -> bool:
 
 
 def removed_lines(docs: DataFrame, policy: LinePolicy | None = None) -> DataFrame:
-    """doc_id, places: sorted places of the lines that go; documents that lose none are missing."""
+    """doc_id, key1, key2 (the text's hashes), places: sorted places of the lines that go; rows that lose none are missing."""
     policy = policy or LinePolicy()
     lines = line_rows(docs.select("doc_id", "text"), policy)
     distinct = distinct_lines(lines, policy)
@@ -214,8 +233,8 @@ def removed_lines(docs: DataFrame, policy: LinePolicy | None = None) -> DataFram
     decided = firsts.join(near, ["id", "id2"], "left").withColumn("stays", F.least("first", F.coalesce("near", "first"))).where((F.col("n") > 1) | (F.col("stays") < F.col("first")))
     decided = settle(decided.select("id", "id2", "stays"), "line-decisions")
     decided = F.broadcast(decided) if few_rows(decided, policy) else decided.hint("merge")
-    gone = lines.select("doc_id", "at", "place", *line_id(F.col("line"))).join(decided, ["id", "id2"]).where(F.col("place") > F.col("stays"))
-    return settle(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("places")), "lines-removed")
+    gone = lines.select("doc_id", "key1", "key2", "at", "place", *line_id(F.col("line"))).join(decided, ["id", "id2"]).where(F.col("place") > F.col("stays"))
+    return settle(gone.groupBy("doc_id", "key1", "key2").agg(F.sort_array(F.collect_set("at")).alias("places")), "lines-removed")
 
 
 def without_lines(text: Column, places: Column) -> Column:
@@ -236,12 +255,15 @@ def dedup_lines(docs: DataFrame, policy: LinePolicy | None = None, drop_emptied:
 
 def with_removed(docs: DataFrame, policy: LinePolicy) -> tuple[DataFrame, str]:
     """docs with the places to remove, null where there are none, and the name of that column, which docs doesn't use."""
-    key, places = free_name(docs, "gone_id"), free_name(docs, "gone")
-    gone = removed_lines(docs, policy).select(F.col("doc_id").alias(key), F.col("places").alias(places))
+    names = {x: free_name(docs, f"gone_{x}") for x in ("doc_id", "key1", "key2", "places")}
+    gone = removed_lines(docs, policy).select(*(F.col(x).alias(name) for x, name in names.items()))
+    places = names["places"]
     few = gone.limit(policy.max_broadcast + 1).agg(F.count("*").alias("n"), F.sum(F.size(places)).alias("places")).first()
     small = few["n"] <= policy.max_broadcast and (few["places"] or 0) <= 10 * policy.max_broadcast
-    joined = docs.join(F.broadcast(gone) if small else gone, docs["doc_id"].eqNullSafe(gone[key]), "left")
-    return joined.drop(key), places
+    own = [F.xxhash64(docs["text"]), F.xxhash64(F.lit(1), docs["text"])]
+    same = docs["doc_id"].eqNullSafe(gone[names["doc_id"]]) & (own[0] == gone[names["key1"]]) & (own[1] == gone[names["key2"]])
+    joined = docs.join(F.broadcast(gone) if small else gone, same, "left")
+    return joined.drop(names["doc_id"], names["key1"], names["key2"]), places
 
 
 def free_name(docs: DataFrame, name: str) -> str:
@@ -250,9 +272,9 @@ def free_name(docs: DataFrame, name: str) -> str:
     return name
 
 
-def op3_line_dedup(docs: DataFrame) -> DataFrame:
+def op3_line_dedup(docs: DataFrame, policy: LinePolicy | None = None) -> DataFrame:
     """Per document: lines, lines removed, and the digest of the text that is left."""
-    found, gone = with_removed(docs.select("doc_id", "text"), LinePolicy())
+    found, gone = with_removed(docs.select("doc_id", "text"), policy or LinePolicy())
     text = F.coalesce(F.col("text"), F.lit(""))
     return found.select(
         "doc_id",

@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import decontam, html_text, line_dedup, packing, pii, quality, run_index, simhash, url_reputation, warc
+from millrace.llm.sql import SQL
 from millrace.runtime import table
 
+__all__ = ["QUERIES", "SQL"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -20,7 +23,7 @@ def over(name: str, operator: Callable[..., DataFrame], *more: str) -> Query:
 QUERIES: dict[str, Query] = {
     "op1_simhash": over("documents", simhash.op1_simhash),
     "op2_decontamination": over("documents", decontam.op2_decontamination, "benchmark"),
-    "op3_line_dedup": over("documents", line_dedup.op3_line_dedup),
+    "op3_line_dedup": over("documents", lambda docs: line_dedup.op3_line_dedup(docs, line_dedup.LinePolicy(short_lines=True))),
     "op4_pii": over("documents", pii.op4_pii),
     "op5_url_filters": over("pages", url_reputation.op5_url_filters, "labels"),
     "op6_quality_rules": over("documents", quality.op6_quality_rules),
@@ -29,6 +32,3 @@ QUERIES: dict[str, Query] = {
     "op9_html_extraction": over("pages", html_text.op9_html_extraction),
     "op10_run_index_dedup": over("documents", run_index.op10_run_index_dedup),
 }
-
-#: DuckDB SQL for the queries that SQL can express.
-SQL: dict[str, str] = {}

@@ -13,8 +13,10 @@ the bucket. (The form needs distance 2; other distances take a finer split of th
 Groups are found by passing labels over the links in rounds, each a written table; nothing but a count reaches the
 driver.
 
-Null text counts as empty, which has fingerprint zero. Rows with a null id get a fingerprint and their group's id; a group's id is the least id in it, null where there is none. Repeated ids and rows are
-kept as they are.
+Null text counts as empty, which has fingerprint zero. Rows with a null id get a fingerprint and their group's id; a
+group's id is the least id in it, null where there is none. Repeated ids and rows are kept as they are. Texts of any
+length are taken whole, their hashes some at a time. Other columns of the documents are not read, whatever their names.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,6 +46,10 @@ class SimHashPolicy:
     blocks: int = 4
     max_bucket: int = 16
 
+    def __post_init__(self):
+        if self.distance != 2:
+            raise ValueError("large buckets are linked through values one bit away, which needs distance 2")
+
     def choices(self) -> list[int]:
         """The bit masks to join on: each of all choices of blocks - distance blocks."""
         edges = [64 * i // self.blocks for i in range(self.blocks + 1)]
@@ -97,8 +103,6 @@ def links(prints: DataFrame, policy: SimHashPolicy) -> DataFrame:
     pairs = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= policy.distance)
     if shared.where(F.col("n") > policy.max_bucket).limit(1).count() == 0:
         return pairs
-    if policy.distance != 2:
-        raise ValueError("large buckets are resolved for distance 2 only")
     bits = F.array(F.lit(0), *(F.lit(signed(1 << i)) for i in range(64)))
     large = shared.where(F.col("n") > policy.max_bucket).select("choice", "part", "mask", "fp", F.explode(bits).alias("bit")).where(F.col("bit").bitwiseAND(F.col("mask")) == 0)
     named = large.select("choice", "fp", F.col("fp").bitwiseXOR(F.col("bit")).alias("value"))
@@ -107,10 +111,11 @@ def links(prints: DataFrame, policy: SimHashPolicy) -> DataFrame:
     return pairs.unionByName(stars)
 
 
-def near_duplicate_groups(docs: DataFrame, policy: SimHashPolicy | None = None) -> DataFrame:
-    """docs: doc_id, text. Returns doc_id, fp (signed), component_id."""
+def near_duplicate_groups(docs: DataFrame, policy: SimHashPolicy | None = None, key: bool = False) -> DataFrame:
+    """docs: doc_id, text. Returns doc_id, fp (signed), component_id, and with key the text's hash."""
     policy = policy or SimHashPolicy()
-    prints = settle(docs.select("doc_id", fingerprints(F.col("text"), policy).alias("fp")), "fingerprints")
+    own = [F.xxhash64("text").alias("key")] if key else []
+    prints = settle(docs.select("doc_id", *own, fingerprints(F.col("text"), policy).alias("fp")), "fingerprints")
     classes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     pairs = settle(links(classes.select("fp"), policy).distinct(), "links")
     parts = smallest_reachable(pairs)  # node, root: the least fingerprint, for those with links
@@ -118,17 +123,18 @@ def near_duplicate_groups(docs: DataFrame, policy: SimHashPolicy | None = None)
     rooted = settle(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = settle(rooted.join(least, "root").select("fp", "component_id"), "components")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(named, "fp").select("doc_id", "fp", "component_id", *(["key"] if key else []))
 
 
 def drop_near_duplicates(docs: DataFrame, policy: SimHashPolicy | None = None) -> DataFrame:
-    """One document of each group stays, that with the least id; rows that repeat it stay with it, as do rows without
-    an id."""
-    groups = near_duplicate_groups(docs.select("doc_id", "text"), policy)
-    gone = settle(groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone__id")).distinct(), "copies")
+    """One document of each group stays, that with the least id; rows with its id and a text of its group stay with it, as
+    do rows without an id. Rows that share an id but not the text are judged each for itself."""
+    groups = near_duplicate_groups(docs.select("doc_id", "text"), policy, key=True)
+    gone = groups.where(F.col("doc_id") != F.col("component_id"))
+    gone = settle(gone.select(F.col("doc_id").alias("gone__id"), F.col("key").alias("gone__key")).distinct(), "copies")
     if gone.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:  # else the texts are shuffled
         gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"] == gone["gone__id"], "left_anti")
+    return docs.join(gone, (docs["doc_id"] == gone["gone__id"]) & (F.xxhash64(docs["text"]) == gone["gone__key"]), "left_anti")
 
 
 def op1_simhash(docs: DataFrame) -> DataFrame:

@@ -9,7 +9,9 @@ Only DataFrame functions are used. The pages are never gathered by host: counts
 and the pages meet the finished host table in a join that Spark may split where one host has many pages.
 
 Null urls, and urls without ://, have an empty host and path and are judged as one host. A null page_id has no outcome.
-Repeated pages count and are returned as often as they occur. An empty table gives an empty result.
+Repeated pages count and are returned as often as they occur. Of several labels of one page the page is bad if one says
+so. Page ids may be of any type. Urls of any length are read whole; other columns are not read, whatever their names. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,14 +39,17 @@ class Rule:
 
 @dataclass(frozen=True)
 class ReputationPolicy:
-    """block_above: the bad rate that the posterior's lower bound must exceed. z: the bound's distance in standard
-    deviations. Strengths are held between the two limits, as few siblings say little of their spread."""
+    """A host is blocked if the posterior's lower bound exceeds lift times the bad rate of all labelled pages, and
+    block_above where that is less. z: the bound's distance in standard deviations. Strengths are held between the two
+    limits, as few siblings say little of their spread. second_level: labels that make a suffix of two parts together
+    with a country's code of two letters."""
 
     block_above: float = 0.5
+    lift: float = 2.0
     z: float = 1.645
     least_strength: float = 2.0
     most_strength: float = 200.0
-    two_part_suffixes: tuple[str, ...] = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in")
+    second_level: tuple[str, ...] = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "mil", "ne", "net", "nom", "or", "org")
 
 
 RULES = (Rule("allow", "com", "/"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"), Rule("block", "net", "/es/"), Rule("block", "net", "/fr/"))
@@ -71,15 +76,29 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return F.coalesce(*picked)
 
 
+IP = r"^(?:[0-9]+\.){3}[0-9]+$|^\["
+
+
+def site_of(host: Column) -> Column:
+    """The host without user, port and a closing dot."""
+    named = F.regexp_extract(host, "([^@]*)$", 1)
+    return F.regexp_replace(F.regexp_replace(named, "(?<=[^:]):[0-9]*$", ""), "\\.$", "")
+
+
+def two_parts(site: Column, policy: ReputationPolicy) -> Column:
+    return site.rlike(rf"(?:^|\.)(?:{'|'.join(policy.second_level)})\.[a-z]{{2}}$")
+
+
 def suffix_of(host: Column, policy: ReputationPolicy) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(list(policy.two_part_suffixes)), two).otherwise(F.substring_index(host, ".", -1))
+    """The last label, or two under a country's code; addresses have a suffix of their own."""
+    site = site_of(host)
+    return F.when(site.rlike(IP), F.lit("(address)")).when(two_parts(site, policy), F.substring_index(site, ".", -2)).otherwise(F.substring_index(site, ".", -1))
 
 
 def domain_of(host: Column, policy: ReputationPolicy) -> Column:
-    """The suffix and one label before it."""
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(list(policy.two_part_suffixes)), F.substring_index(host, ".", -3)).otherwise(two)
+    """The suffix and one label before it; an address is its own domain."""
+    site = site_of(host)
+    return F.when(site.rlike(IP), site).when(two_parts(site, policy), F.substring_index(site, ".", -3)).otherwise(F.substring_index(site, ".", -2))
 
 
 def strength(level: DataFrame, policy: ReputationPolicy) -> float:
@@ -98,7 +117,8 @@ def strength(level: DataFrame, policy: ReputationPolicy) -> float:
 
 
 def host_reputation(outcomes: DataFrame, policy: ReputationPolicy | None = None) -> DataFrame:
-    """outcomes: host, bad (boolean; null: not labelled). One row per host: n, bad, the posterior's mean and lower bound."""
+    """outcomes: host, bad (boolean; null: not labelled). One row per host: n, bad, the posterior's mean and lower bound,
+    and the limit of the corpus."""
     policy = policy or ReputationPolicy()
     hosts = settle(
         outcomes.groupBy("host")
@@ -119,7 +139,7 @@ def host_reputation(outcomes: DataFrame, policy: ReputationPolicy | None = None)
     domain_mean = domains.join(suffix_mean, "suffix").select("domain", "suffix", mean(F.col("suffix_mean"), s_domain).alias("domain_mean"))
     posterior = mean(F.col("domain_mean"), s_host)
     spread = F.sqrt(posterior * (1 - posterior) / (F.col("n") + s_host + 1))
-    return hosts.join(domain_mean, ["domain", "suffix"]).select("host", "n", "bad", posterior.alias("bad_rate"), F.greatest(posterior - policy.z * spread, F.lit(0.0)).alias("bad_rate_low"))
+    return hosts.join(domain_mean, ["domain", "suffix"]).select("host", "n", "bad", posterior.alias("bad_rate"), F.greatest(posterior - policy.z * spread, F.lit(0.0)).alias("bad_rate_low"), F.lit(min(policy.block_above, policy.lift * overall)).alias("limit"))
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule] = RULES, policy: ReputationPolicy | None = None) -> DataFrame:
@@ -127,11 +147,12 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule] = RU
     posterior."""
     policy = policy or ReputationPolicy()
     parts = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    labelled = parts.select("page_id", "host").join(outcomes.select("page_id", "bad"), "page_id", "left").select("host", "bad")
+    once = outcomes.where("page_id IS NOT NULL").groupBy("page_id").agg(F.bool_or("bad").alias("bad"))
+    labelled = parts.select("page_id", "host").join(once, "page_id", "left").select("host", "bad")
     reputation = settle(host_reputation(labelled, policy), "reputation")
     judged = parts.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules)).join(reputation, "host", "left")
-    learned = F.when(F.col("bad_rate_low") > policy.block_above, F.lit("block")).otherwise(F.lit("allow"))
-    return judged.select("page_id", "host", "path", F.col("fit.text").alias("rule"), F.coalesce("fit.verdict", learned).alias("verdict"), "bad_rate", "bad_rate_low")
+    learned = F.when(F.col("bad_rate_low") > F.col("limit"), F.lit("block")).otherwise(F.lit("allow"))
+    return judged.select("page_id", "host", "path", F.col("fit.text").alias("rule"), F.coalesce("fit.verdict", learned).alias("verdict"), F.round("bad_rate", 6).alias("bad_rate"), F.round("bad_rate_low", 6).alias("bad_rate_low"))
 
 
 def op5_url_filters(pages: DataFrame, labels: DataFrame) -> DataFrame:
