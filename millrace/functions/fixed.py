@@ -51,3 +51,29 @@ LEMMA_QUOTES = "„“”‚’'\"»«›‹"
 IDENTITY = ("být", "druh")
 NAMING = "jmenovat"
 ASSOCIATION = "kontext"
+
+# Words for numbers and operators, phrases that ask for a sum; folded letters.
+NUMERALS = {
+    "nula": 0, "jedna": 1, "jeden": 1, "jedno": 1, "dva": 2, "dve": 2, "tri": 3, "ctyri": 4, "pet": 5, "sest": 6, "sedm": 7, "osm": 8, "devet": 9, "deset": 10,
+    "jedenact": 11, "dvanact": 12, "trinact": 13, "ctrnact": 14, "patnact": 15, "sestnact": 16, "sedmnact": 17, "osmnact": 18, "devatenact": 19,
+    "dvacet": 20, "tricet": 30, "ctyricet": 40, "padesat": 50, "sedesat": 60, "sedmdesat": 70, "osmdesat": 80, "devadesat": 90,
+    "sto": 100, "ste": 100, "sta": 100, "set": 100, "tisic": 1000, "tisice": 1000,
+}
+OPERATOR_WORDS = {"plus": "+", "minus": "-", "krat": "*", "deleno": "/", "lomeno": "/"}
+SUM_PHRASES = ("dohromady", "celkem", "soucet", "soucty", "secti")
+
+# What a consonant at a stem's end turns into; verbs and nouns of making things; verbs of movement.
+PALATAL_FOLD = {"z": "h", "c": "k", "s": "ch", "š": "ch"}
+WORK_VERBS = ("napsat", "vydat", "natočit", "složit", "namalovat", "vytvořit", "dokončit", "publikovat", "sepsat")
+WORK_NOUNS = (
+    "hra", "dílo", "kniha", "román", "povídka", "obraz", "film", "báseň", "sbírka", "drama", "text", "komedie", "novela", "tragédie", "publikace", "esej", "fejeton",
+    "trilogie",
+)
+MOVEMENT = (
+    "putovat", "cestovat", "pobývat", "dlít", "přespat", "přijít", "odejít", "vejít", "vyjít", "vystoupit", "odebrat", "jet", "přijet", "odjet", "letět", "přiletět",
+    "odletět", "plout", "připlout", "odplout", "dorazit", "vrátit", "utéct", "prchnout", "stěhovat", "přestěhovat", "kráčet", "vandrovat",
+)
+
+# The question word for an entity's kind, and the case that an answer to a question word takes.
+QUESTION_OF = {"p": "Kdo", "g": "Kde", "i": "Co", "t": "Kdy", "n": "Kolik"}
+ANSWER_CASE = {"Kdo": "1", "Co": "1", "Kde": "1", "Kdy": None, "Kolik": None, "Jaký": None, "Který": "1", "Čí": "1"}

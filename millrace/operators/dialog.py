@@ -68,3 +68,51 @@ def card_gain(used: DataFrame) -> DataFrame:
 def role_offer(fact: DataFrame, asked: DataFrame, told: DataFrame) -> DataFrame:
     """Roles of the answering fact that were neither asked for nor told."""
     return fact.select("role", "node").join(asked.select("role"), "role", "left_anti").join(told.select("node"), "node", "left_anti")
+
+
+CLARIFY = ("query.ambiguous", "data.overflow", "statement.identity")
+
+
+def dispatch_nodes(cards: DataFrame, telemetry: DataFrame, claims: DataFrame) -> DataFrame:
+    """name, kind, worker, priority, weight: cards as nodes by the event that they wait for, and the experts that claim a
+    line; weight: how often telemetry names a card. cards: name, event, priority; telemetry: patterns; claims: name, worker,
+    priority."""
+    event = F.col("event")
+    kind = F.when(event == "utterance.query", "otazka").when(event == "utterance.statement", "vyrok").when(event == "utterance.command", "prikaz").when(event.isin(*CLARIFY), "clarify")
+    worker = F.when(event == "utterance.query", "graf").when(event == "utterance.statement", "brana-e").when(event == "utterance.command", "iris").otherwise("dialog")
+    rows = cards.select("name", kind.alias("kind"), worker.alias("worker"), "priority").where("kind IS NOT NULL")
+    every = rows.unionByName(claims.select("name", F.lit("worker").alias("kind"), "worker", "priority"))
+    used = telemetry.select(F.explode("patterns").alias("name")).groupBy("name").agg(F.count("*").cast("double").alias("weight"))
+    return every.join(used, "name", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+
+
+def dispatch_edges(cards: DataFrame) -> DataFrame:
+    """source, kind, target: from questions to the cards that ask back (about an overflow only where the question has a hole),
+    from statements to those about statements, and from each of these back. cards: name, event, has_hole.
+
+    Cards meet by the family of event that they belong to; a deck is written by hand."""
+    about = F.when(F.col("event").startswith("statement."), "vyrok").otherwise("otazka")
+    asks = cards.where(F.col("event").isin(*CLARIFY)).select(F.col("name").alias("target"), F.col("event").alias("asked"), about.alias("family"))
+    family = F.when(F.col("event") == "utterance.query", "otazka").when(F.col("event") == "utterance.statement", "vyrok")
+    from_ = cards.select(F.col("name").alias("source"), family.alias("family"), "has_hole").where("family IS NOT NULL")
+    sharpen = from_.join(asks, "family").where("asked <> 'data.overflow' OR has_hole").select("source", F.lit("zpresneni").alias("kind"), "target")
+    return sharpen.unionByName(asks.select(F.col("target").alias("source"), F.lit("navrat").alias("kind"), F.lit("*").alias("target")))
+
+
+def illuminate(lit: DataFrame, use_weights: bool = False) -> DataFrame:
+    """turn, name, place: the nodes that a turn lights, strongest first: experts before cards, then by priority, by the length
+    of the pattern with the tightness of the trigger, and (if asked for) by weight; the later one in order of equal ones.
+
+    lit: turn, name, kind, priority, length, weight."""
+    tier = F.when(F.col("kind") == "worker", 3).otherwise(2)
+    weight = F.col("weight") if use_weights else F.lit(0.0)
+    rank = F.row_number().over(Window.partitionBy("turn").orderBy(tier.desc(), F.desc("priority"), F.desc("length"), weight.desc(), "name"))
+    return lit.select("turn", "name", rank.alias("place"))
+
+
+def claims_of(turns: DataFrame, key: str, recognisers: dict[str, tuple[int, Column]]) -> DataFrame:
+    """key, name, priority: the expert that claims a turn, the one of highest priority. recognisers: name -> (priority, test over
+    the turn's columns)."""
+    claims = F.array_compact(F.array(*(F.when(test, F.struct(F.lit(priority).alias("priority"), F.lit(name).alias("name"))) for name, (priority, test) in recognisers.items())))
+    best = F.try_element_at(F.array_sort(claims, lambda a, b: F.when(a["priority"] != b["priority"], b["priority"] - a["priority"]).when(a["name"] < b["name"], -1).otherwise(1)), F.lit(1))
+    return turns.select(key, best.alias("c")).where("c IS NOT NULL").select(key, "c.name", "c.priority")
