@@ -8,14 +8,18 @@ collapses outside of pre, blocks start lines, paragraphs, headings, lists and ta
 items their marks and indentation, and the cells of a table are aligned in columns (a cell wider than max_column pads no
 other).
 
-Each page is rendered for itself, in time linear in its length but for the padding of tables. Null or empty html gives
-empty text. Null and repeated ids are kept.
+Each page is rendered for itself, in time linear in its length but for the padding of tables: where open elements stand is
+kept by name, so that no tag looks through the stack. Null or empty html gives empty text. Null and repeated ids, and
+repeated rows, are kept. Pages of any length are rendered whole; columns besides page_id and html are not read, whatever
+their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -24,7 +28,9 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object svg math canvas audio video datalist area map".split())
+HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object canvas audio video datalist area".split())
+#: Hidden within an element of the first: what drawings and formulas hold beside their text.
+UNDRAWN = {"svg": frozenset("title desc defs metadata".split()), "math": frozenset(("annotation", "annotation-xml"))}
 HEAD_ONLY = frozenset("base link meta title style script noscript template head html".split())
 #: Blank lines around a block.
 BLOCKS = dict.fromkeys("address article aside body center dd details dialog div dt fieldset figcaption footer form header hgroup html legend li main nav optgroup option search section summary caption".split(), 0)
@@ -173,6 +179,9 @@ class Page:
         self.tables = 0
         self.items = 0
         self.seen: dict[str, int] = {}  # open elements by name
+        self.at: dict[str, list[int]] = {}  # their places in the stack
+        self.built: list[Table] = []  # open tables that are shown
+        self.holders: list[Element] = []  # open lists
 
     @property
     def canvas(self) -> Canvas:
@@ -243,12 +252,15 @@ class Page:
         if attrs.strip():
             for x in ATTRIBUTE.finditer(attrs):
                 found.setdefault(x[1].lower(), html.unescape(x[2] or x[3] or x[4] or ""))
-        hides = name in HIDDEN or ("hidden" in found and found["hidden"].lower() != "until-found") or bool(UNSEEN.search(found.get("style", "")))
+        hides = name in HIDDEN or any(self.seen.get(x) and name in held for x, held in UNDRAWN.items()) or ("hidden" in found and found["hidden"].lower() != "until-found") or bool(UNSEEN.search(found.get("style", "")))
         if self.open and self.open[-1].name == "details" and self.open[-1].count == 0 and name != "summary":
             hides = True
         element = Element(name, hides)
+        self.at.setdefault(name, []).append(len(self.open))
         self.open.append(element)
         self.seen[name] = self.seen.get(name, 0) + 1
+        if name in ("ul", "ol", "menu"):
+            self.holders.append(element)
         self.hidden += hides
         if name == "details":
             element.count = 1 if "open" in found else 0
@@ -265,7 +277,7 @@ class Page:
             canvas.indent += self.policy.list_indent
         elif name == "li":
             self.items += 1
-            holder = next((x for x in reversed(self.open[:-1]) if x.name in ("ul", "ol", "menu")), None)
+            holder = self.holders[-1] if self.holders else None
             mark = f"{holder.count}. " if holder and holder.name == "ol" else "* "
             if holder and holder.name == "ol":
                 holder.count += 1
@@ -275,6 +287,7 @@ class Page:
         elif name == "table":
             self.tables += 1
             element.table = Table()
+            self.built.append(element.table)
         elif name == "tr":
             if (table := self.table()) is not None:
                 table.rows.append([])
@@ -285,32 +298,28 @@ class Page:
             self.canvases.append(element.canvas)
 
     def table(self) -> Table | None:
-        return next((x.table for x in reversed(self.open) if x.table is not None), None)
+        return self.built[-1] if self.built else None
+
+    def last(self, names: Iterable[str]) -> int:
+        """The place of the innermost open element with one of the names, -1 if there is none."""
+        return max((at[-1] for name in names if (at := self.at.get(name))), default=-1)
 
     def row_open(self) -> bool:
-        for x in reversed(self.open):
-            if x.name == "tr":
-                return True
-            if x.name == "table":
-                return False
-        return True  # a cell outside of tables is no part of a row
+        """A cell outside of tables is no part of a row."""
+        return self.last(("tr",)) >= self.last(("table",))
 
     def end_implied(self, closing: set[str], walls: set[str]) -> None:
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at].name in closing:
-                while len(self.open) > at:
-                    self.pop()
-            elif self.open[at].name in walls:
-                return
+        """Ends all elements of closing that stand within the innermost wall."""
+        wall = self.last(walls)
+        first = min((at[bisect.bisect_right(at, wall)] for name in closing if (at := self.at.get(name)) and at[-1] > wall), default=-1)
+        while 0 <= first < len(self.open):
+            self.pop()
 
-    def end_within(self, name: str, walls: frozenset[str]) -> None:
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at].name == name:
-                while len(self.open) > at:
-                    self.pop()
-                return
-            if self.open[at].name in walls:
-                return
+    def end_within(self, name: str, walls: Iterable[str]) -> None:
+        at = self.last((name,))
+        if at >= 0 and at >= self.last(x for x in walls if x != name):
+            while len(self.open) > at:
+                self.pop()
 
     def close(self, name: str) -> None:
         if name == "br":
@@ -322,7 +331,12 @@ class Page:
         element = self.open.pop()
         name, shown = element.name, not self.hidden
         self.seen[name] -= 1
+        self.at[name].pop()
         self.hidden -= element.hides
+        if name in ("ul", "ol", "menu"):
+            self.holders.pop()
+        if element.table is not None:
+            self.built.pop()
         if element.canvas is not None:
             self.canvases.pop()
             table = self.table()

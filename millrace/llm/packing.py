@@ -442,10 +442,13 @@ def fits_into(items: Filling, bins: Filling) -> bool:
     return any(items[0] <= room and fits_into(items[1:], (*bins[:i], room - items[0], *bins[i + 1 :])) for i, room in enumerate(bins))
 
 
-def undominated(found: list[Filling]) -> list[Filling]:
-    """Without the fillings whose items can be dealt into those of another: the other is never the worse choice."""
+def undominated(found: list[Filling], limit: int) -> list[Filling]:
+    """The first fillings, the fullest first, without those whose items can be dealt into another's: the other is never the
+    worse choice."""
     kept: list[Filling] = []
     for x in sorted(set(found), key=lambda x: (-sum(x), len(x), tuple(-y for y in x))):
+        if len(kept) == limit:
+            break
         if not any(fits_into(x, y) for y in kept):
             kept.append(x)
     return kept
@@ -505,7 +508,7 @@ def fillings(counts: np.ndarray, gap: int, limit: int = 3, widest: int = 64) ->
             break
     if not found:  # what the bounds promised needs more pieces of a length than there are
         found.append((top,))
-    return [(*forced, *x) for x in undominated(found)[:limit]]
+    return [(*forced, *x) for x in undominated(found, limit)]
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
@@ -522,18 +525,22 @@ def complete(counts: np.ndarray, policy: PackPolicy) -> Plan:
     bound, total = lower_bound(counts, capacity), int((lengths * counts).sum())
     best = best_fit(counts, capacity)
     nodes, budget = 0, max(policy.max_nodes, 2 * int((counts > 0).sum()))
-    branches: list[tuple[Path, Filling]] = [(None, ())]  # a branch's state is made from its path when its turn comes
+    left, done, used, waste = counts.copy(), [], 0, 0
+    branches: list[tuple[int, Filling]] = [(0, ())]  # the latest first: each waits at a depth of the path that is walked
     while branches and best.sequences > bound and nodes < budget:
-        path, filling = branches.pop()
-        left, done, used, waste = replayed(counts, path, capacity)
+        depth, filling = branches.pop()
+        while len(done) > depth:  # back to where the branch leaves the path
+            last, times = done.pop()
+            for x in last:
+                left[x] += times
+            used, waste = used - times, waste - times * (capacity - sum(last))
         if filling:
             left, done, used, waste = used_up(left, done, used, waste, filling, capacity)
-            path = (path, *done[-1])
         while True:
             sizes = np.flatnonzero(left)
             if len(sizes) == 0:
                 if used < best.sequences:
-                    best = Plan(done)
+                    best = Plan(list(done))
                 break
             nodes += 1
             if waste > (best.sequences - 1) * capacity - total:
@@ -543,30 +550,11 @@ def complete(counts: np.ndarray, policy: PackPolicy) -> Plan:
             options = fillings(left, capacity - top)
             left[top] += 1
             # the best is followed at once, the others wait
-            branches += [(path, (top, *other)) for other in options[:0:-1]]
+            branches += [(len(done), (top, *other)) for other in options[:0:-1]]
             left, done, used, waste = used_up(left, done, used, waste, (top, *options[0]), capacity)
-            path = (path, *done[-1])
     return Plan(best.fillings, bound, nodes, bool(branches) and best.sequences > bound)
 
 
-#: (path before, filling, number of sequences), or None at the start.
-Path = tuple | None
-
-
-def replayed(counts: np.ndarray, path: Path, capacity: int) -> tuple[np.ndarray, list, int, int]:
-    """The state at the end of a path."""
-    done = []
-    while path is not None:
-        path, filling, times = path
-        done.append((filling, times))
-    left, used, waste = counts.copy(), 0, 0
-    for filling, times in done[::-1]:
-        for x in filling:
-            left[x] -= times
-        used, waste = used + times, waste + times * (capacity - sum(filling))
-    return left, done[::-1], used, waste
-
-
 def used_up(left: np.ndarray, done: list, used: int, waste: int, filling: Filling, capacity: int) -> tuple[np.ndarray, list, int, int]:
     """The state after a filling is used for as many sequences as its lengths are there."""
     sizes, needs = np.unique(np.array(filling), return_counts=True)

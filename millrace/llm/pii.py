@@ -6,7 +6,9 @@ points. Loops over groups are possessive and starts inside a run of candidate ch
 (\G lets a match begin right after the one before), so that time is linear in the text and the stack stays flat; what is
 matched is the same as with the plain patterns, as no later part of them could use what the loops would give back.
 
-Null text counts as empty: no spans. Every row is judged for itself, so null or repeated ids don't matter.
+Null text counts as empty: no spans. Every row is judged for itself, so null or repeated ids and repeated rows don't
+matter. Texts of any length are searched whole. Other columns stay as they are, whatever their names, but for one named
+as the result, which it replaces. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -65,9 +67,17 @@ def is_iban(value: Column) -> Column:
     return F.when(size.between(15, 34), mod97(value) == 1).otherwise(False)
 
 
+def is_random(value: Column) -> Column:
+    """Whether the letters' entropy (bits a letter) is that of a random string: 3 at least."""
+    letters = F.filter(F.split(F.lower(value), ""), lambda c: c != "")
+    size = F.size(letters)
+    share = F.transform(F.array_distinct(letters), lambda c: F.size(F.filter(letters, lambda x: x == c)) / size)
+    return F.aggregate(share, F.lit(0.0), lambda acc, p: acc - p * F.log2(p)) >= 3.0
+
+
 @dataclass(frozen=True)
 class Kind:
-    """pattern proposes, check confirms. score is raised by near where one of the words stands shortly before the span.
+    """pattern proposes, check confirms. score is raised by near where one of the words stands shortly before or after the span.
     hint: a literal without which the pattern can't match."""
 
     name: str
@@ -94,7 +104,11 @@ BASE = (
 #: Further kinds, which stay where the score reaches the limit.
 MORE = (
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", is_iban, 0.9, 0.1, "iban|account|konto|compte|cuenta|bank"),
-    Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", anything, 0.3, 0.5, r"\bssn\b|social|security"),
+    Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", anything, 0.3, 0.5, r"\bssn\b|social|security", "-"),
+    # secrets: runs of hexadecimal digits or of letters and digits that look random, known forms of keys
+    Kind("hex", r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,128}+(?![0-9A-Za-z])", is_random, 0.4, 0.4, r"token|secret|passw|\bkey|api.?key|auth|credential|bearer"),
+    Kind("secret", r"(?<![0-9A-Za-z+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9a-z+/_-]*[A-Z])[0-9A-Za-z+/_-]{20,128}+(?![0-9A-Za-z+/_-])", is_random, 0.2, 0.5, r"token|secret|passw|\bkey|api.?key|auth|credential|bearer"),
+    Kind("key", r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|eyJ[0-9A-Za-z_-]{10,}+\.[0-9A-Za-z_-]{10,}+\.[0-9A-Za-z_-]{10,}+)|-----BEGIN\x20(?:[A-Z]+\x20)?PRIVATE\x20KEY-----", anything, 0.9, 0.1, "key|token|aws|git"),
 )
 
 SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string,score:double>>"
@@ -108,15 +122,23 @@ def proposals(text: Column, kind: Kind) -> Column:
     return matches
 
 
-def span_of(kind: Kind, rank: int) -> Callable[[Column, Column], Column]:
-    """From a match and its place (start and the piece of text before it) to a span with its score."""
+def around(pieces: Column, matches: Column, i: Column) -> tuple[Column, Column]:
+    """The characters before and after match i, the neighbouring matches and what lies beyond them included."""
+    at = lambda xs, j: F.coalesce(F.when(j >= 0, F.get(xs, j)), F.lit(""))
+    before = F.concat(at(pieces, i - 1), at(matches, i - 1), at(pieces, i))
+    after = F.concat(at(pieces, i + 1), at(matches, i + 1), at(pieces, i + 2))
+    return F.substring(before, -CONTEXT_CHARS, CONTEXT_CHARS), F.substring(after, 1, CONTEXT_CHARS)
+
+
+def span_of(kind: Kind, rank: int, pieces: Column, matches: Column) -> Callable[[Column, Column], Column]:
+    """From a match (value, start) and its number to a span with its score."""
 
-    def span(match: Column, place: Column) -> Column:
-        near = F.lower(F.substring(place["piece"], -CONTEXT_CHARS, CONTEXT_CHARS)).rlike(kind.words)
+    def span(match: Column, i: Column) -> Column:
+        before, after = around(pieces, matches, i)
+        near = F.lower(before).rlike(kind.words) | F.lower(after).rlike(kind.words)
         score = F.round(F.lit(kind.score) + F.when(near, F.lit(kind.near)).otherwise(F.lit(0.0)), 2)
-        return F.struct(
-            place["start"].alias("start"), F.lit(rank).alias("rank"), (place["start"] + F.length(match)).alias("end"), F.lit(kind.name).alias("kind"), match.alias("value"), score.alias("score")
-        )
+        start, value = match["start"], match["value"]
+        return F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(value)).alias("end"), F.lit(kind.name).alias("kind"), value.alias("value"), score.alias("score"))
 
     return span
 
@@ -135,9 +157,10 @@ def with_spans(docs: DataFrame, text: str, kinds: Sequence[Kind], ranks: dict[st
             lambda acc, x: F.struct((acc["at"] + x["gap"] + x["size"]).alias("at"), F.array_append(acc["starts"], acc["at"] + x["gap"]).alias("starts")),
             lambda acc: acc["starts"],
         )
-        places = F.zip_with(F.slice(F.col(p), 1, F.size(m)), F.slice(start, 1, F.size(m)), lambda piece, at: F.struct(piece.alias("piece"), at.alias("start")))
-        spans = F.zip_with(F.col(m), places, span_of(kind, ranks[kind.name]))
-        kept = F.filter(spans, lambda x: kind.check(x["value"]) & (F.lit(True) if base else x["score"] >= least_score))
+        places = F.zip_with(F.col(m), F.slice(start, 1, F.size(m)), lambda match, at: F.struct(match.alias("value"), at.alias("start")))
+        spans = F.transform(places, span_of(kind, ranks[kind.name], F.col(p), F.col(m)))
+        sure = (lambda _: F.lit(True)) if base else (lambda x: x["score"] >= least_score)
+        kept = F.filter(spans, lambda x: kind.check(x["value"]) & sure(x))  # noqa: B023
         docs = docs.withColumn(s, F.when(F.size(m) > 0, kept).otherwise(F.array().cast(SPAN))).drop(m, p)
         found.append(s)
     return docs.withColumn(out, F.array_sort(F.concat(*found))).drop(*found)
@@ -147,11 +170,14 @@ def find_pii(docs: DataFrame, text: str = "text", out: str = "pii", base: Sequen
     """docs with column out: the spans by start, then kind; offsets in code points, end exclusive. Spans of different
     kinds may overlap."""
     ranks = {k.name: i for i, k in enumerate((*base, *more))}
-    body, rest = f"{out}__text", f"{out}__more"
+    work = f"{out}_"
+    while any(x.startswith(work) for x in docs.columns):  # work columns must not meet any of the table's own
+        work += "_"
+    body, first, rest = f"{work}text", f"{work}base", f"{work}more"
     docs = docs.withColumn(body, F.coalesce(F.col(text), F.lit("")))
-    docs = with_spans(docs, body, base, ranks, 0.0, out, True)
+    docs = with_spans(docs, body, base, ranks, 0.0, first, True)
     docs = with_spans(docs, body, more, ranks, least_score, rest, False)
-    return docs.withColumn(out, F.array_sort(F.concat(F.col(out), F.col(rest)))).drop(body, rest)
+    return docs.withColumn(out, F.array_sort(F.concat(F.col(first), F.col(rest)))).drop(body, first, rest)
 
 
 def redact(docs: DataFrame, text: str = "text", spans: str = "pii") -> DataFrame:

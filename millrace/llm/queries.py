@@ -26,7 +26,7 @@ QUERIES: dict[str, Query] = {
     "op3_line_dedup": over("documents", lambda docs: line_dedup.op3_line_dedup(docs, line_dedup.LinePolicy(short_lines=True))),
     "op4_pii": over("documents", pii.op4_pii),
     "op5_url_filters": over("pages", url_reputation.op5_url_filters, "labels"),
-    "op6_quality_rules": over("documents", quality.op6_quality_rules),
+    "op6_quality_rules": over("documents", quality.op6_quality_rules, "labels"),
     "op7_best_fit_packing": over("documents", packing.op7_best_fit_packing),
     "op8_warc": over("pages", warc.op8_warc),
     "op9_html_extraction": over("pages", html_text.op9_html_extraction),

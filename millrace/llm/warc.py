@@ -10,16 +10,18 @@ its header, its length and its payload's digest are right. After a failed check
 version line that starts a sound record, goes on from there, and logs the bytes between as a gap.
 
 Null html is an empty payload, null urls are written empty. Rows with a null page_id are responses and come back with a
-null page_id. Repeated ids with equal payloads are all of the kind that their id has. An empty table gives no archive
-rows and an empty result.
+null page_id. Repeated ids with equal payloads are all of the kind that their id has. Page ids may be of any type. Columns besides
+page_id, url and html are not read, whatever their names. An empty table gives no archive rows and an empty result.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +34,7 @@ MAGIC = b"\x1f\x8b\x08"
 HOLLOW = bytes.fromhex("1f8b08000000000000030300000000" + "0000000000")
 END = b"\r\n\r\n"
 VERSION = b"WARC/1."
+MOST_HEAD = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -48,17 +51,21 @@ def header_value(text: str | None) -> str:
     return (text or "").replace("\r", "%0D").replace("\n", "%0A")
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, policy: WarcPolicy) -> bytes:
+def page_urn(page_id: int | str | None) -> str:
+    return f"<urn:page:{'' if page_id is None else quote(str(page_id), safe='')}>"
+
+
+def record_bytes(page_id: int | str | None, url: str | None, payload: bytes, digest: str, refers_to: int | str | None, policy: WarcPolicy) -> bytes:
     """One record, its final blank lines included."""
     kind = "response" if refers_to is None else "revisit"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + payload if refers_to is None else http
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {policy.date}", f"WARC-Target-URI: {header_value(url)}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {page_urn(page_id)}", f"WARC-Date: {policy.date}", f"WARC-Target-URI: {header_value(url)}",
         f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Payload-Length: {len(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}"]
+        head += [f"WARC-Refers-To: {page_urn(refers_to)}", f"WARC-Profile: {PROFILE}"]
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + END + block + END
 
 
@@ -99,35 +106,45 @@ class Record:
 
 
 def parse(data: memoryview, offset: int = 0) -> Record | None:
-    """The record that starts at offset of data, if it is whole and sound."""
-    if bytes(data[offset : offset + len(VERSION)]) != VERSION:
-        return None
-    at, stop = -1, offset
-    while at < 0 and stop < min(len(data), offset + (1 << 20)):
-        stop = min(len(data), max(stop, offset) + 4096)
-        at = bytes(data[offset:stop]).find(END)
-    if at < 0:
+    """The record that starts at offset of data (a view of all of some bytes), if it is whole and sound."""
+    raw: bytes = data.obj
+    line_end = raw.find(b"\r\n", offset, offset + 64)
+    if not raw.startswith(VERSION, offset) or line_end < 0:
         return None
-    headers = {}
-    for line in bytes(data[offset : offset + at]).split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+    headers, at = {}, line_end + 2
+    while not raw.startswith(b"\r\n", at):  # line by line, so that what is no header is given up at once
+        line_end = raw.find(b"\r\n", at, offset + MOST_HEAD)
+        name, colon, value = raw[at:line_end].partition(b":") if line_end >= 0 else (b"", b"", b"")
         if not colon:
             return None
         headers[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "surrogatepass" if b"\xed" in value else "replace")
+        at = line_end + 2
     size = headers.get("content-length", "")
-    start = offset + at + len(END)
+    start = at + 2
     if not size.isdigit() or bytes(data[start + int(size) : start + int(size) + len(END)]) != END:
         return None
     record = Record(offset, start + int(size) + len(END), headers, data[start : start + int(size)])
-    if headers.get("warc-type") == "response" and headers.get("warc-payload-digest", "").startswith("sha256:"):
-        if hashlib.sha256(payload_of(record)).hexdigest() != headers["warc-payload-digest"][7:]:
-            return None
-    return record
+    if not agrees(headers.get("warc-block-digest"), record.block):
+        return None
+    whole = headers.get("warc-type") in ("response", "resource") and "warc-segment-number" not in headers
+    return record if not whole or agrees(headers.get("warc-payload-digest"), payload_of(record)) else None
+
+
+def agrees(said: str | None, data: bytes | memoryview) -> bool:
+    """Whether a digest header (name:value, the value in hexadecimal or base 32) fits; ones that can't be read do."""
+    name, _, value = (said or "").strip().partition(":")
+    kind = name.lower().replace("-", "")
+    if kind not in ("md5", "sha1", "sha256", "sha512"):
+        return True
+    digest = hashlib.new(kind, data).digest()
+    return value.lower() == digest.hex() or value.upper().rstrip("=") == base64.b32encode(digest).decode().rstrip("=")
 
 
 def payload_of(record: Record) -> bytes:
-    """What follows the HTTP head."""
+    """What follows the HTTP head; the whole block where there is none."""
     body = bytes(record.block)
+    if not body.startswith(b"HTTP/"):
+        return body
     cut = body.find(END)
     return body[cut + len(END) :] if cut >= 0 else body
 
@@ -135,12 +152,13 @@ def payload_of(record: Record) -> bytes:
 def inflate(data: memoryview, offset: int, chunk: int) -> tuple[bytes, int] | None:
     """A member's content and end, or nothing if it is damaged or cut off."""
     unpack, at, parts = zlib.decompressobj(31), offset, []
+    step = min(512, chunk)  # small at first, as most false marks show at once
     try:
         while not unpack.eof:
             if at >= len(data):
                 return None
-            parts.append(unpack.decompress(data[at : at + chunk]))
-            at = min(at + chunk, len(data))
+            parts.append(unpack.decompress(data[at : at + step]))
+            at, step = min(at + step, len(data)), min(2 * step, chunk)
     except zlib.error:
         return None
     return b"".join(parts), at - len(unpack.unused_data)
@@ -149,6 +167,7 @@ def inflate(data: memoryview, offset: int, chunk: int) -> tuple[bytes, int] | No
 def salvage(data: bytes, chunk: int = 1 << 16) -> Iterator[Record | tuple[int, int]]:
     """The sound records of an archive in order, and between them the gaps (start, end) of bytes that were given up."""
     view, at, lost = memoryview(data), 0, None
+    ahead = dict.fromkeys((MAGIC, VERSION), -1)  # the next place of each mark, looked for once
     while at < len(data):
         found: list[Record] = []
         if data.startswith(MAGIC, at):
@@ -178,13 +197,16 @@ def salvage(data: bytes, chunk: int = 1 << 16) -> Iterator[Record | tuple[int, i
             at = end
             continue
         lost = at if lost is None else lost
-        nexts = [x for x in (data.find(MAGIC, at + 1), data.find(VERSION, at + 1)) if x >= 0]
-        at = min(nexts, default=len(data))
+        for mark, place in ahead.items():
+            if place <= at:
+                found_at = data.find(mark, at + 1)
+                ahead[mark] = found_at if found_at >= 0 else len(data)
+        at = min(ahead.values())
     if lost is not None:
         yield lost, len(data)
 
 
-READ = "archive string, offset long, length long, kind string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+READ = "archive string, offset long, length long, kind string, page_id string, url string, payload_bytes long, payload_digest string, refers_to string, payload binary"
 
 
 def page_of(urn: str | None) -> int | None:
@@ -192,8 +214,27 @@ def page_of(urn: str | None) -> int | None:
     return int(number) if number.lstrip("-").isdigit() else None
 
 
+def page_name(urn: str | None) -> str | None:
+    """The page that a record id of write_archives names; other ids as they stand."""
+    if urn is None or not urn.startswith("<urn:page:"):
+        return urn
+    return unquote(urn.removeprefix("<urn:page:").removesuffix(">")) or None
+
+
+def described(record: Record) -> tuple[str, int | None, str | None, bytes | None]:
+    """(kind, bytes and sha256 of the payload, payload). Of revisits, which hold none, the headers say what they can."""
+    h = record.headers
+    kind = h.get("warc-type", "unknown")
+    if kind == "revisit":
+        size, digest = h.get("warc-payload-length", ""), h.get("warc-payload-digest", "")
+        return kind, int(size) if size.isdigit() else None, digest.removeprefix("sha256:") or None, None
+    body = payload_of(record) if kind in ("response", "resource") else bytes(record.block)
+    return kind, len(body), hashlib.sha256(body).hexdigest(), body
+
+
 def read_archives(spark: SparkSession, path: str, payloads: bool = True, policy: WarcPolicy | None = None) -> DataFrame:
-    """A row for each sound record (kind response or revisit) and for each gap (kind gap)."""
+    """A row for each sound record, its kind being the record's type, and for each gap (kind gap). Archives may be of any
+    writer; one is read whole by its task, as Spark's binaryFile does, so it has 2 GB at most."""
     policy = policy or WarcPolicy()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,9 +248,9 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True, policy:
                         rows.append((archive.as_py(), x[0], x[1] - x[0], "gap", None, None, None, None, None, None))
                     else:
                         h = x.headers
-                        body = payload_of(x) if payloads and h["warc-type"] == "response" else None
-                        held += len(body or b"")
-                        rows.append((archive.as_py(), x.offset, x.end - x.offset, h["warc-type"], page_of(h.get("warc-record-id")), h.get("warc-target-uri"), int(h["warc-payload-length"]), h["warc-payload-digest"][7:], page_of(h.get("warc-refers-to")), body))
+                        kind, size, digest, body = described(x)
+                        held += len(body or b"") * payloads
+                        rows.append((archive.as_py(), x.offset, x.end - x.offset, kind, page_name(h.get("warc-record-id")), h.get("warc-target-uri"), size, digest, page_name(h.get("warc-refers-to")), body if payloads else None))
                     if len(rows) >= 4000 or held > 1 << 24:
                         yield as_batch(rows, names)
                         rows, held = [], 0
@@ -220,7 +261,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True, policy:
 
 
 def as_batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
     columns = list(zip(*rows, strict=True)) or [()] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
@@ -230,4 +271,5 @@ def op8_warc(pages: DataFrame) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_archives(pages, path)
     found = read_archives(spark, path, payloads=False)
-    return found.where("kind <> 'gap'").select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
+    kind = pages.schema["page_id"].dataType
+    return found.where("kind <> 'gap'").select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), F.col("refers_to").cast(kind).alias("refers_to"))
