@@ -13,7 +13,7 @@ from millrace.operators import activation, dialog, evidence, facts, matching, me
 from millrace.operators import text as texts
 from millrace.plans import pattern, star
 from millrace.plans.pattern import Graph, Pattern, SubQuery
-from millrace.runtime import table
+from millrace.runtime import settle, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,9 +61,7 @@ def flat(found: DataFrame, *more: str) -> DataFrame:
 
 @register("fact_upsert_weights", f"WITH {FACTS} SELECT * FROM f")
 def _(spark, d):
-    mentions = star.mentions(spark, d)
-    sources = facts.provenance(mentions).groupBy("fact_id").agg(F.count("*").alias("n_sources"))
-    return flat(facts.upsert(mentions).join(sources, "fact_id"), "n_sources", "seq")
+    return flat(facts.upsert_counted(star.mentions(spark, d)), "n_sources", "seq")
 
 
 @register("node_weights", f"WITH {PARTS} SELECT node AS id, min(type) AS type, CAST(sum(weight) AS BIGINT) AS weight FROM p GROUP BY node")
@@ -618,7 +616,7 @@ def _(spark, d):
  SELECT node, round(sum(heat), 6) AS heat FROM (SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY node""",
 )
 def _(spark, d):
-    heat = activation.spread(activation.edges_of(parts(spark, d)), [THING])
+    heat = activation.spread_facts(settle(parts(spark, d), "participants"), [THING])
     return heat.select("node", F.round("heat", 6).alias("heat"))
 
 

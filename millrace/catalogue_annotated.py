@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.catalogue import PARTS, RAW, graph_facts, parts, register
 from millrace.functions import arithmetic
-from millrace.operators import annotations, cascade, dialog, evaluation, evidence, extraction, facts, frames, identity, learning, lexer, memory, places, questions, resolve
+from millrace.operators import activation, annotations, cascade, dialog, evaluation, evidence, extraction, facts, frames, identity, learning, lexer, memory, places, present, questions, resolve
 from millrace.plans import annotated, build, sequence, star
 from millrace.plans.annotated import ENTITIES, TOKENS
 from millrace.runtime import table
@@ -573,6 +573,127 @@ def _(spark, d):
     return memory.manage_reminders(rows, commands).select("id", "due", "task")
 
 
+@register(
+    "event_texts",
+    f"""WITH {PARTS} SELECT predicate || ' ' || loc || ', ' || obj || ', ' || subj AS text, weight FROM f""",
+)
+def _(spark, d):
+    return graph_facts(spark, d).select(present.event_text(F.col("predicate"), F.col("participants")).alias("text"), "weight")
+
+
+@register(
+    "node_details",
+    f"""WITH {PARTS} SELECT role, predicate, count(*) AS facts, CAST(sum(weight) AS BIGINT) AS weight FROM p WHERE node = 'small ring' GROUP BY ALL""",
+)
+def _(spark, d):
+    return present.node_details(parts(spark, d), "small ring")
+
+
+@register(
+    "date_labels",
+    """SELECT o_orderkey, strftime(o_orderdate, '%-d. %-m. %Y') AS day, strftime(o_orderdate, '%-m/%Y') AS month, strftime(o_orderdate, '%Y') AS year FROM orders""",
+)
+def _(spark, d):
+    at = F.col("o_orderdate")
+    label = lambda n: present.date_label(at, at + F.expr(f"INTERVAL {n} DAYS"))
+    return table(spark, d, "orders").select("o_orderkey", label(1).alias("day"), label(30).alias("month"), label(365).alias("year"))
+
+
+@register(
+    "trace_pulses",
+    """WITH t AS (SELECT event_id AS trace, 0.1 + user_id % 10 / 4.0 AS heat FROM events ORDER BY event_id DESC LIMIT 6), p AS (SELECT trace, least(greatest(CAST(round(1.5 / heat) AS INT), 1), 25) AS p FROM t)
+ SELECT trace, CAST(unnest(range(0, 60, p)) AS INT) AS tick FROM p""",
+)
+def _(spark, d):
+    rows = table(spark, d, "events").select(F.col("event_id").alias("trace"), F.col("event_id").alias("seq"), (F.lit(0.1) + (F.col("user_id") % 10) / 4.0).alias("heat"))
+    return present.pulses(rows, 60)
+
+
+@register(
+    "interval_warmth",
+    """WITH t AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS lo FROM orders), i AS (SELECT n_nationkey AS turn, DATE '1995-01-01' + CAST(n_nationkey * 10 AS INT) AS s FROM nation)
+ SELECT turn, CAST(lo AS VARCHAR) AS node, 0.5::DOUBLE AS amount FROM t JOIN i ON lo < s + 30 AND s < lo + 1""",
+)
+def _(spark, d):
+    times = table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("lo")).distinct().select(F.col("lo").cast("string").alias("node"), "lo", F.date_add("lo", 1).alias("hi"))
+    start = F.date_add(F.lit("1995-01-01").cast("date"), F.col("n_nationkey") * 10)
+    return activation.interval_warmth(times, table(spark, d, "nation").select(F.col("n_nationkey").alias("turn"), start.alias("start"), F.date_add(start, 30).alias("end")))
+
+
+@register(
+    "dialog_positions",
+    """WITH e AS (SELECT event_id, user_id AS conv, event_type AS node, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS src FROM events)
+ SELECT conv, event_id AS turn, node, CASE WHEN src = 'view' AND node = 'click' THEN 'sharpen' WHEN src = 'click' THEN 'resume' ELSE 'enter' END AS move FROM e""",
+)
+def _(spark, d):
+    turns = table(spark, d, "events").select(F.col("user_id").alias("conv"), F.col("event_id").alias("turn"), F.col("event_type").alias("node"))
+    edges = spark.createDataFrame([("view", "zpresneni", "click"), ("click", "navrat", "*")], "source string, kind string, target string")
+    return dialog.positions(turns, edges)
+
+
+@register(
+    "turn_decorations",
+    """SELECT event_id, array_to_string(list_filter([CASE WHEN value > 50 THEN 'big' END, CASE WHEN user_id % 2 = 0 THEN 'even' END, CASE WHEN event_type = 'error' THEN 'fault' END], lambda x: x IS NOT NULL), ',') AS decorations FROM events""",
+)
+def _(spark, d):
+    found = dialog.decorations(table(spark, d, "events"), "event_id", {"even": F.col("user_id") % 2 == 0, "big": F.col("value") > 50, "fault": F.col("event_type") == "error"})
+    return found.select("event_id", F.array_join("decorations", ",").alias("decorations"))
+
+
+@register(
+    "predicate_match",
+    """WITH w AS (SELECT DISTINCT p_type AS t FROM part), k AS (SELECT DISTINCT lower(string_split(t, ' ')[1]) || 'ed' AS p FROM w)
+ SELECT DISTINCT string_split(t, ' ')[1] AS word, lower(string_split(t, ' ')[1]) || 'ed' AS predicate, CASE WHEN lower(string_split(t, ' ')[1]) LIKE '%l' THEN 2 ELSE 3 END AS tier FROM w""",
+)
+def _(spark, d):
+    first = table(spark, d, "part").select(F.split("p_type", " ")[0].alias("word")).distinct()
+    return resolve.match_predicates(first, first.select(F.concat(F.lower("word"), F.lit("ed")).alias("predicate")))
+
+
+@register(
+    "weighted_index",
+    f"""WITH {TOKENS}, c AS (SELECT doc_id, lemma, count(*) AS tf FROM tok WHERE length(lemma) > 1 GROUP BY ALL), n AS (SELECT count(DISTINCT doc_id) AS n FROM tok),
+ i AS (SELECT lemma, ln(any_value(n) / count(*)) + 1 AS idf FROM c, n GROUP BY lemma), r AS (SELECT doc_id, lemma, tf * idf AS w FROM c JOIN i USING (lemma) WHERE tf >= 2)
+ SELECT doc_id, lemma, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM r""",
+)
+def _(spark, d):
+    return frames.weighted_index(annotated.tokens(spark, d)).select("doc_id", "lemma", F.round("weight", 6).alias("weight"))
+
+
+def roled(spark, d):
+    role = F.when(F.col("deprel") == "nsubj", "who").when(F.col("deprel") == "obj", "what")
+    return annotated.tokens(spark, d).withColumn("role", role)
+
+
+@register(
+    "inherited_roles",
+    f"""WITH RECURSIVE {TOKENS}, up AS (SELECT doc_id, sent, pos, pos AS at FROM tok UNION ALL SELECT u.doc_id, u.sent, u.pos, t.head FROM up u JOIN tok t ON t.doc_id = u.doc_id AND t.sent = u.sent AND t.pos = u.at WHERE t.deprel = 'conj' AND t.head > 0),
+ e AS (SELECT u.doc_id, u.sent, u.pos, t.deprel FROM up u JOIN tok t ON t.doc_id = u.doc_id AND t.sent = u.sent AND t.pos = u.at WHERE t.deprel <> 'conj')
+ SELECT doc_id, sent, pos, CASE deprel WHEN 'nsubj' THEN 'who' WHEN 'obj' THEN 'what' END AS role FROM e""",
+)
+def _(spark, d):
+    return frames.inherited_roles(roled(spark, d)).select("doc_id", "sent", "pos", "role")
+
+
+@register(
+    "sentence_registry",
+    f"""WITH {TOKENS}, r AS (SELECT doc_id, sent, lemma AS predicate FROM tok WHERE pos = 1 AND upos = 'VERB')
+ SELECT doc_id, sent, predicate, count(DISTINCT CASE deprel WHEN 'nsubj' THEN 'who ' || lemma WHEN 'obj' THEN 'what ' || lemma END) AS n_answers FROM tok JOIN r USING (doc_id, sent) WHERE head > 0 AND deprel IN ('nsubj', 'obj') GROUP BY ALL""",
+)
+def _(spark, d):
+    return frames.registry(roled(spark, d)).select("doc_id", "sent", "predicate", F.size("answers").cast("bigint").alias("n_answers"))
+
+
+@register(
+    "fact_store",
+    """SELECT event_type AS predicate, user_id AS doc, CAST(event_id % 3 AS INT) AS sent, count(DISTINCT value % 2 >= 1) AS n_roles, count(DISTINCT event_id) AS n_lemmas FROM events WHERE value IS NOT NULL GROUP BY event_type, user_id, event_id % 3""",
+)
+def _(spark, d):
+    slots = table(spark, d, "events").select(F.col("user_id").alias("doc"), (F.col("event_id") % 3).cast("int").alias("sent"), F.col("event_type").alias("predicate"), F.coalesce((F.col("value") % 2 >= 1).cast("string"), F.lit("none")).alias("role"), F.col("event_id").cast("string").alias("lemma"))
+    found = frames.fact_store(slots.where("role <> 'none'"))
+    return found.select("predicate", "doc", "sent", F.size("roles").cast("bigint").alias("n_roles"), F.size(F.flatten(F.map_values("roles"))).cast("bigint").alias("n_lemmas"))
+
+
 @register("graph_build")
 def _(spark, d):
     """The whole build over the documents' annotations; its parts have SQL of their own."""

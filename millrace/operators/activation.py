@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.runtime import settle
+
 
 def fold(amounts: Column, decay: float, floor: float) -> Column:
     """The warmth after all steps: amounts has what each step adds, in order; after each the rest fades, and what falls
@@ -49,16 +51,32 @@ def edges_of(participants: DataFrame, speech: str = "výrok") -> DataFrame:
     return participants.select("fact_id", "node", "weight").join(near, "fact_id").where("node <> near").groupBy("node", "near").agg(F.max("weight").alias("weight"))
 
 
+def edges_near(participants: DataFrame, frontier: DataFrame, speech: str = "výrok") -> DataFrame:
+    """The edges of edges_of that leave the frontier's nodes: only their facts are opened."""
+    held = participants.join(frontier.select("node"), "node").select("fact_id", "node", "weight")
+    near = participants.where(F.col("type") != speech).select("fact_id", F.col("node").alias("near"))
+    return held.join(near, "fact_id").where("node <> near").groupBy("node", "near").agg(F.max("weight").alias("weight"))
+
+
 def spread(edges: DataFrame, sources: Sequence[str], base: float = 0.6, falloff: float = 0.35, depth: int = 2, fanout: int = 8) -> DataFrame:
     """node, heat: warmth from the sources over their heaviest edges; visited nodes get warmth but pass none on."""
-    spark = edges.sparkSession
+    return spread_by(lambda frontier: edges.join(frontier.select("node"), "node"), edges.sparkSession, sources, base, falloff, depth, fanout)
+
+
+def spread_facts(participants: DataFrame, sources: Sequence[str], base: float = 0.6, falloff: float = 0.35, depth: int = 2, fanout: int = 8) -> DataFrame:
+    """The same over the facts themselves: each hop opens the facts of the nodes that it has reached, and no others."""
+    return spread_by(lambda frontier: edges_near(participants, frontier), participants.sparkSession, sources, base, falloff, depth, fanout)
+
+
+def spread_by(edges_from: Callable[[DataFrame], DataFrame], spark: SparkSession, sources: Sequence[str], base: float, falloff: float, depth: int, fanout: int) -> DataFrame:
+    """A hop's heat is settled, so that the next starts from a table of at most fanout rows per node that was reached."""
     frontier = spark.createDataFrame([(x, base) for x in sources], "node string, energy double")
     visited, heat = frontier.select("node"), None
     best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("weight"), "near"))
     for _ in range(depth):
-        top = edges.join(frontier, "node").withColumn("rank", best).where(F.col("rank") <= fanout)
+        top = edges_from(frontier).withColumn("rank", best).where(F.col("rank") <= fanout).join(frontier, "node")
         given = top.select("near", (F.col("energy") * falloff).alias("give"))
-        part = given.groupBy(F.col("near").alias("node")).agg(F.sum("give").alias("heat"), F.max("give").alias("most"))
+        part = settle(given.groupBy(F.col("near").alias("node")).agg(F.sum("give").alias("heat"), F.max("give").alias("most")), "heat")
         heat = part.select("node", "heat") if heat is None else heat.unionByName(part.select("node", "heat"))
         frontier = part.join(visited, "node", "left_anti").select("node", F.col("most").alias("energy"))
         visited = visited.unionByName(frontier.select("node")).distinct()
@@ -87,3 +105,18 @@ def flow(heat: DataFrame, edges: DataFrame, hops: int = 2, share: float = 0.5) -
         given = heat.join(normal, heat.node == normal.a).select(F.col("b").alias("node"), (F.col("heat") * share * F.col("part")).alias("heat"))
         heat = heat.unionByName(given).groupBy("node").agg(F.sum("heat").alias("heat"))
     return heat
+
+
+def interval_warmth(times: DataFrame, intervals: DataFrame, amount: float = 0.5) -> DataFrame:
+    """turn, node, amount: what a turn's interval adds to every node of time that overlaps it. times: node, lo, hi; intervals:
+    turn, start, end (half open). A turn has one interval; the few of a batch are broadcast up to Spark's own limit."""
+    hit = times.join(intervals, (F.col("lo") < F.col("end")) & (F.col("start") < F.col("hi")))
+    return hit.select("turn", "node", F.lit(amount).alias("amount"))
+
+
+def turn_memory(turns: DataFrame, value: float = 2.0, topic: float = 1.0, other: float = 2.0) -> DataFrame:
+    """conv, turn, node, amount: what a turn warms: the value and the topic of an answer to who or what, else the topic alone.
+    turns: conv, turn, kind (who, what or other), topic, value."""
+    asks = F.col("kind").isin("who", "what")
+    pairs = F.array(F.struct(F.when(asks, F.col("value")).alias("node"), F.lit(value).alias("amount")), F.struct(F.col("topic").alias("node"), F.when(asks, topic).otherwise(other).alias("amount")))
+    return turns.select("conv", "turn", F.explode(pairs).alias("p")).select("conv", "turn", "p.node", "p.amount").where("node IS NOT NULL")

@@ -116,3 +116,31 @@ def claims_of(turns: DataFrame, key: str, recognisers: dict[str, tuple[int, Colu
     claims = F.array_compact(F.array(*(F.when(test, F.struct(F.lit(priority).alias("priority"), F.lit(name).alias("name"))) for name, (priority, test) in recognisers.items())))
     best = F.try_element_at(F.array_sort(claims, lambda a, b: F.when(a["priority"] != b["priority"], b["priority"] - a["priority"]).when(a["name"] < b["name"], -1).otherwise(1)), F.lit(1))
     return turns.select(key, best.alias("c")).where("c IS NOT NULL").select(key, "c.name", "c.priority")
+
+
+def decorations(turns: DataFrame, key: str, tests: dict[str, Column]) -> DataFrame:
+    """key, decorations: the names of the constraints that a turn carries, sorted. tests: name -> test over its columns."""
+    held = F.array_compact(F.array(*(F.when(F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in sorted(tests.items()))))
+    return turns.select(key, held.alias("decorations"))
+
+
+def positions(turns: DataFrame, edges: DataFrame, key: str = "conv") -> DataFrame:
+    """key, turn, node, move: where a dialog stands: `sharpen` along an edge from the node before, `resume` back from a card that
+    asked, else `enter`. turns: key, turn, node; edges: source, kind, target."""
+    before = F.lag("node").over(Window.partitionBy(key).orderBy("turn"))
+    rows = turns.withColumn("source", before)
+    along = edges.where("kind = 'zpresneni'").select("source", F.col("target").alias("node"), F.lit(True).alias("sharp")).distinct()
+    asked = edges.where("kind = 'navrat'").select("source", F.lit(True).alias("back")).distinct()
+    joined = rows.join(along, ["source", "node"], "left").join(asked, "source", "left")
+    move = F.when(F.col("sharp"), "sharpen").when(F.col("back"), "resume").otherwise("enter")
+    return joined.select(key, "turn", "node", move.alias("move"))
+
+
+def picked(answers: DataFrame, offered: DataFrame) -> DataFrame:
+    """turn, value: what an answer picks of the values that were offered: by its number, else the only one that begins with it or
+    has it as a word. answers: turn, text; offered: turn, place (from 1), value."""
+    low = F.lower(F.btrim("text"))
+    rows = answers.select("turn", low.alias("low")).join(offered, "turn").withColumn("n", F.when(F.col("low").rlike("^[0-9]{1,4}$"), F.col("low").try_cast("int")))
+    named = F.lower("value").startswith(F.col("low")) | F.array_contains(F.split(F.lower("value"), r"\s+"), F.col("low"))
+    hits = rows.where(F.when(F.col("n").isNotNull(), F.col("n") == F.col("place")).otherwise(named & (F.col("low") != "")))
+    return hits.groupBy("turn").agg(F.count("*").alias("hits"), F.min("value").alias("value")).where("hits = 1").select("turn", "value")

@@ -113,3 +113,45 @@ def remerge(sentences: DataFrame, lengths: DataFrame) -> DataFrame:
     joined = placed.join(ends, "doc_id").where("upto > start AND upto <= stop")
     held = F.array_sort(F.collect_list(F.struct("sent", "line")))
     return joined.groupBy("doc_id", "part").agg(F.array_join(F.transform(held, lambda x: x["line"]), " ").alias("text"))
+
+
+def inherited_roles(tokens: DataFrame) -> DataFrame:
+    """tokens (with role) in which what is coordinated takes the role of the word it is coordinated with, that of its own
+    head's chain; words that lead to no role have none. The chain is followed on the sentence's array of heads."""
+    held = F.array_sort(F.collect_list(F.struct("pos", "head", (F.col("deprel") == "conj").alias("conj"), "role")))
+    trees = tokens.groupBy(*KEY).agg(held.alias("tree"))
+    at = lambda xs, j: F.get(xs, j - 1)
+    trees = trees.select(*KEY, F.transform("tree", lambda x: F.when(x["conj"] & (x["head"] > 0), x["head"]).otherwise(x["pos"])).alias("up"), F.transform("tree", lambda x: F.when(~x["conj"], x["role"])).alias("roles"))
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size("up"))).cast("int"))
+    ends = F.aggregate(rounds, F.col("up"), lambda up, _: F.transform(up, lambda j: at(up, j)))
+    found = trees.withColumn("ends", ends).select(*KEY, "roles", F.posexplode("ends").alias("place", "end")).select(*KEY, (F.col("place") + 1).alias("pos"), at(F.col("roles"), F.col("end")).alias("role"))
+    return tokens.drop("role").join(found, [*KEY, "pos"])
+
+
+def registry(tokens: DataFrame) -> DataFrame:
+    """doc_id, sent, predicate, answers (array of role, lemma), context (lemmas of other words of content): a sentence's root
+    verb with what can be asked about it. tokens: with role."""
+    roots = tokens.where("head = 0 AND upos = 'VERB'").select(*KEY, F.col("lemma").alias("predicate"))
+    answers = F.array_sort(F.collect_set(F.when(F.col("role").isNotNull() & (F.col("head") > 0), F.struct("role", "lemma"))))
+    other = F.array_sort(F.collect_set(F.when(F.col("role").isNull() & F.col("upos").isin("NOUN", "PROPN", "VERB", "ADJ"), F.col("lemma"))))
+    return tokens.join(roots, KEY).groupBy(*KEY, "predicate").agg(answers.alias("answers"), other.alias("context")).where(F.size("answers") > 0)
+
+
+def fact_store(slots: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """predicate, roles (map of arrays), doc, sent: slots (doc, sent, predicate, role, lemma) gathered into facts, with those of
+    other readers (more) beside them."""
+    every = slots if more is None else slots.unionByName(more)
+    by_role = every.groupBy("doc", "sent", "predicate", "role").agg(F.array_sort(F.collect_set("lemma")).alias("lemmas"))
+    held = F.map_from_entries(F.array_sort(F.collect_list(F.struct("role", "lemmas"))))
+    return by_role.groupBy("doc", "sent", "predicate").agg(held.alias("roles")).select("predicate", "roles", "doc", "sent")
+
+
+def weighted_index(tokens: DataFrame, least: int = 2) -> DataFrame:
+    """doc_id, lemma, weight: tf * (ln(documents / df) + 1) of lemmas of two letters or more that a document has `least` times,
+    of unit length per document; marks are left out."""
+    counted = tokens.where("upos <> 'PUNCT' AND length(lemma) > 1").groupBy("doc_id", "lemma").agg(F.count("*").alias("tf"))
+    n = tokens.agg(F.count_distinct("doc_id").alias("n"))
+    idf = counted.groupBy("lemma").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("lemma", (F.log(F.col("n") / F.col("df")) + 1).alias("idf"))
+    raw = counted.where(F.col("tf") >= least).join(idf, "lemma").select("doc_id", "lemma", (F.col("tf") * F.col("idf")).alias("w"))
+    norm = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return raw.join(norm, "doc_id").select("doc_id", "lemma", (F.col("w") / F.col("norm")).alias("weight"))

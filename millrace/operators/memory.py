@@ -46,7 +46,9 @@ def contact(emails: DataFrame, names: DataFrame, least_prefix: int = 3) -> DataF
     """names: name -> name, email: by the stem, else by the only one whose stem it begins."""
     known = emails.select(name_stem(F.col("name")).alias("stem"), "email").distinct()
     asked = names.select("name", name_stem(F.col("name")).alias("asked"))
-    pairs = asked.join(known, (F.col("stem") == F.col("asked")) | (F.col("stem").startswith(F.col("asked")) & (F.length("asked") >= least_prefix)))
+    same = asked.join(known, F.col("stem") == F.col("asked"))
+    longer = asked.where(F.length("asked") >= least_prefix).join(known, F.substring("stem", 1, least_prefix) == F.substring("asked", 1, least_prefix))
+    pairs = same.unionByName(longer.where(F.col("stem").startswith(F.col("asked")))).distinct()
     best = pairs.groupBy("name").agg(F.min(F.when(F.col("stem") == F.col("asked"), F.col("email"))).alias("same"), F.count_distinct("email").alias("n"), F.min("email").alias("only"))
     return best.select("name", F.coalesce("same", F.when(F.col("n") == 1, F.col("only"))).alias("email"))
 

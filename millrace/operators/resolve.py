@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions import strings
+from millrace.operators.identity import common_prefix
 
 #: What a term is worth by how closely it is met: the word itself, its stem, the stem without marks, the loose key.
 TIERS = (0.8, 0.6, 0.4, 0.25)
@@ -106,3 +107,26 @@ def left_over(terms: DataFrame, captured: DataFrame, skip: Sequence[str] = ()) -
     if skip:
         rows = rows.where(~strings.fold_accents(F.col("term")).isin(*skip))
     return rows.join(taken.distinct(), ["question", "low"], "left_anti").select("question", "term")
+
+
+def match_predicates(words: DataFrame, predicates: DataFrame, negation: str = "ne") -> DataFrame:
+    """word, predicate, tier: the predicate that a verb's form means: itself (0), its negation's other half (1), one that
+    begins with its l-participle (2), or the one with the longest common prefix, four letters at least and all but two of the
+    shorter word (3); small letters first, then in order.
+
+    words: word; predicates: predicate. Forms meet by their first three letters in tiers 2 and 3, so no other pair is made."""
+    asked = words.select("word").distinct().withColumn("low", F.lower("word"))
+    known = predicates.select("predicate").distinct().withColumn("p_low", F.lower("predicate"))
+    same = asked.join(known, F.col("low") == F.col("p_low")).withColumn("tier", F.lit(0)).withColumn("n", F.length("low"))
+    other = F.when(F.col("low").startswith(negation), F.expr(f"substring(low, {len(negation) + 1})")).otherwise(F.concat(F.lit(negation), F.col("low")))
+    negated = asked.withColumn("other", other).join(known, F.col("other") == F.col("p_low")).drop("other").withColumn("tier", F.lit(1)).withColumn("n", F.length("low"))
+    near = asked.withColumn("key", F.substring("low", 1, 3)).join(known.withColumn("key", F.substring("p_low", 1, 3)), "key").drop("key").where("low <> p_low")
+    past = F.coalesce(F.col("p_low").startswith(F.regexp_replace(strings.participle_stem(F.col("low")), "l$", "")), F.lit(False)) & (F.length("low") > 3)
+    shared = near.withColumn("n", common_prefix(F.col("low"), F.col("p_low")))
+    close = (F.col("n") >= 4) & (F.col("n") >= F.least(F.length("low"), F.length("p_low")) - 2)
+    far = shared.withColumn("tier", F.when(past, 2).when(close, 3)).where("tier IS NOT NULL")
+    columns = ["word", "predicate", "tier", "n"]
+    every = same.select(*columns).unionByName(negated.select(*columns)).unionByName(far.select(*columns))
+    order = [F.col("tier"), F.desc("n"), F.col("predicate").rlike(r"^\p{Lu}"), F.col("predicate")]
+    rank = F.row_number().over(Window.partitionBy("word").orderBy(*order))
+    return every.withColumn("rank", rank).where("rank = 1").select("word", "predicate", "tier")

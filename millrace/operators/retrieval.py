@@ -6,12 +6,18 @@ one row. Queries are a table as well, so many are answered by one join; only the
 
 from __future__ import annotations
 
+import copy
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Distinct words of queries that are broadcast at most.
+MOST_WORDS = 100_000
+
+
 class Index:
     """passages: key and text; tokens are taken by terms."""
 
@@ -19,10 +25,25 @@ class Index:
         self.key = key
         listed = passages.select(key, terms.alias("terms"))
         self.lengths = listed.select(key, F.size("terms").alias("len"))
-        self.postings = listed.select(key, F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+        self.words = listed.select(key, F.explode("terms").alias("term"))
+        self.postings = self.words.groupBy(key, "term").agg(F.count("*").alias("tf"))
         self.term_stats = self.postings.groupBy("term").agg(F.count("*").alias("df"))
         self.corpus = self.lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
 
+    def holding(self, asked: DataFrame) -> Index:
+        """The index as far as queries need it: only their own words are counted, those of a settled index only read."""
+        wanted = asked.select("term").distinct()
+        if wanted.limit(MOST_WORDS + 1).count() <= MOST_WORDS:
+            wanted = F.broadcast(wanted)
+        out = copy.copy(self)
+        if self.words is not None:
+            out.words = self.words.join(wanted, "term", "left_semi")
+            out.postings = out.words.groupBy(self.key, "term").agg(F.count("*").alias("tf"))
+            out.term_stats = out.postings.groupBy("term").agg(F.count("*").alias("df"))
+        else:
+            out.postings, out.term_stats = self.postings.join(wanted, "term", "left_semi"), self.term_stats.join(wanted, "term", "left_semi")
+        return out
+
     def weighted(self) -> DataFrame:
         """postings with their TF-IDF weight, not normed."""
         idf = F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1
@@ -35,7 +56,7 @@ def query_terms(queries: DataFrame, query_key: str, terms: Column) -> DataFrame:
 
 def bm25(index: Index, asked: DataFrame, query_key: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query, key, score) for each pair with a term in common; a query's repeated terms count once."""
-    key = index.key
+    key, index = index.key, index.holding(asked)
     hits = index.postings.join(asked.select(query_key, "term"), "term").join(index.term_stats, "term").join(index.lengths, key).crossJoin(F.broadcast(index.corpus))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
@@ -44,11 +65,11 @@ def bm25(index: Index, asked: DataFrame, query_key: str, k1: float = 1.5, b: flo
 
 def tfidf(index: Index, asked: DataFrame, query_key: str) -> DataFrame:
     """Cosine of TF-IDF vectors; a query's repeated terms count, unknown ones don't."""
-    key, weighted = index.key, index.weighted()
-    norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    known = asked.join(index.term_stats, "term").crossJoin(F.broadcast(index.corpus.select("n"))).withColumn("qw", F.col("qtf") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1))
+    key, own = index.key, index.holding(asked)
+    norms = index.weighted().groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    known = asked.join(own.term_stats, "term").crossJoin(F.broadcast(index.corpus.select("n"))).withColumn("qw", F.col("qtf") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1))
     qnorms = known.groupBy(query_key).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    dots = weighted.join(known.select(query_key, "term", "qw"), "term").groupBy(query_key, key).agg(F.sum(F.col("weight") * F.col("qw")).alias("dot"))
+    dots = own.weighted().join(known.select(query_key, "term", "qw"), "term").groupBy(query_key, key).agg(F.sum(F.col("weight") * F.col("qw")).alias("dot"))
     return dots.join(norms, key).join(qnorms, query_key).select(query_key, key, (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score"))
 
 

@@ -45,7 +45,9 @@ def replace_table(rows: DataFrame, path: str) -> None:
 
 def gazetteer(spark: SparkSession, path: str) -> DataFrame:
     """child, parent; the last line of a child holds, and lines without a parent are left out."""
-    rows = json_lines(spark, path, schema.GAZETTEER).where("`in` is not null").withColumn("line", F.monotonically_increasing_id())
+    rows = json_lines(spark, path, schema.GAZETTEER)
+    order = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()) if rows.inputFiles() else F.lit(0)
+    rows = rows.withColumn("line", order).where("`in` is not null")  # files by name, a file's parts and lines in order
     return rows.groupBy(F.col("place").alias("child")).agg(F.max_by("in", "line").alias("parent"))
 
 

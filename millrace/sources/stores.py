@@ -42,7 +42,7 @@ def save_index(index: retrieval.Index, path: str) -> None:
 def load_index(spark: SparkSession, path: str, key: str) -> retrieval.Index:
     held = load_tables(spark, path, "postings", "term_stats", "lengths", "corpus")
     index = object.__new__(retrieval.Index)
-    index.key = key
+    index.key, index.words = key, None
     index.postings, index.term_stats, index.lengths, index.corpus = (held[x] for x in ("postings", "term_stats", "lengths", "corpus"))
     return index
 
