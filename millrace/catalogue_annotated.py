@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.catalogue import PARTS, RAW, graph_facts, parts, register
-from millrace.functions import arithmetic
+from millrace.functions import arithmetic, phrases
 from millrace.operators import activation, annotations, cascade, dialog, evaluation, evidence, extraction, facts, frames, identity, learning, lexer, memory, places, present, questions, resolve
 from millrace.plans import annotated, build, sequence, star
 from millrace.plans.annotated import ENTITIES, TOKENS
@@ -699,3 +699,16 @@ def _(spark, d):
     """The whole build over the documents' annotations; its parts have SQL of their own."""
     found = build.build_graph(annotated.tokens(spark, d), annotated.entities(spark, d))["facts"]
     return found.select("predicate", F.to_json("participants").alias("participants"), "weight")
+
+
+@register(
+    "temporal_phrases",
+    """WITH q AS (SELECT o_orderkey, o_orderdate AS now, o_orderkey % 7 + 1 AS n, o_orderkey % 6 AS k FROM orders), s AS (SELECT *, date_trunc('day', now) AS d FROM q)
+ SELECT o_orderkey, CAST(CASE k WHEN 0 THEN d - to_days(CAST(n AS INT)) WHEN 1 THEN d + to_days(CAST(n AS INT)) WHEN 2 THEN d + INTERVAL 1 DAY WHEN 3 THEN date_trunc('month', now) + INTERVAL 1 MONTH WHEN 4 THEN date_trunc('week', now) - INTERVAL 7 DAY ELSE date_trunc('year', now) END AS TIMESTAMP) AS start,
+ CASE WHEN k <= 2 THEN 'day' WHEN k = 3 THEN 'month' WHEN k = 4 THEN 'week' ELSE 'year' END AS granularity FROM s""",
+)
+def _(spark, d):
+    n, k = (F.col("o_orderkey") % 7 + 1).cast("string"), F.col("o_orderkey") % 6
+    text = F.when(k == 0, F.concat(F.lit("před "), n, F.lit(" dny"))).when(k == 1, F.concat(F.lit("za "), n, F.lit(" dny"))).when(k == 2, "zítra").when(k == 3, "příští měsíc").when(k == 4, "minulý týden").otherwise("letos")
+    rows = table(spark, d, "orders").select("o_orderkey", phrases.temporal_interval(text, F.col("o_orderdate")).alias("x"))
+    return rows.select("o_orderkey", "x.start", "x.granularity")

@@ -77,3 +77,40 @@ MOVEMENT = (
 # The question word for an entity's kind, and the case that an answer to a question word takes.
 QUESTION_OF = {"p": "Kdo", "g": "Kde", "i": "Co", "t": "Kdy", "n": "Kolik"}
 ANSWER_CASE = {"Kdo": "1", "Co": "1", "Kde": "1", "Kdy": None, "Kolik": None, "Jaký": None, "Který": "1", "Čí": "1"}
+
+# Words of time, without marks.
+TIME_UNITS = {
+    "minuta": "minute", "minutu": "minute", "minuty": "minute", "minut": "minute", "minutou": "minute", "minutami": "minute",
+    "sekunda": "second", "sekundu": "second", "sekundy": "second", "sekund": "second", "vterina": "second", "vterinu": "second", "vteriny": "second", "vterin": "second",
+    "hodina": "hour", "hodinu": "hour", "hodiny": "hour", "hodin": "hour", "hodinou": "hour", "hodinami": "hour",
+    "den": "day", "dne": "day", "dni": "day", "dny": "day", "dnu": "day", "dnem": "day", "dnech": "day",
+    "tyden": "week", "tydne": "week", "tydnu": "week", "tydnem": "week", "tydny": "week", "tydnech": "week",
+    "mesic": "month", "mesice": "month", "mesici": "month", "mesicem": "month",
+    "rok": "year", "roku": "year", "roce": "year", "rokem": "year", "roky": "year", "let": "year", "lety": "year", "letech": "year",
+    "stoleti": "century", "stoletich": "century",
+}
+TIME_NUMERALS = {
+    "jeden": 1, "jednu": 1, "jednou": 1, "jednim": 1, "jedne": 1, "dva": 2, "dve": 2, "dvema": 2, "tri": 3, "tremi": 3, "ctyri": 4, "ctyrmi": 4, "pet": 5, "peti": 5,
+    "sest": 6, "sesti": 6, "sedm": 7, "sedmi": 7, "osm": 8, "osmi": 8, "devet": 9, "deviti": 9, "deset": 10, "deseti": 10,
+    "jedenact": 11, "dvanact": 12, "patnact": 15, "dvacet": 20, "tricet": 30, "ctyricet": 40, "padesat": 50, "sedesat": 60,
+}
+MONTH_FORMS = {
+    "ledna": 1, "unora": 2, "brezna": 3, "dubna": 4, "kvetna": 5, "cervna": 6, "cervence": 7, "srpna": 8, "zari": 9, "rijna": 10, "listopadu": 11, "prosince": 12,
+    "lednu": 1, "unoru": 2, "breznu": 3, "dubnu": 4, "kvetnu": 5, "cervnu": 6, "cervenci": 7, "srpnu": 8, "rijnu": 10, "prosinci": 12,
+}
+MONTH_NAMES = {"leden": 1, "unor": 2, "brezen": 3, "duben": 4, "kveten": 5, "cerven": 6, "cervenec": 7, "srpen": 8, "zari": 9, "rijen": 10, "listopad": 11, "prosinec": 12}
+DAY_WORDS = {"predevcirem": -2, "vcera": -1, "dnes": 0, "zitra": 1, "pozitri": 2}
+NOW_WORDS = ("ted", "nyni", "prave")
+NOW_WINDOW_MINUTES = 15
+BACK_WORDS = ("pred",)
+FORWARD_WORDS = ("za",)
+CURRENT_WORDS = ("tento", "tuto", "toto", "tomto", "teto", "letos", "letosni")
+THIS_YEAR_WORDS = ("letos", "letosni")
+NEXT_WORDS = ("pristi", "nadchazejici")
+LAST_WORDS = ("minuly", "minulem", "minulou", "minule", "predchozi", "predesly", "predeslem")
+WEEKDAY_FORMS = {"pondeli": 0, "utery": 1, "streda": 2, "stredu": 2, "ctvrtek": 3, "patek": 4, "sobota": 5, "sobotu": 5, "nedele": 6, "nedeli": 6}
+DAY_PARTS = {"rano": "07:00", "dopoledne": "10:00", "poledne": "12:00", "odpoledne": "15:00", "vecer": "19:00", "noc": "22:00"}
+WEEKDAY_NAMES = ("pondělí", "úterý", "středa", "čtvrtek", "pátek", "sobota", "neděle")
+MONTH_GENITIVES = ("ledna", "února", "března", "dubna", "května", "června", "července", "srpna", "září", "října", "listopadu", "prosince")
+CLOCK_DAY = ("co je za den", "co je dnes za den", "jaky je den", "jaky je dnes den", "kolikateho je")
+CLOCK_TIME = ("kolik je hodin", "kolik je prave hodin", "kolik je ted hodin")
