@@ -712,3 +712,19 @@ def _(spark, d):
     text = F.when(k == 0, F.concat(F.lit("před "), n, F.lit(" dny"))).when(k == 1, F.concat(F.lit("za "), n, F.lit(" dny"))).when(k == 2, "zítra").when(k == 3, "příští měsíc").when(k == 4, "minulý týden").otherwise("letos")
     rows = table(spark, d, "orders").select("o_orderkey", phrases.temporal_interval(text, F.col("o_orderdate")).alias("x"))
     return rows.select("o_orderkey", "x.start", "x.granularity")
+
+
+DECK = (
+    sequence.Card("number", ("*", "NUM", "*"), 5), sequence.Card("named", ("PROPN", "*", "VERB", "*"), 3), sequence.Card("noun", ("NOUN", "*"), 3), sequence.Card("other", ("*",), 0),
+)
+
+
+@register(
+    "best_cards",
+    f"""WITH {TOKENS}, s AS (SELECT doc_id, sent, string_agg(CASE upos WHEN 'PROPN' THEN 'P' WHEN 'VERB' THEN 'V' WHEN 'NUM' THEN 'N' WHEN 'ADP' THEN 'A' ELSE 'O' END, '' ORDER BY pos) AS c FROM tok GROUP BY doc_id, sent)
+ SELECT doc_id, sent, CASE WHEN contains(c, 'N') THEN 'number' WHEN regexp_matches(c, '^P.*V') THEN 'named' WHEN c LIKE 'O%' THEN 'noun' ELSE 'other' END AS card FROM s""",
+)
+def _(spark, d):
+    held = F.array_sort(F.collect_list(F.struct("pos", F.col("lemma").alias("norm"), F.array("upos").alias("classes"))))
+    rows = annotated.tokens(spark, d).groupBy("doc_id", "sent").agg(held.alias("tokens"))
+    return rows.select("doc_id", "sent", sequence.best_card(DECK, F.col("tokens")).alias("card"))

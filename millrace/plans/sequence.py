@@ -135,3 +135,39 @@ def fits(pattern: Sequence[str], tokens: Column) -> Column:
 
     start = closed(F.lit(1).cast("bigint"))
     return F.aggregate(tokens, start, step).bitwiseAND(F.lit(1 << len(elements))) != 0
+
+
+@dataclass(frozen=True)
+class Card:
+    """A pattern with what a line that it fits asks for: elements (by their number, from 1) that are the predicate and known
+    nodes by role, and the hole."""
+
+    name: str
+    pattern: tuple[str, ...]
+    priority: int = 0
+    hole: str | None = None
+    predicate: str | int | None = None
+    known: tuple[tuple[str, int], ...] = ()
+
+
+def best_card(cards: Sequence[Card], tokens: Column) -> Column:
+    """The name of the card that fits a whole column of tokens: of the highest priority, then with the longest pattern, then the
+    first in order; null where none fits. A deck is written by hand, so its cards are part of the expression."""
+    ordered = sorted(cards, key=lambda c: (-c.priority, -len(c.pattern), c.name))
+    return F.coalesce(*(F.when(fits(c.pattern, tokens), F.lit(c.name)) for c in ordered), F.lit(None).cast("string"))
+
+
+def query_of(card: Card, tokens: Sequence[Token], is_span: Callable[[str], bool] | None = None) -> dict | None:
+    """What a line asks by a card: predicate, known (role and text) and hole; None if the card doesn't fit."""
+    bound = match(card.pattern, tokens, is_span)
+    if bound is None:
+        return None
+    said = {n: " ".join(t.form for t in held) for n, held in bound.items() if held}
+    predicate = said.get(card.predicate) if isinstance(card.predicate, int) else card.predicate
+    return {"card": card.name, "predicate": predicate, "known": [(role, said[n]) for role, n in card.known if n in said], "hole": card.hole}
+
+
+def ask(cards: Sequence[Card], tokens: Sequence[Token], is_span: Callable[[str], bool] | None = None) -> dict | None:
+    """The query of the best card that fits, chosen as best_card does."""
+    found = (query_of(c, tokens, is_span) for c in sorted(cards, key=lambda c: (-c.priority, -len(c.pattern), c.name)))
+    return next((x for x in found if x is not None), None)

@@ -270,3 +270,11 @@ def test_server_and_fetching(spark):
     pages = {"u1": "text", "u2": ""}
     rows = spark.createDataFrame([("a", "u1"), ("b", "u2"), ("c", "u3")], "name string, url string")
     assert sorted(map(tuple, service.fetched(rows, lambda: lambda url: pages[url]).collect())) == [("a", "text", True), ("b", None, False), ("c", None, False)]
+
+
+def test_card_queries():
+    token = lambda form, *classes: sequence.Token(form, form.lower(), frozenset(classes))
+    deck = [sequence.Card("who", ("otaz:kdo", "l_tvar", "uzel+"), 1, "subj", 2, (("obj", 3),)), sequence.Card("any", ("otaz", "*"), 0, "obj", "být")]
+    line = [token("Kdo", "otaz"), token("napsal", "l_tvar"), token("RUR")]
+    assert sequence.ask(deck, line, lambda s: s == "RUR") == {"card": "who", "predicate": "napsal", "known": [("obj", "RUR")], "hole": "subj"}
+    assert sequence.ask(deck, line)["card"] == "any" and sequence.ask(deck, line[1:]) is None
