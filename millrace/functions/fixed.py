@@ -4,12 +4,13 @@ Suffixes are in the order in which they are tried; the other lists are in their
 """
 
 # Case endings, tried in this order.
-SUFFIXES = """
-ovými ových ovém ovou ové ová ova ovo ovi ovu ovy ého ému ými ých ích ém ům ách emi ami ou em ěm é á ý í ú ó e ě y u a o i
-""".split()
+SUFFIXES = (
+    "ovými", "ových", "ovém", "ovou", "ové", "ová", "ova", "ovo", "ovi", "ovu", "ovy", "ého", "ému", "ými", "ých", "ích", "ém", "ům", "ách", "emi",
+    "ami", "ou", "em", "ěm", "é", "á", "ý", "í", "ú", "ó", "e", "ě", "y", "u", "a", "o", "i",
+)
 
 # Endings that a first name loses, tried in this order.
-NAME_SUFFIXES = "ovi ovy ove ova em um y u a e i o".split()
+NAME_SUFFIXES = ("ovi", "ovy", "ove", "ova", "em", "um", "y", "u", "a", "e", "i", "o")
 
 # Long vowels and their short forms, vowels, the shortest stem, the vowel that declension drops.
 LONG_VOWELS, SHORT_VOWELS = "áéíóúůýě", "aeiouuye"
@@ -18,20 +19,23 @@ MIN_STEM = 3
 FLEETING_VOWEL = "e"
 
 # Endings of a feminine name.
-FEMININE_ENDINGS = "ová á a".split()
+FEMININE_ENDINGS = ("ová", "á", "a")
 
 # Abbreviations after which a sentence goes on.
-ABBREVIATIONS = """
-mudr judr phdr rndr ing prof doc csc mgr bc tzv atd apod např tj mj tzn aj resp popř cca č r st sv kap obr tab roč s str stol
-""".split()
+ABBREVIATIONS = (
+    "mudr", "judr", "phdr", "rndr", "ing", "prof", "doc", "csc", "mgr", "bc", "tzv", "atd", "apod", "např", "tj", "mj", "tzn", "aj", "resp", "popř",
+    "cca", "č", "r", "st", "sv", "kap", "obr", "tab", "roč", "s", "str", "stol",
+)
 
 # Function words that retrieval leaves out.
-STOPWORDS = """
-a aby aj ale ani ano az až bez bude budou by byl byla byli bylo být co což či do i je jeho jej její jejich jen ještě jak
-jako jsem jsi jsme jsou jste k kam kde kdo když ke která které který kteří ku ma má mají mé mezi mi mít mne mně můj my na
-nad nade nam nám napiš naš náš ne nebo něco něj není než ní nic o od on ona oni ono pak po pod podle pokud pouze proč pro
-před přes při s se si ta tak také tam te tě ten tedy to tom tomu tuto ty u už v vám vas vás ve více však všech vy z za ze že
-""".split()
+STOPWORDS = (
+    "a", "aby", "aj", "ale", "ani", "ano", "az", "až", "bez", "bude", "budou", "by", "byl", "byla", "byli", "bylo", "být", "co", "což", "či", "do",
+    "i", "je", "jeho", "jej", "její", "jejich", "jen", "ještě", "jak", "jako", "jsem", "jsi", "jsme", "jsou", "jste", "k", "kam", "kde", "kdo",
+    "když", "ke", "která", "které", "který", "kteří", "ku", "ma", "má", "mají", "mé", "mezi", "mi", "mít", "mne", "mně", "můj", "my", "na", "nad",
+    "nade", "nam", "nám", "napiš", "naš", "náš", "ne", "nebo", "něco", "něj", "není", "než", "ní", "nic", "o", "od", "on", "ona", "oni", "ono", "pak",
+    "po", "pod", "podle", "pokud", "pouze", "proč", "pro", "před", "přes", "při", "s", "se", "si", "ta", "tak", "také", "tam", "te", "tě", "ten",
+    "tedy", "to", "tom", "tomu", "tuto", "ty", "u", "už", "v", "vám", "vas", "vás", "ve", "více", "však", "všech", "vy", "z", "za", "ze", "že",
+)
 
 # Headings from which on an article is apparatus.
 REFERENCE_HEADINGS = (
@@ -114,3 +118,12 @@ WEEKDAY_NAMES = ("pondělí", "úterý", "středa", "čtvrtek", "pátek", "sobot
 MONTH_GENITIVES = ("ledna", "února", "března", "dubna", "května", "června", "července", "srpna", "září", "října", "listopadu", "prosince")
 CLOCK_DAY = ("co je za den", "co je dnes za den", "jaky je den", "jaky je dnes den", "kolikateho je")
 CLOCK_TIME = ("kolik je hodin", "kolik je prave hodin", "kolik je ted hodin")
+
+# Patterns that decide what a date, a heading, a range of dates and a licence envelope are.
+DATE_NUMERIC = r"\b([12]?\d|3[01])\.\s?(1[0-2]|0?[1-9])\.\s?(1\d{3}|20\d{2})\b"
+DATE_YEAR = r"\b(1\d{3}|20\d{2})\b"
+DATE_DAY = r"\b([12]?\d|3[01])\.\s"
+HEADING = r"^\s*=+\s*(.+?)\s*=+\s*$"
+DATE_RANGE = r"\s*\([^()]*\b(?:1[5-9]\d\d|20\d\d)\b[^()]*[–—-][^()]*\)"
+ENVELOPE_START = r"(?is)^.*?\*\*\*\s*START OF.*?\*\*\*"
+ENVELOPE_END = r"(?is)\*\*\*\s*END OF.*"
