@@ -14,7 +14,7 @@ def kept(found):
     return sorted(((r["doc_id"], r["text"]) for r in found.collect()), key=str)
 
 
-@pytest.mark.parametrize("policy", [line_dedup.LinePolicy(), line_dedup.LinePolicy(short_lines=True), line_dedup.LinePolicy(max_broadcast=0)])
+@pytest.mark.parametrize("policy", [line_dedup.LinePolicy(short_lines=True), line_dedup.LinePolicy(max_broadcast=0)])
 def test_lines_of_rows_without_id(spark, policy):
     rows = [(None, f"{DUP}\n{OWN[0]}"), (None, f"{OWN[1]}\n{DUP}"), (None, f"{OWN[2]}\n{OWN[3]}"), (7, f"{OWN[4]}\n{OWN[5]}"), (7, f"{OWN[6]}\n{DUP}"), (7, f"{OWN[6]}\n{DUP}"), (8, OWN[5])]
     found = kept(line_dedup.dedup_lines(spark.createDataFrame(rows, DOC), policy, drop_emptied=False))
