@@ -797,12 +797,33 @@ def _(spark, d):
     return doc_lines(spark, d).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@register("sentence_counts")
+ABBREVIATED = "|".join(fixed.ABBREVIATIONS)
+#: Marks that end no sentence become another character: twice, as neighbours share what stands between them.
+SPARED = r"regexp_replace({x}, '(^|[^\p{{L}}\p{{N}}])((?i:" + ABBREVIATED + r"))[.!?…]', '\1\2' || chr(2), 'g')"
+NUMBERED = r"regexp_replace({x}, '(^|[^\p{{L}}\p{{N}}])(\p{{Nd}}{{1,18}})[.!?…](\s+\p{{Ll}})', '\1\2' || chr(2) || '\3', 'g')"
+
+
+@register(
+    "sentence_counts",
+    rf"""WITH a AS (SELECT doc_id, {SPARED.format(x=SPARED.format(x="text"))} AS t FROM documents), b AS (SELECT doc_id, {NUMBERED.format(x=NUMBERED.format(x="t"))} AS t FROM a),
+ s AS (SELECT doc_id, unnest(string_split(regexp_replace(t, '([.!?…])\s+', '\1' || chr(1), 'g'), chr(1))) AS x FROM b), r AS (SELECT doc_id, regexp_replace(x, '^\s+|\s+$', '', 'g') AS x FROM s)
+ SELECT doc_id, count(*) AS sentences, CAST(sum(length(x)) AS BIGINT) AS chars FROM r WHERE x <> '' GROUP BY doc_id""".replace("\\\\", "\\"),
+)
 def _(spark, d):
     return texts.explode_sentences(table(spark, d, "documents")).groupBy("doc_id").agg(F.count("*").alias("sentences"), F.sum(F.length("text")).alias("chars"))
 
 
-@register("clean_documents")
+HEADINGS_SQL = ", ".join(f"'{x}'" for x in fixed.REFERENCE_HEADINGS)
+
+
+@register(
+    "clean_documents",
+    f"""WITH a AS (SELECT doc_id, replace(replace(regexp_replace(regexp_replace(text, '{fixed.ENVELOPE_START}', ''), '{fixed.ENVELOPE_END}', ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents),
+ l AS (SELECT doc_id, string_split(t, chr(10)) AS ls FROM a),
+ c AS (SELECT doc_id, ls, list_position(list_transform(ls, lambda x: regexp_matches(x, '{fixed.HEADING}') AND list_contains([{HEADINGS_SQL}], lower(trim(regexp_extract(x, '{fixed.HEADING}', 1))))), true) AS f FROM l),
+ k AS (SELECT doc_id, regexp_replace(array_to_string(list_filter(CASE WHEN f > 0 THEN ls[:f - 1] ELSE ls END, lambda x: NOT regexp_matches(x, '{fixed.HEADING}')), chr(10)), '{fixed.DATE_RANGE}', '', 'g') AS t FROM c)
+ SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[ \\t]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS digest FROM k""",
+)
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(texts.clean_text(F.col("text"))).alias("digest"))
 
