@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import string
 
+from millrace.llm.sql_features import FEATURES
+
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 
 #: Windows of the items and of the documents meet by their words.
@@ -118,4 +120,5 @@ SQL: dict[str, str] = {
     "op5_url_filters": URLS,
     "op8_warc": ARCHIVE,
     "op10_run_index_dedup": REPEATS,
+    "op12_feature_table": FEATURES,
 }
