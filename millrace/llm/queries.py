@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontam, features, html_text, language, line_dedup, packing, pii, quality, run_index, simhash, url_reputation, warc
+from millrace.llm import decontam, features, html_text, language, line_dedup, packing, pii, quality, run_index, simhash, url_reputation, variants, warc
 from millrace.llm.sql import SQL
 from millrace.runtime import table
 
@@ -31,6 +31,7 @@ QUERIES: dict[str, Query] = {
     "op8_warc": over("pages", warc.op8_warc),
     "op9_html_extraction": over("pages", html_text.op9_html_extraction),
     "op10_run_index_dedup": over("documents", run_index.op10_run_index_dedup),
+    "op11_spelling_variants": over("documents", variants.op11_spelling_variants),
     "op12_feature_table": over("sales", features.op12_feature_table, "clicks", "sale_lines"),
     "op13_language_id": over("documents", language.op13_language_id),
 }

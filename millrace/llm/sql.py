@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from millrace.llm.sql_features import FEATURES
+from millrace.llm.sql_features import FEATURES, VARIANTS
 
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 
@@ -120,5 +120,6 @@ SQL: dict[str, str] = {
     "op5_url_filters": URLS,
     "op8_warc": ARCHIVE,
     "op10_run_index_dedup": REPEATS,
+    "op11_spelling_variants": VARIANTS,
     "op12_feature_table": FEATURES,
 }

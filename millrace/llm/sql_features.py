@@ -41,3 +41,30 @@ SELECT sale_id, CAST(d AS INTEGER) AS d, t_us, coalesce(label, FALSE) AS label,
        coalesce(n_lines, 0) AS n_lines, coalesce(n_items, 0) AS n_items, CAST(coalesce(line_cents, 0) AS BIGINT) AS line_cents, last_click_id
 FROM q CROSS JOIN w LEFT JOIN labels USING (r) LEFT JOIN clicked USING (r, d) LEFT JOIN sold USING (r, d) LEFT JOIN lined USING (r, d)
 """
+
+RUN_BYTES = "flatten(list_transform(string_split(run, ''), lambda x: CASE WHEN ord(x) < 128 THEN [CAST(ord(x) AS BIGINT)] ELSE [CAST(195 AS BIGINT), CAST(ord(x) - 64 AS BIGINT)] END))"
+ID_BYTES = "list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':', ''), lambda x: CAST(ord(x) AS BIGINT))"
+
+#: Near words share what is left of them when a character is taken away, at the same place or, of the longer, all of it.
+VARIANTS = f"""
+WITH RECURSIVE crc AS (SELECT {CRC_TABLE} AS t),
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+often AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+told AS (SELECT run, n, {crc(f"list_concat({ID_BYTES}, {RUN_BYTES})")} AS h FROM often, crc),
+cut AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM told),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+d AS (SELECT word, n, k, substr(word, 1, k - 1) || substr(word, k + 1) AS rest FROM v, unnest(range(1, length(word) + 1)) AS t(k)),
+pairs AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM d a JOIN d b ON a.rest = b.rest AND a.k = b.k AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM d a JOIN v b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM d a JOIN v b ON a.rest = b.word),
+near AS (SELECT word, count(*) AS n_near, max(m) AS top FROM pairs GROUP BY word),
+best AS (SELECT word, n_near, top, min(other) AS other FROM near JOIN pairs USING (word) WHERE m = top GROUP BY ALL),
+formed AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * n THEN other END AS form, CASE WHEN top >= 5 * n THEN top END AS form_n FROM v LEFT JOIN best USING (word)),
+chain AS (
+  SELECT word, form AS step FROM formed WHERE form IS NOT NULL
+  UNION ALL SELECT chain.word, formed.form FROM chain JOIN formed ON chain.step = formed.word WHERE formed.form IS NOT NULL),
+roots AS (SELECT chain.word, step AS root FROM chain JOIN formed ON chain.step = formed.word WHERE formed.form IS NULL)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM formed LEFT JOIN roots USING (word)
+"""
