@@ -152,7 +152,7 @@ def dealt(words: DataFrame, policy: VariantPolicy) -> DataFrame:
     spark = words.sparkSession
     nothing = F.array().cast("array<struct<at: int, size: int>>")
     length = F.length("word")
-    roots = words.select("word", "n", F.explode(F.array(length, length - 1)).alias("m")).where("m > 0")
+    roots = words.select("word", "n", F.explode(F.array(length, length - 1)).alias("m")).where("m >= 0")
     open_ = halved(roots.select("word", "n", "m", F.col("m").cast("long").alias("key"), F.lit(0).alias("head"), F.lit(0).alias("tail"), F.col("m").alias("base"), nothing.alias("told")))
     done = None
     while True:
