@@ -119,6 +119,34 @@ MONTH_GENITIVES = ("ledna", "února", "března", "dubna", "května", "června",
 CLOCK_DAY = ("co je za den", "co je dnes za den", "jaky je den", "jaky je dnes den", "kolikateho je")
 CLOCK_TIME = ("kolik je hodin", "kolik je prave hodin", "kolik je ted hodin")
 
+# Question words without marks, each with the role and type that it asks for and its own name.
+INTERROGATIVES = {
+    "kdo": ("subj", "person", "Kdo"), "koho": ("obj", "person", "Kdo"), "co": ("obj", None, "Co"), "ceho": ("obj", None, "Co"), "cemu": ("obj", None, "Co"),
+    "kde": ("loc", "geo", "Kde"), "kam": ("loc", "geo", "Kde"), "odkud": ("loc", "geo", "Kde"), "kdy": ("time", "time", "Kdy"), "kolik": ("num", "number", "Kolik"),
+    "jaky": ("attr", None, "Jaký"), "jaka": ("attr", None, "Jaký"), "jake": ("attr", None, "Jaký"), "jakou": ("attr", None, "Jaký"), "jakeho": ("attr", None, "Jaký"), "jakem": ("attr", None, "Jaký"),
+    "ktery": ("attr", None, "Který"), "ktera": ("attr", None, "Který"), "ktere": ("attr", None, "Který"), "kterou": ("attr", None, "Který"), "kterem": ("attr", None, "Který"),
+    "ci": ("subj", "person", "Čí"), "cim": ("obj", None, "Čím"),
+}
+INTERROGATIVE_ADVERBS = ("proč", "jak", "kudy", "odkud", "nač", "zač", "kolikrát", "dokdy", "odkdy")
+COPULA_FORMS = ("je", "byl", "byla", "bylo", "byli", "byly", "jsou", "byt", "jsem", "jsi", "jste", "jsme")
+RELATIVE_PRONOUNS = ("ktery", "ktera", "ktere", "kteri", "jenz", "jez")
+QUERY_SKIP_WORDS = ("se", "si", "v", "ve", "na", "o", "s", "z", "ze", "do", "pro", "u", "k", "ke", "po", "za", "pod", "nad", "pred", "pri", "ten", "ta", "to", "tento", "tato", "toto", "tomto", "teto")
+DATE_PART_FORMS = {"rok": "rok", "roku": "rok", "roce": "rok", "letech": "rok", "mesic": "měsíc", "mesici": "měsíc", "den": "den", "dne": "den", "dni": "den"}
+RELATIONAL_NOUNS = (
+    "bratr", "sestra", "matka", "otec", "syn", "dcera", "rodič", "manžel", "manželka", "žena", "muž", "vnuk", "vnučka", "strýc", "teta", "přítel", "přítelkyně", "kolega",
+    "žák", "učitel", "soused",
+)
+RELATION_NOUNS = ("vztah", "vztahu", "vztahy", "vazba", "vazbu", "spojeni", "souvislost")
+FIRST_PERSON = ("jsem", "sem", "jsme")
+USER = "uživatel"
+NEGATION = "ne"
+EVENT_VERB_FORMS = {
+    "stalo": "stát", "stala": "stát", "stal": "stát", "staly": "stát", "deje": "dít", "delo": "dít", "udalo": "udát", "prihodilo": "přihodit", "rekl": "říci", "rekla": "říci",
+    "rekli": "říci", "rekne": "říci", "reknou": "říci", "dela": "dělat", "delal": "dělat", "delala": "dělat", "delaji": "dělat", "zil": "žít", "zila": "žít", "zili": "žít",
+    "prisel": "přijít", "prisla": "přijít", "prislo": "přijít", "prisli": "přijít",
+}
+EVENT_CLASS_FORMS = {"zazrak": "zázrak", "zazraky": "zázrak", "zazraku": "zázrak", "zazrakum": "zázrak", "zazracich": "zázrak"}
+
 # Patterns that decide what a date, a heading, a range of dates and a licence envelope are.
 DATE_NUMERIC = r"\b([12]?\d|3[01])\.\s?(1[0-2]|0?[1-9])\.\s?(1\d{3}|20\d{2})\b"
 DATE_YEAR = r"\b(1\d{3}|20\d{2})\b"

@@ -1,8 +1,8 @@
-"""Which node a question's words mean, whether a span of words names one, and how a question's words fall into spans."""
+"""Which node a question's words mean, whether a span of words names one, and which predicate a verb means."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Collection, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,40 +65,6 @@ def strict_spans(resolved: DataFrame, asked: DataFrame) -> DataFrame:
     return rows.where((F.size(told) > 0) & (F.size(F.array_except(told, keys)) == 0)).select("question", "node")
 
 
-def split_spans(run: Sequence[str], is_node: Callable[[str], bool], relational: Collection[str], skip: Collection[str] = (), norm: Callable[[str], str] = str.lower) -> list[str] | None:
-    """The longest names in a run of words, from the left; None if its first word of content begins none, as a question with
-    an unknown beginning must not be answered. Words without a name behind a name are part of its title, as is what follows a
-    function word after a capitalised name. A relational noun at the beginning goes with the first name."""
-    words = list(run)
-    while words and norm(words[0]) in skip:
-        words.pop(0)
-    while words and norm(words[-1]) in skip:
-        words.pop()
-    lead = words.pop(0) if words and norm(words[0]) in relational else None
-    while words and norm(words[0]) in skip:
-        words.pop(0)
-    if not words:
-        return [lead] if lead else []
-    spans: list[str] = []
-    at = 0
-    while at < len(words):
-        if norm(words[at]) in skip:
-            if spans and spans[-1][:1].isupper():
-                break
-            at += 1
-            continue
-        ends = (e for e in range(len(words), at, -1) if norm(words[e - 1]) not in skip and is_node(" ".join(words[at:e])))
-        end = next(ends, None)
-        if end is not None:
-            spans.append(" ".join(words[at:end]))
-            at = end
-        elif spans:
-            at += 1
-        else:
-            return None
-    return [f"{lead} {spans[0]}", *spans[1:]] if lead else spans
-
-
 def left_over(terms: DataFrame, captured: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
     """question, term: words of content that no part of the pattern has taken; a question with any is not answered from
     context. terms: question, term; captured: question, span."""

@@ -2,8 +2,8 @@
 
 An element is a class, with classes that the token must not have (`name!other`) and words of which it must be one
 (`name:one|two`); `?` before it makes it optional, `*` takes any tokens, `%{NAME}` stands for elements of a table. A
-pattern of single tokens is a regular language over classes, so it runs as one expression on a column of tokens; `match`
-also gives the bindings, and takes spans (`uzel+`) that a vocabulary confirms.
+pattern of single tokens is a regular language over classes, so it runs as one expression on a column of tokens. `fits` says
+whether it fits; `captures` also what each element takes, and knows spans (`uzel+`) that a vocabulary confirms.
 """
 
 from __future__ import annotations
@@ -36,16 +36,6 @@ class Element:
         kind, *without = classes.split("!")
         return cls(kind, tuple(without), tuple(words.split("|")) if words else (), optional)
 
-    def fits(self, classes: frozenset[str], norm: str) -> bool:
-        return (not self.kind or self.kind in classes) and not classes.intersection(self.without) and (not self.words or norm in self.words)
-
-
-@dataclass(frozen=True)
-class Token:
-    form: str
-    norm: str
-    classes: frozenset[str]
-
 
 def expand(elements: Sequence[str], table: Mapping[str, str | Sequence[str]], within: tuple[str, ...] = ()) -> list[str]:
     """The elements with names replaced by what the table has for them, however deep; an optional name makes all of its
@@ -65,40 +55,91 @@ def expand(elements: Sequence[str], table: Mapping[str, str | Sequence[str]], wi
     return out
 
 
-def match(pattern: Sequence[str], tokens: Sequence[Token], is_span: Callable[[str], bool] | None = None, function_class: str = "funkcni") -> dict[int, list[Token] | None] | None:
-    """The tokens that each element (from 1) takes of the whole sequence, the greediest way from the left; or None.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def token_fits(x: Element, token: Column) -> Column:
+    """Whether a token (struct with norm and classes) is one that the element takes."""
+    good = F.lit(True)
+    if x.kind:
+        good = good & F.array_contains(token["classes"], x.kind)
+    for other in x.without:
+        good = good & ~F.array_contains(token["classes"], other)
+    return good & token["norm"].isin(*x.words) if x.words else good
 
-    The places that an element can end at are kept per element, so that no part is tried twice."""
+
+def bit(mask: Column, i: int) -> Column:
+    return mask.bitwiseAND(F.lit(1 << i)) != 0
+
+
+def captures(pattern: Sequence[str], tokens: Column, spans: Column | None = None) -> Column:
+    """Which tokens each element takes of the whole column of tokens (array of structs with norm and classes), as an array of
+    bounds: element i (from 0) takes those from bound i up to bound i + 1, none if they are equal. Null where the pattern
+    doesn't fit. Elements take as much as they can, the leftmost first.
+
+    One pass from the right finds at each place the elements from which the rest of the line can be met, in the bits of a
+    number; a walk from the left then takes for each element the farthest end from which the rest can be met, so nothing
+    is tried twice. spans: array of struct(start, end), for elements `uzel+`."""
     elements = [Element.of(x) for x in pattern]
-    n, dead = len(tokens), set()
-
-    def ends(element: Element, at: int) -> list[int]:
-        if element.any:
-            return list(range(n, at - 1, -1))
-        if element.span:
-            good = [] if is_span is None else [e for e in range(n, at, -1) if function_class not in tokens[at].classes | tokens[e - 1].classes and is_span(" ".join(t.form for t in tokens[at:e]))]
-        else:
-            good = [at + 1] if at < n and element.fits(tokens[at].classes, tokens[at].norm) else []
-        return good + ([at] if element.optional else [])
-
-    stack: list[list[int]] = [ends(elements[0], 0)] if elements else []
-    starts = [0]
-    while stack:
-        if not stack[-1]:
-            dead.add((len(stack) - 1, starts[-1]))
-            stack.pop()
-            starts.pop()
-            continue
-        end = stack[-1].pop(0)
-        depth = len(stack)
-        if depth == len(elements):
-            if end == n:
-                bounds = [*starts, end]
-                return {i + 1: list(tokens[a:b]) or None for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))}
-        elif (depth, end) not in dead:
-            stack.append(ends(elements[depth], end))
-            starts.append(end)
-    return {} if not elements and not n else None
+    m = len(elements)
+    if m > 62:
+        raise ValueError("patterns have 62 elements at most")
+    spans = F.array().cast("array<struct<start: int, end: int>>") if spans is None else spans
+    here = lambda i: F.transform(F.filter(spans, lambda s: s["start"] == i), lambda s: s["end"])
+
+    def opened(own: Column, e: int, passed: bool) -> Callable[[Column], Column]:
+        return lambda v: F.when(own | bit(v, e + 1) if passed else own, v.bitwiseOR(F.lit(1 << e))).otherwise(v)
+
+    def reached(held: Column, i: Column, e: int) -> Callable[[Column], Column]:
+        return lambda end: bit(F.get(held, F.size(held) + i - end), e + 1)
+
+    def closed(mask: Column, taken: list[Column] | None) -> Column:
+        for e in range(m - 1, -1, -1):
+            x = elements[e]
+            own = F.lit(False) if taken is None else taken[e]
+            mask = let(mask, opened(own, e, x.optional or x.any))
+        return mask
+
+    def back(held: Column, i: Column) -> Column:
+        """held: the masks of the places i + 1 to n, the last of them first in time, so that place p is at size - 1 - (p - i - 1)."""
+        after = F.element_at(held, -1)
+        taken = []
+        for e, x in enumerate(elements):
+            if x.any:
+                taken.append(bit(after, e))
+            elif x.span:
+                taken.append(F.exists(here(i), reached(held, i, e)))
+            else:
+                taken.append(token_fits(x, F.get(tokens, i)) & bit(after, e + 1))
+        return F.concat(held, F.array(closed(F.lit(0).cast("bigint"), taken)))
+
+    n = F.size(tokens)
+    places = F.when(n > 0, F.sequence(n - 1, F.lit(0), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    masks = F.aggregate(places, F.array(closed(F.lit(1 << m).cast("bigint"), None)), back)
+
+    def walk(held: Column) -> Column:
+        can = lambda place, e: bit(F.get(held, n - place), e)
+        bounds = F.array(F.lit(0))
+
+        def end_of(at: Column, e: int, x: Element) -> Column:
+            if x.any:
+                return F.array_max(F.filter(F.sequence(at, n), lambda q: can(q, e + 1)))
+            if x.span:
+                return F.coalesce(F.array_max(F.filter(here(at), lambda q: can(q, e + 1))), at)
+            if x.optional:
+                return F.when((at < n) & token_fits(x, F.get(tokens, at)) & can(at + 1, e + 1), at + 1).otherwise(at)
+            return at + 1
+
+        def further(e: int, x: Element) -> Callable[[Column], Column]:
+            return lambda b: F.concat(b, F.array(end_of(F.element_at(b, -1), e, x)))
+
+        for e, x in enumerate(elements):
+            bounds = let(bounds, further(e, x))
+        return F.when(can(F.lit(0), 0), bounds)
+
+    return let(masks, walk)
 
 
 def fits(pattern: Sequence[str], tokens: Column) -> Column:
@@ -108,7 +149,7 @@ def fits(pattern: Sequence[str], tokens: Column) -> Column:
     elements and `*` let the next one in."""
     elements = [Element.of(x) for x in pattern]
     if any(x.span for x in elements) or len(elements) > 62:
-        raise ValueError("patterns with spans, or of more than 62 elements, are matched by match()")
+        raise ValueError("patterns with spans are matched by captures(); none has more than 62 elements")
 
     def closed(mask: Column) -> Column:
         for i, x in enumerate(elements):
@@ -123,13 +164,7 @@ def fits(pattern: Sequence[str], tokens: Column) -> Column:
             if x.any:
                 out = out.bitwiseOR(here)
                 continue
-            good = F.lit(True)
-            if x.kind:
-                good = good & F.array_contains(token["classes"], x.kind)
-            for other in x.without:
-                good = good & ~F.array_contains(token["classes"], other)
-            if x.words:
-                good = good & token["norm"].isin(*x.words)
+            good = token_fits(x, token)
             out = out.bitwiseOR(F.when(good, F.shiftleft(here, 1)).otherwise(F.lit(0).cast("bigint")))
         return closed(out)
 
@@ -139,35 +174,28 @@ def fits(pattern: Sequence[str], tokens: Column) -> Column:
 
 @dataclass(frozen=True)
 class Card:
-    """A pattern with what a line that it fits asks for: elements (by their number, from 1) that are the predicate and known
-    nodes by role, and the hole."""
+    """A pattern with what a line that it fits asks for. Numbers are elements, from 1; `known` are roles ("" for the one that
+    goes with the hole) and elements; `predicate` may be a word instead, and `role` and `type` replace those of the question
+    word at `hole`. A card whose predicate, hole or class isn't found on the line doesn't speak."""
 
     name: str
     pattern: tuple[str, ...]
     priority: int = 0
-    hole: str | None = None
+    hole: int | None = None
     predicate: str | int | None = None
     known: tuple[tuple[str, int], ...] = ()
+    role: str | None = None
+    type: str | None = None
+    date_part: int | None = None
+    of_class: int | None = None
+    copula: int | None = None
+    novelty: int | None = None
+    user_subject: bool = False
 
 
-def best_card(cards: Sequence[Card], tokens: Column) -> Column:
+def best_card(cards: Sequence[Card], tokens: Column, spans: Column | None = None) -> Column:
     """The name of the card that fits a whole column of tokens: of the highest priority, then with the longest pattern, then the
     first in order; null where none fits. A deck is written by hand, so its cards are part of the expression."""
     ordered = sorted(cards, key=lambda c: (-c.priority, -len(c.pattern), c.name))
-    return F.coalesce(*(F.when(fits(c.pattern, tokens), F.lit(c.name)) for c in ordered), F.lit(None).cast("string"))
-
-
-def query_of(card: Card, tokens: Sequence[Token], is_span: Callable[[str], bool] | None = None) -> dict | None:
-    """What a line asks by a card: predicate, known (role and text) and hole; None if the card doesn't fit."""
-    bound = match(card.pattern, tokens, is_span)
-    if bound is None:
-        return None
-    said = {n: " ".join(t.form for t in held) for n, held in bound.items() if held}
-    predicate = said.get(card.predicate) if isinstance(card.predicate, int) else card.predicate
-    return {"card": card.name, "predicate": predicate, "known": [(role, said[n]) for role, n in card.known if n in said], "hole": card.hole}
-
-
-def ask(cards: Sequence[Card], tokens: Sequence[Token], is_span: Callable[[str], bool] | None = None) -> dict | None:
-    """The query of the best card that fits, chosen as best_card does."""
-    found = (query_of(c, tokens, is_span) for c in sorted(cards, key=lambda c: (-c.priority, -len(c.pattern), c.name)))
-    return next((x for x in found if x is not None), None)
+    fit = lambda c: captures(c.pattern, tokens, spans).isNotNull() if any(Element.of(x).span for x in c.pattern) else fits(c.pattern, tokens)
+    return F.coalesce(*(F.when(fit(c), F.lit(c.name)) for c in ordered), F.lit(None).cast("string"))
