@@ -69,16 +69,22 @@ def is_iban(value: Column) -> Column:
 
 def is_random(value: Column) -> Column:
     """Whether the letters' entropy (bits a letter) is that of a random string: 3 at least."""
-    letters = F.filter(F.split(F.lower(value), ""), lambda c: c != "")
-    size = F.size(letters)
-    share = F.transform(F.array_distinct(letters), lambda c: F.size(F.filter(letters, lambda x: x == c)) / size)
+    low, size = F.lower(value), F.length(value)
+    kinds = F.filter(F.array_distinct(F.split(low, "")), lambda c: c != "")
+    share = F.transform(kinds, lambda c: (size - F.length(F.replace(low, c, F.lit("")))) / size)
     return F.aggregate(share, F.lit(0.0), lambda acc, p: acc - p * F.log2(p)) >= 3.0
 
 
+def is_plain_password(value: Column) -> Column:
+    """What a password is said to be, where that isn't a secret by itself, which is found as one."""
+    said = F.regexp_extract(value, r"[:=]\x20?[\"']?(.*)$", 1)
+    return ~(said.rlike(r"^(?=[A-Za-z+/_-]*+[0-9])(?=[0-9a-z+/_-]*+[A-Z])[0-9A-Za-z+/_-]{20,}+$") & is_random(said))
+
+
 @dataclass(frozen=True)
 class Kind:
     """pattern proposes, check confirms. score is raised by near where one of the words stands shortly before or after the span.
-    hint: a literal without which the pattern can't match."""
+    hint: a literal, guard: a cheaper pattern, without which the pattern can't match."""
 
     name: str
     pattern: str
@@ -87,6 +93,7 @@ class Kind:
     near: float
     words: str
     hint: str = ""
+    guard: str = ""
 
 
 def anything(_: Column) -> Column:
@@ -101,25 +108,33 @@ BASE = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", is_phone, 0.7, 0.2, r"\btel|phone|call|mobil|fax|anruf", "+"),
 )
 
+#: Words beside a secret: of their own, or `key` with a value put to it.
+SECRET_WORDS = r"\b(?:token|secret|password|passwd|passphrase|api[\x20_-]?key|access[\x20_-]?key|auth|authorization|credentials?|bearer)s?\b|\bkey[\"']?\x20?[:=]"
+#: A run without which there is no hex or secret.
+LONG_RUN = r"(?<![0-9A-Za-z+/_-])[0-9A-Za-z+/_-]{20}"
+
 #: Further kinds, which stay where the score reaches the limit.
 MORE = (
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", is_iban, 0.9, 0.1, "iban|account|konto|compte|cuenta|bank"),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", anything, 0.3, 0.5, r"\bssn\b|social|security", "-"),
-    # secrets: runs of hexadecimal digits or of letters and digits that look random, known forms of keys
-    Kind("hex", r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,128}+(?![0-9A-Za-z])", is_random, 0.4, 0.4, r"token|secret|passw|\bkey|api.?key|auth|credential|bearer"),
-    Kind("secret", r"(?<![0-9A-Za-z+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9a-z+/_-]*[A-Z])[0-9A-Za-z+/_-]{20,128}+(?![0-9A-Za-z+/_-])", is_random, 0.2, 0.5, r"token|secret|passw|\bkey|api.?key|auth|credential|bearer"),
-    Kind("key", r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|eyJ[0-9A-Za-z_-]{10,}+\.[0-9A-Za-z_-]{10,}+\.[0-9A-Za-z_-]{10,}+)|-----BEGIN\x20(?:[A-Z]+\x20)?PRIVATE\x20KEY-----", anything, 0.9, 0.1, "key|token|aws|git"),
+    # secrets: runs of hexadecimal digits or of letters and digits that look random, known forms of keys, private keys with their
+    # bodies (whose head lines hold few dashes), and what a password is said to be, if it has a digit
+    Kind("hex", r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,}+(?![0-9A-Za-z])", is_random, 0.4, 0.4, SECRET_WORDS, guard=LONG_RUN),
+    Kind("secret", r"(?<![0-9A-Za-z+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9a-z+/_-]*+[A-Z])[0-9A-Za-z+/_-]{20,}+(?![0-9A-Za-z+/_-])", is_random, 0.2, 0.5, SECRET_WORDS, guard=LONG_RUN),
+    Kind("key", r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|eyJ[0-9A-Za-z_-]{10,}+\.[0-9A-Za-z_-]{10,}+\.[0-9A-Za-z_-]{10,}+)|-----BEGIN\x20(?:[A-Z]+\x20)?PRIVATE\x20KEY-----(?:(?:[A-Za-z0-9+/=:,.\s]++|-(?!----)){0,64}+-----END\x20(?:[A-Z]+\x20)?PRIVATE\x20KEY-----)?", anything, 0.9, 0.1, r"\bkey\b|\btoken\b|\baws\b|\bgit\b"),
+    Kind("password", r"(?i)\b(?:password|passwd|pwd|passphrase)[\"']?\x20?[:=]\x20?[\"']?(?=[^\s\"',;0-9]*+[0-9])[^\s\"',;]{6,}+", is_plain_password, 0.8, 0.0, "password", guard=r"(?i)(?:passw|pwd|passphrase)"),
 )
 
 SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string,score:double>>"
 
 
-def proposals(text: Column, kind: Kind) -> Column:
+def proposals(text: Column, kind: Kind, guard: Column | None = None) -> Column:
     """All leftmost non-overlapping matches, unchecked: array of (start, end, value, before)."""
     matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    none = F.array().cast("array<string>")
     if kind.hint:
-        matches = F.when(F.instr(text, kind.hint) > 0, matches).otherwise(F.array().cast("array<string>"))
-    return matches
+        matches = F.when(F.instr(text, kind.hint) > 0, matches).otherwise(none)
+    return matches if guard is None else F.when(guard, matches).otherwise(none)
 
 
 def around(pieces: Column, matches: Column, i: Column) -> tuple[Column, Column]:
@@ -145,11 +160,15 @@ def span_of(kind: Kind, rank: int, pieces: Column, matches: Column) -> Callable[
 
 def with_spans(docs: DataFrame, text: str, kinds: Sequence[Kind], ranks: dict[str, int], least_score: float, out: str, base: bool) -> DataFrame:
     """Adds column out: array of spans of all kinds. Work columns are named after out."""
-    found = []
+    found, guards = [], {}
+    for kind in kinds:
+        if kind.guard and kind.guard not in guards:
+            guards[kind.guard] = f"{out}__guard{len(guards)}"
+            docs = docs.withColumn(guards[kind.guard], F.col(text).rlike(kind.guard))
     for kind in kinds:
         m, p, s = f"{out}__{kind.name}_m", f"{out}__{kind.name}_p", f"{out}__{kind.name}"
         body = F.col(text)
-        docs = docs.withColumn(m, proposals(body, kind))
+        docs = docs.withColumn(m, proposals(body, kind, F.col(guards[kind.guard]) if kind.guard else None))
         docs = docs.withColumn(p, F.when(F.size(m) > 0, F.split(body, kind.pattern, -1)).otherwise(F.array().cast("array<string>")))
         start = F.aggregate(
             F.zip_with(F.col(p), F.col(m), lambda piece, match: F.struct(F.length(piece).alias("gap"), F.coalesce(F.length(match), F.lit(0)).alias("size"))),
@@ -163,7 +182,7 @@ def with_spans(docs: DataFrame, text: str, kinds: Sequence[Kind], ranks: dict[st
         kept = F.filter(spans, lambda x: kind.check(x["value"]) & sure(x))  # noqa: B023
         docs = docs.withColumn(s, F.when(F.size(m) > 0, kept).otherwise(F.array().cast(SPAN))).drop(m, p)
         found.append(s)
-    return docs.withColumn(out, F.array_sort(F.concat(*found))).drop(*found)
+    return docs.withColumn(out, F.array_sort(F.concat(*found))).drop(*found, *guards.values())
 
 
 def find_pii(docs: DataFrame, text: str = "text", out: str = "pii", base: Sequence[Kind] = BASE, more: Sequence[Kind] = MORE, least_score: float = 0.6) -> DataFrame:

@@ -120,3 +120,15 @@ def test_method_acts_and_spares_good_documents(spark):
 def test_no_labels_leave_the_policy(spark):
     docs = spark.createDataFrame([(1, "text")], DOC)
     assert quality.fitted_policy(docs, spark.createDataFrame([], "doc_id long, quality int")).chunk_low == quality.QualityPolicy().chunk_low
+
+
+def test_long_secrets_keys_and_clean_sentences(spark):
+    rnd = random.Random(11)
+    run = lambda n, letters: "".join(rnd.choice(letters) for _ in range(n))
+    hexes, mixed = run(160, "0123456789abcdef"), run(180, "abcdefghijABCDEFGHIJ0123456789")
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n" + "\n".join(run(64, "abcXYZ019+/") for _ in range(12)) + "==\n-----END RSA PRIVATE KEY-----"
+    texts = [f"token: {hexes}", f"secret {mixed}", f"a {pem} b", f"git commit {hexes[:40]} fixes the key bug", "password: hunter2hunter2 x", "password: required field", f"key={hexes[:40]}", "-----BEGIN PRIVATE KEY-----" * 3000, "BEGIN " + "a-" * 50_000]
+    found = pii.redact(pii.find_pii(spark.createDataFrame(list(enumerate(texts)), DOC))).orderBy("doc_id").collect()
+    kinds = [[x["kind"] for x in r["pii"]] for r in found]
+    assert kinds[:7] == [["hex"], ["secret"], ["key"], [], ["password"], [], ["hex"]] and len(kinds[7]) == 3000 and kinds[8] == []
+    assert [r["text"] for r in found[:7]] == ["token: [HEX]", "secret [SECRET]", "a [KEY] b", texts[3], "[PASSWORD] x", texts[5], "key=[HEX]"]
