@@ -10,10 +10,13 @@ lines leave no empty line behind; every other line stays as it was, and a text t
 Equal lines are counted; edits are those of UTF-8 bytes. Each distinct line is cut into distance + 1
 segments; of two lines within the distance, one holds a segment of the other in a place that its index, the lengths and
 the distance confine to a few offsets. Segments and the substrings in those places meet by hash, the counts of 24
-letters (which an edit changes by two at most) drop nearly all that merely share a segment inside the join itself, and
+characters (which an edit changes by two at most) drop nearly all that merely share a segment inside the join itself, and
 what is left is verified by an edit distance over the band of 2 * distance + 1 diagonals, held in the bits of one number
 for each count of errors.
 
+A segment that very many lines hold, as in logs and tables, doesn't pair them all: such lines are joined again by what else
+they hold (busy_pairs), so that the work stays near linear in the lines.
+
 Only DataFrame functions are used. A line that a third of all documents share is one row after the first partial sum;
 where its occurrences meet the decisions, Spark may split them, as the decisions are a written table.
 
@@ -35,7 +38,10 @@ from pyspark.sql import functions as F
 from millrace.runtime import settle
 
 BLANKS = " \t\r\x0b\x0c"
-LETTERS = ("aeinorst", "bcdfghlm", "kpuvwyz ")
+LETTERS = ("aeinorst", "bcdfghlm", "kpuvwyz ", "01234567", "89.,-:/=")
+#: First of the characters that stand for segments taken out of a line, and the one that stands for an edit. A line's bytes,
+#: as characters, lie below both.
+TAKEN, EDIT = 0x100, "\u2192"
 
 
 @dataclass(frozen=True)
@@ -46,6 +52,10 @@ class LinePolicy:
     short_lines: bool = False
     #: (characters from which on, edits) for lines under min_chars
     short_edits: tuple[tuple[int, int], ...] = ((16, 1),)
+    #: lines that hold a segment before they are told apart by what else they hold
+    bucket: int = 24
+    #: characters, by the edits, up to which what is left of such lines is told apart by marking the edits
+    marked: tuple[int, ...] = (0, 16, 8)
 
     def joins(self) -> list[tuple[int, int | None, int]]:
         """(least characters, most of the shorter line, edits) of each edit join."""
@@ -83,12 +93,12 @@ def line_id(line: Column) -> list[Column]:
 
 
 def signature(line: Column) -> Column:
-    """How often the line holds each of 24 letters (255 at most), a byte each, in an array of three numbers."""
+    """How often the line holds each of 40 characters (255 at most), a byte each, in an array of five numbers."""
     words = []
     for letters in LETTERS:
         out = F.lit(0).cast("bigint")
         for at, letter in enumerate(letters):
-            out = out.bitwiseOR(F.shiftleft(F.least(F.regexp_count(line, F.lit(letter)), F.lit(255)).cast("bigint"), 8 * at))
+            out = out.bitwiseOR(F.shiftleft(F.least(F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit(""))), F.lit(255)).cast("bigint"), 8 * at))
         words.append(out)
     return F.array(*words)
 
@@ -114,23 +124,34 @@ def segment(size: Column, index: int, parts: int) -> tuple[Column, Column]:
 
 def segment_keys(line: Column, size: Column, distance: int) -> Column:
     """Hashes of the line's own segments; line: its bytes, size: how many."""
-    parts = distance + 1
-    spans = [segment(size, i, parts) for i in range(parts)]
-    return F.array(*(F.xxhash64(size, F.lit(i), F.substring(line, a, n)) for i, (a, n) in enumerate(spans)))
+    return F.array(*(F.xxhash64(n, F.lit(i), F.substring(line, at, width)) for n, i, at, width in own_places(size, distance)))
 
 
-def probe_keys(line: Column, length: Column, distance: int) -> Column:
+def probe_keys(line: Column, size: Column, distance: int) -> Column:
     """Hashes of the substrings that may be a segment of a line as long as this one or up to distance shorter; the line's
     own segments, which are substrings of this kind as well, are left out."""
-    parts, out = distance + 1, []
+    return F.array(*(F.xxhash64(n, F.lit(i), F.substring(line, at, width)) for n, i, at, width in probe_places(size, distance)))
+
+
+Place = tuple[Column, int, Column, Column]
+
+
+def own_places(size: Column, distance: int) -> list[Place]:
+    """(size of the line, index, start, length) of the segments."""
+    return [(size, i, *segment(size, i, distance + 1)) for i in range(distance + 1)]
+
+
+def probe_places(length: Column, distance: int) -> list[Place]:
+    """The same for the substrings that may be segments of other lines, whose sizes they have."""
+    out = []
     for shorter in range(distance + 1):
         size = length - shorter
-        for i in range(parts):
-            start, width = segment(size, i, parts)
+        for i in range(distance + 1):
+            start, width = segment(size, i, distance + 1)
             for shift in range(max(-i, shorter - (distance - i)), min(i, shorter + (distance - i)) + 1):
                 if shorter or shift:
-                    out.append(F.xxhash64(size, F.lit(i), F.substring(line, start + shift, width)))
-    return F.array(*out)
+                    out.append((size, i, start + shift, width))
+    return out
 
 
 def within(a: Column, b: Column, distance: int) -> Column:
@@ -201,13 +222,19 @@ def joined_pairs(distinct: DataFrame, lines: DataFrame, policy: LinePolicy, dist
     hit = F.broadcast(hit) if few_rows(hit, policy) else hit
     own, probes = settle(own.join(hit, "key", "left_semi"), "own-hit"), settle(probes.join(hit, "key", "left_semi"), "probes-hit")
     wanted = settle(own.select(F.col("id").alias("want")).unionByName(probes.select(F.col("id").alias("want"))).distinct(), "lines-wanted")
-    texts = lines.join(F.broadcast(wanted) if few_rows(wanted, policy) else wanted, F.xxhash64("line") == F.col("want"), "left_semi").select("line").distinct()
-    texts = settle(texts.select(F.xxhash64("line").alias("id"), "line", signature(F.col("line")).alias("sign")), "line-texts")
+    texts = lines.join(F.broadcast(wanted) if few_rows(wanted, policy) else wanted, F.xxhash64("line") == F.col("want"), "left_semi").groupBy("line").agg(F.min("place").alias("first"))
+    texts = settle(texts.select(F.xxhash64("line").alias("id"), "line", "first", signature(F.col("line")).alias("sign")), "line-texts")
+    busy = settle(own.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > policy.bucket).select("key"), "segments-busy")
+    if not busy.isEmpty():
+        rare = F.broadcast(busy) if few_rows(busy, policy) else busy
+        own, probes = own.join(rare, "key", "left_anti"), probes.join(rare, "key", "left_anti")
     signs = texts.select("id", "sign")
     left = settle(own.join(signs, "id"), "own-signs").hint("merge")
     right = settle(own.unionByName(probes).join(signs, "id").select("key", F.col("id").alias("probe_id"), F.col("sign").alias("probe_sign")), "probe-signs").hint("merge")
-    pairs = left.join(right, (left.key == right.key) & (F.col("id") != F.col("probe_id")) & alike(F.col("sign"), F.col("probe_sign"), distance))
-    pairs = settle(pairs.select(F.least("id", "probe_id").alias("a"), F.greatest("id", "probe_id").alias("b")).distinct(), "line-pairs")
+    pairs = left.join(right, (left.key == right.key) & (F.col("id") != F.col("probe_id")) & alike(F.col("sign"), F.col("probe_sign"), distance)).select("id", F.col("probe_id").alias("other"))
+    if not busy.isEmpty():
+        pairs = pairs.unionByName(busy_pairs(texts, busy, policy, distance))
+    pairs = settle(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "line-pairs")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
     both = settle(both.select("x", "y").repartition("x", "y"), "lines-paired").select("x", "y", byte_chars(F.col("x")).alias("xs"), byte_chars(F.col("y")).alias("ys"))
     # edits of characters are at most as many as of bytes: the built-in bound spares most pairs the exact count
@@ -217,6 +244,67 @@ def joined_pairs(distinct: DataFrame, lines: DataFrame, policy: LinePolicy, dist
     return one.unionByName(one.select(F.col("other").alias("id"), F.col("other2").alias("id2"), F.col("id").alias("other"), F.col("id2").alias("other2")))
 
 
+def busy_pairs(texts: DataFrame, busy: DataFrame, policy: LinePolicy, distance: int) -> DataFrame:
+    """id, other: the pairs that meet in segments which very many lines hold, as candidates.
+
+    Of two lines within the distance that share a segment in its place, what is left without it is within the distance too.
+    So these lines are joined again, by segments of what is left, together with all that hold the segment; and again, as
+    long as a segment is shared by very many. What is left gets shorter by a third or half each time. Where it is short,
+    the lines are grouped by it with the edits marked: two strings are within the distance if and only if they are equal with
+    as many marks, each instead of a character or between two. In such a group all are alike, so each is paired with the
+    group's first line alone. No line is compared with all that share a part with it, however many do."""
+    whole = texts.select(F.lit(0).cast("bigint").alias("within"), "id", "first", F.decode(F.col("line").cast("binary"), "ISO-8859-1").alias("rest"), F.lit(True).alias("own"), F.col("line").cast("binary").alias("raw"))
+    rows, found, level = placed(whole, distance, F.col("raw"), []), [], 0
+    while True:
+        gap = F.lit(chr(TAKEN + level))
+        left = rows.join(busy, "key").select(F.col("key").alias("within"), "id", "first", "own", F.concat(F.substring("rest", F.lit(1), F.col("at") - 1), gap, F.substring(F.col("rest"), F.col("at") + F.col("width"), F.length("rest"))).alias("rest"))
+        items = settle(left.groupBy("within", "id", "rest").agg(F.max("own").alias("own"), F.min("first").alias("first")), "busy-lines")
+        short = F.length("rest") <= policy.marked[distance]
+        found.append(marked_pairs(items.where(short), distance))
+        rows = settle(placed(items.where(~short), distance, F.col("rest"), ["within"]), "busy-segments")
+        busy = settle(rows.where("own").groupBy("key").agg(F.count_distinct("id").alias("n")).where(F.col("n") > policy.bucket).select("key"), "segments-busy")
+        done = busy.isEmpty()
+        few = rows if done else rows.join(busy, "key", "left_anti")
+        one = few.where("own").select("key", "id", "rest").distinct()
+        other = few.select("key", F.col("id").alias("other"), F.col("rest").alias("other_rest")).distinct()
+        found.append(one.join(other, (one.key == other.key) & (F.col("id") != F.col("other")) & (F.levenshtein("rest", "other_rest", distance) >= 0)).select("id", "other"))
+        if done:
+            break
+        level += 1
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def placed(items: DataFrame, distance: int, body: Column, keys: list[str]) -> DataFrame:
+    """items with a row for each segment and each substring that may be one: key, at (from 1), width, own. Only the segments of
+    items that are own are own themselves."""
+    size = F.octet_length(body) if not keys else F.length(body)
+    part = lambda place, own: F.struct(F.xxhash64(*keys, place[0], F.lit(place[1]), F.substring(body, place[2], place[3])).alias("key"), place[2].cast("int").alias("at"), place[3].cast("int").alias("width"), own.alias("own"))
+    parts = F.array(*(part(x, F.col("own")) for x in own_places(size, distance)), *(part(x, F.lit(False)) for x in probe_places(size, distance)))
+    return items.select("id", "first", "rest", F.explode(parts).alias("p")).select("id", "first", "rest", "p.*")
+
+
+def marked_pairs(items: DataFrame, distance: int) -> DataFrame:
+    """id, other: each item with the first of those that are equal to it with the edits marked."""
+
+    def once(text: Column) -> Column:
+        n = F.length(text)
+        head = lambda i: F.substring(text, F.lit(1), i)
+        tail = lambda i: F.substring(text, i + 1, n)
+        put = F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(head(i), F.lit(EDIT), tail(i)))
+        instead = F.transform(F.filter(F.sequence(F.lit(0), n), lambda i: (i < n) & (F.substring(text, i + 1, F.lit(1)) < F.lit(chr(TAKEN)))), lambda i: F.concat(head(i), F.lit(EDIT), tail(i + 1)))
+        return F.concat(put, instead)
+
+    marked = F.array("rest")
+    for _ in range(distance):
+        marked = F.array_distinct(F.flatten(F.transform(marked, once)))
+    rows = settle(items.select("within", "id", "first", F.explode(marked).alias("marked")), "marked-lines")
+    heads = rows.groupBy("within", "marked").agg(F.min(F.struct("first", "id")).alias("head"), F.count("*").alias("n")).where("n > 1").select("within", "marked", F.col("head.id").alias("other"))
+    return rows.join(heads, ["within", "marked"]).where("id <> other").select("id", "other").distinct()
+
+
 def few_rows(frame: DataFrame, policy: LinePolicy) -> bool:
     return frame.limit(policy.max_broadcast + 1).count() <= policy.max_broadcast
 
