@@ -78,6 +78,13 @@ MOVEMENT = (
     "odletět", "plout", "připlout", "odplout", "dorazit", "vrátit", "utéct", "prchnout", "stěhovat", "přestěhovat", "kráčet", "vandrovat",
 )
 
+# Nouns that only join, nouns that speak of words, words that ask.
+FUNCTION_NOUNS = (
+    "souvislost", "ohled", "rámec", "smysl", "důsledek", "základ", "závislost", "hledisko", "vztah", "případ", "míra", "způsob", "podoba", "forma", "řada",
+)
+METALANGUAGE_NOUNS = ("jméno", "slovo", "název", "pojmenování", "zkratka", "výraz", "označení")
+INTERROGATIVE_PRONOUNS = ("jaký", "který", "kdo", "co", "čí", "kolik")
+
 # The question word for an entity's kind, and the case that an answer to a question word takes.
 QUESTION_OF = {"p": "Kdo", "g": "Kde", "i": "Co", "t": "Kdy", "n": "Kolik"}
 ANSWER_CASE = {"Kdo": "1", "Co": "1", "Kde": "1", "Kdy": None, "Kolik": None, "Jaký": None, "Který": "1", "Čí": "1"}
