@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.catalogue import register
-from millrace.functions import fixed, strings
+from millrace.functions import due, fixed, strings
 from millrace.operators import clauses, extraction
 from millrace.plans import annotated, questions, sequence
 from millrace.plans.annotated import TOKENS
@@ -110,3 +110,36 @@ def _(spark, d):
     nodes = extraction.token_nodes(tokens, entities)
     found = clauses.clause_facts(nodes, clauses.warm_persons(clauses.mentions_of(warmth, tokens)))
     return found.groupBy("predicate").agg(F.count("*").alias("n"), F.sum(F.size("participants")).alias("n_participants"))
+
+
+# Due times and plans of texts around an order's date
+
+DUE_TEXTS = ("za {n} dny", "v 18:30", "zítra ráno", "večer v {n}", "v září", "pozítří", "21. června {n} dny předem", "příští rok")
+DUE_SQL = f"""WITH q AS (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) + to_hours(CAST(o_orderkey % 24 AS INT)) AS now, CAST(o_orderkey % 7 + 1 AS INT) AS n, o_orderkey // 7 % {len(DUE_TEXTS)} AS k FROM orders), s AS (SELECT *, date_trunc('day', now) AS d FROM q),
+ t AS (SELECT *, make_timestamp(year(now), 9, 1, 9, 0, 0.0) AS september, make_timestamp(year(now), 6, 21, 9, 0, 0.0) AS june FROM s)"""
+
+
+@register(
+    "due_times",
+    f"""{DUE_SQL} SELECT o_orderkey, CAST(CASE k WHEN 0 THEN now + to_days(n) WHEN 1 THEN CASE WHEN d + INTERVAL 1110 MINUTE <= now THEN d + INTERVAL 1 DAY + INTERVAL 1110 MINUTE ELSE d + INTERVAL 1110 MINUTE END WHEN 2 THEN d + INTERVAL 1 DAY + INTERVAL 7 HOUR
+ WHEN 3 THEN CASE WHEN d + to_hours(n + 12) <= now THEN d + INTERVAL 1 DAY + to_hours(n + 12) ELSE d + to_hours(n + 12) END
+ WHEN 4 THEN CASE WHEN september > now THEN september WHEN month(now) = 9 THEN d + INTERVAL 1 DAY + INTERVAL 9 HOUR ELSE september + INTERVAL 1 YEAR END
+ WHEN 5 THEN d + INTERVAL 2 DAY + INTERVAL 9 HOUR WHEN 6 THEN CASE WHEN june > now THEN june ELSE june + INTERVAL 1 YEAR END - to_days(n) ELSE make_timestamp(year(now) + 1, 1, 1, 9, 0, 0.0) END AS TIMESTAMP) AS due FROM t""",
+)
+def _(spark, d):
+    now = F.expr("CAST(o_orderdate AS TIMESTAMP_NTZ) + make_dt_interval(0, CAST(o_orderkey % 24 AS INT), 0, 0)").cast("timestamp_ntz")
+    n, k = (F.col("o_orderkey") % 7 + 1).cast("string"), F.floor(F.col("o_orderkey") / 7) % len(DUE_TEXTS)
+    text = F.get(F.array(*(F.format_string(x.replace("{n}", "%s"), n) if "{n}" in x else F.lit(x) for x in DUE_TEXTS)), k.cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", due.due_time(text, now).alias("due"))
+
+
+@register(
+    "plans",
+    """WITH q AS (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) + to_hours(CAST(o_orderkey % 24 AS INT)) AS now, o_orderkey // 7 % 4 AS k FROM orders), s AS (SELECT *, date_trunc('day', now) AS d FROM q), e AS (SELECT *, CASE k WHEN 0 THEN d + INTERVAL 17 HOUR WHEN 1 THEN date_trunc('week', now) + INTERVAL 7 DAY END AS event FROM s)
+ SELECT o_orderkey, CAST(CASE k WHEN 0 THEN CASE WHEN event <= now THEN event + INTERVAL 1 DAY WHEN event - INTERVAL 2 HOUR <= now THEN now + INTERVAL 5 MINUTE ELSE event - INTERVAL 2 HOUR END WHEN 1 THEN event - INTERVAL 5 HOUR WHEN 2 THEN now + INTERVAL 3 HOUR ELSE d + INTERVAL 1 DAY + INTERVAL 7 HOUR END AS TIMESTAMP) AS due,
+ CAST(CASE WHEN k = 1 OR event > now THEN event END AS TIMESTAMP) AS event, k <> 0 OR event > now AS offered FROM e""",
+)
+def _(spark, d):
+    now = F.expr("CAST(o_orderdate AS TIMESTAMP_NTZ) + make_dt_interval(0, CAST(o_orderkey % 24 AS INT), 0, 0)").cast("timestamp_ntz")
+    text = F.get(F.array(*map(F.lit, ("v 17:00 vlak", "příští týden úklid", "dnes zavolat", "zítra zavolat"))), (F.floor(F.col("o_orderkey") / 7) % 4).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", due.plan(text, now).alias("p")).select("o_orderkey", "p.*")

@@ -121,6 +121,11 @@ NEXT_WORDS = ("pristi", "nadchazejici")
 LAST_WORDS = ("minuly", "minulem", "minulou", "minule", "predchozi", "predesly", "predeslem")
 WEEKDAY_FORMS = {"pondeli": 0, "utery": 1, "streda": 2, "stredu": 2, "ctvrtek": 3, "patek": 4, "sobota": 5, "sobotu": 5, "nedele": 6, "nedeli": 6}
 DAY_PARTS = {"rano": "07:00", "dopoledne": "10:00", "poledne": "12:00", "odpoledne": "15:00", "vecer": "19:00", "noc": "22:00"}
+SOON_MINUTES = {"chvili": 15, "chvilku": 15, "moment": 5, "okamzik": 5}
+FRACTION_MINUTES = {"ctvrt": 15, "pul": 30}
+ADVANCE_WORDS = ("predem", "dopredu")
+REMINDER_HOUR, AFTERNOON_FROM, EVENT_LEAD_HOURS, TODAY_LEAD_HOURS = 9, 7, 2, 3
+TOMORROW_PART, HEADS_UP_PART = "rano", "vecer"
 WEEKDAY_NAMES = ("pondělí", "úterý", "středa", "čtvrtek", "pátek", "sobota", "neděle")
 MONTH_GENITIVES = ("ledna", "února", "března", "dubna", "května", "června", "července", "srpna", "září", "října", "listopadu", "prosince")
 CLOCK_DAY = ("co je za den", "co je dnes za den", "jaky je den", "jaky je dnes den", "kolikateho je")
