@@ -254,27 +254,33 @@ def busy_pairs(texts: DataFrame, busy: DataFrame, policy: LinePolicy, distance:
     as many marks, each instead of a character or between two. In such a group all are alike, so each is paired with the
     group's first line alone. No line is compared with all that share a part with it, however many do."""
     whole = texts.select(F.lit(0).cast("bigint").alias("within"), "id", "first", F.decode(F.col("line").cast("binary"), "ISO-8859-1").alias("rest"), F.lit(True).alias("own"), F.col("line").cast("binary").alias("raw"))
-    rows, found, level = placed(whole, distance, F.col("raw"), []), [], 0
+    rows, short, rare, level = placed(whole, distance, F.col("raw"), []), [], [], 0
+    known = F.broadcast(busy) if few_rows(busy, policy) else busy
     while True:
         gap = F.lit(chr(TAKEN + level))
-        left = rows.join(busy, "key").select(F.col("key").alias("within"), "id", "first", "own", F.concat(F.substring("rest", F.lit(1), F.col("at") - 1), gap, F.substring(F.col("rest"), F.col("at") + F.col("width"), F.length("rest"))).alias("rest"))
+        left = rows.join(known, "key").select(F.col("key").alias("within"), "id", "first", "own", F.concat(F.substring("rest", F.lit(1), F.col("at") - 1), gap, F.substring(F.col("rest"), F.col("at") + F.col("width"), F.length("rest"))).alias("rest"))
         items = settle(left.groupBy("within", "id", "rest").agg(F.max("own").alias("own"), F.min("first").alias("first")), "busy-lines")
-        short = F.length("rest") <= policy.marked[distance]
-        found.append(marked_pairs(items.where(short), distance))
-        rows = settle(placed(items.where(~short), distance, F.col("rest"), ["within"]), "busy-segments")
-        busy = settle(rows.where("own").groupBy("key").agg(F.count_distinct("id").alias("n")).where(F.col("n") > policy.bucket).select("key"), "segments-busy")
-        done = busy.isEmpty()
-        few = rows if done else rows.join(busy, "key", "left_anti")
-        one = few.where("own").select("key", "id", "rest").distinct()
-        other = few.select("key", F.col("id").alias("other"), F.col("rest").alias("other_rest")).distinct()
-        found.append(one.join(other, (one.key == other.key) & (F.col("id") != F.col("other")) & (F.levenshtein("rest", "other_rest", distance) >= 0)).select("id", "other"))
-        if done:
+        brief = F.length("rest") <= policy.marked[distance]
+        short.append(items.where(brief))
+        rows = settle(placed(items.where(~brief), distance, F.col("rest"), ["within"]), "busy-segments")
+        busy = settle(rows.where("own").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > policy.bucket).select("key"), "segments-busy")
+        if busy.isEmpty():
+            rare.append(rows)
             break
+        known = F.broadcast(busy) if few_rows(busy, policy) else busy
+        rare.append(rows.join(known, "key", "left_anti"))
         level += 1
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    # keys tell what lies around the segment, so those of all levels can meet in one join
+    every = rare[0]
+    for more in rare[1:]:
+        every = every.unionByName(more)
+    one = every.where("own").select("key", "id", "rest")
+    other = every.select("key", F.col("id").alias("other"), F.col("rest").alias("other_rest"))
+    pairs = one.join(other, (one.key == other.key) & (F.col("id") != F.col("other")) & (F.levenshtein("rest", "other_rest", distance) >= 0)).select("id", "other")
+    brief = short[0]
+    for more in short[1:]:
+        brief = brief.unionByName(more)
+    return pairs.unionByName(marked_pairs(brief, distance))
 
 
 def placed(items: DataFrame, distance: int, body: Column, keys: list[str]) -> DataFrame:
@@ -302,7 +308,7 @@ def marked_pairs(items: DataFrame, distance: int) -> DataFrame:
         marked = F.array_distinct(F.flatten(F.transform(marked, once)))
     rows = settle(items.select("within", "id", "first", F.explode(marked).alias("marked")), "marked-lines")
     heads = rows.groupBy("within", "marked").agg(F.min(F.struct("first", "id")).alias("head"), F.count("*").alias("n")).where("n > 1").select("within", "marked", F.col("head.id").alias("other"))
-    return rows.join(heads, ["within", "marked"]).where("id <> other").select("id", "other").distinct()
+    return rows.join(heads, ["within", "marked"]).where("id <> other").select("id", "other")
 
 
 def few_rows(frame: DataFrame, policy: LinePolicy) -> bool:
