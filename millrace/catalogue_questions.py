@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.catalogue import register
 from millrace.functions import due, fixed, strings
-from millrace.operators import clauses, extraction
+from millrace.operators import clauses, diary, extraction
 from millrace.plans import annotated, questions, sequence
 from millrace.plans.annotated import TOKENS
 from millrace.runtime import table
@@ -143,3 +143,23 @@ def _(spark, d):
     now = F.expr("CAST(o_orderdate AS TIMESTAMP_NTZ) + make_dt_interval(0, CAST(o_orderkey % 24 AS INT), 0, 0)").cast("timestamp_ntz")
     text = F.get(F.array(*map(F.lit, ("v 17:00 vlak", "příští týden úklid", "dnes zavolat", "zítra zavolat"))), (F.floor(F.col("o_orderkey") / 7) % 4).cast("int"))
     return table(spark, d, "orders").select("o_orderkey", due.plan(text, now).alias("p")).select("o_orderkey", "p.*")
+
+
+# A diary made of the events: every tenth line forgets something
+
+
+@register(
+    "diary_replay",
+    """WITH l AS (SELECT event_id AS seq, user_id AS u, event_id % 10 AS k, event_type AS p, 'v' || event_id // 10 % 4 AS a, event_id // 10 % 3 AS b, ts, ts - to_days(CAST(1 + event_id // 10 % 3 AS INT)) AS s, ts - INTERVAL 12 HOUR AS e FROM events)
+ SELECT seq FROM l s WHERE k NOT IN (0, 5, 7) AND NOT EXISTS (SELECT 1 FROM l f WHERE f.u = s.u AND f.seq > s.seq AND ((f.k = 0 AND f.p = s.p AND f.a = s.a) OR (f.k = 5 AND f.b = s.b AND f.seq % 3 = 0) OR (f.k = 7 AND s.ts >= f.s AND s.ts < f.e)))""",
+)
+def _(spark, d):
+    seq = F.col("event_id")
+    tens = F.floor(seq / 10)
+    names = F.get(F.array(F.lit("Karel"), F.lit("Marie"), F.lit("Josef")), (tens % 3).cast("int"))
+    op = F.when(seq % 10 == 0, diary.PATTERN).when((seq % 10 == 5) & (seq % 3 == 0), diary.ENTITY).when(seq % 10 == 5, "note").when(seq % 10 == 7, diary.INTERVAL).otherwise(diary.SAID)
+    log = table(spark, d, "events").select(
+        seq.alias("seq"), F.col("user_id").cast("string").alias("user"), op.alias("op"), F.col("event_type").alias("predicate"), F.array(F.concat(F.lit("v"), tens % 4)).alias("objects"), F.array(names).alias("nodes"), F.col("ts").alias("at"),
+        names.alias("name"), F.expr("ts - make_dt_interval(CAST(1 + floor(event_id / 10) % 3 AS INT))").alias("start"), F.expr("ts - INTERVAL '12' HOUR").alias("end"),
+    )
+    return diary.replay(log).select("seq")
