@@ -601,10 +601,17 @@ def _(spark, d):
     return field.select("user_id", "event_type", F.round("score", 6).alias("score")).where("score > 0")
 
 
-@register("activation_with_floor")
+@register(
+    "activation_with_floor",
+    r"""WITH w AS (SELECT conv_id, turn, unnest(list_distinct(list_transform(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda x: lower(x)))) AS word FROM conversations), s AS (SELECT conv_id, word, turn, CAST(count(*) AS DOUBLE) AS amount FROM w GROUP BY ALL),
+ l AS (SELECT conv_id, max(turn) AS last FROM w GROUP BY conv_id), g AS (SELECT conv_id, word, turn, amount, coalesce(lead(turn) OVER (PARTITION BY conv_id, word ORDER BY turn), last + 1) - turn AS gap FROM s JOIN l USING (conv_id)),
+ f AS (SELECT conv_id, word, list_reduce(list_concat([{'a': CAST(0 AS DOUBLE), 'g': CAST(0 AS BIGINT)}], list({'a': amount, 'g': CAST(gap AS BIGINT)} ORDER BY turn)), lambda x, y: {'a': CASE WHEN (x.a + y.a) * pow(0.8, y.g) > 0.001 THEN (x.a + y.a) * pow(0.8, y.g) ELSE CAST(0 AS DOUBLE) END, 'g': CAST(0 AS BIGINT)}).a AS score FROM g GROUP BY conv_id, word),
+ r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, word) AS rank FROM f WHERE score > 0)
+ SELECT conv_id, word, round(score, 6) AS score, rank FROM r WHERE rank <= 12""",
+)
 def _(spark, d):
     warmed = table(spark, d, "conversations").select("conv_id", "turn", F.explode(F.array_distinct(strings.tokens(F.col("text")))).alias("word")).withColumn("amount", F.lit(1.0))
-    return activation.ranked(activation.decayed(warmed, "conv_id", "word", "turn", "amount", 0.8, 1e-3), "conv_id", "word", 12)
+    return activation.ranked(activation.decayed(warmed, "conv_id", "word", "turn", "amount", 0.8, 1e-3), "conv_id", "word", 12).withColumn("score", F.round("score", 6))
 
 
 @register(

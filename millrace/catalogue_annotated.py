@@ -104,9 +104,10 @@ def token_nodes(spark, d):
     return extraction.token_nodes(annotated.tokens(spark, d), named, extraction.canonical_persons(named))
 
 
-@register("token_nodes", f"WITH {NODES} SELECT doc_id, sent, pos, node, node_type FROM nd")
+@register("token_nodes", f"WITH {NODES} SELECT doc_id, node_type, count(*) AS n, count(DISTINCT node) AS n_nodes, sum(sent * 1000 + pos) AS places, min(node) AS first_node, max(node) AS last_node FROM nd GROUP BY doc_id, node_type")
 def _(spark, d):
-    return token_nodes(spark, d).select("doc_id", "sent", "pos", "node", "node_type")
+    told = token_nodes(spark, d).groupBy("doc_id", "node_type")
+    return told.agg(F.count("*").alias("n"), F.count_distinct("node").alias("n_nodes"), F.sum(F.col("sent") * 1000 + F.col("pos")).alias("places"), F.min("node").alias("first_node"), F.max("node").alias("last_node"))
 
 
 @register(
@@ -132,10 +133,11 @@ def _(spark, d):
 
 @register(
     "subject_children",
-    f"WITH {TOKENS} SELECT doc_id, sent, pos, form FROM tok t WHERE EXISTS (SELECT 1 FROM tok c WHERE c.doc_id = t.doc_id AND c.sent = t.sent AND c.head = t.pos AND c.deprel = 'nsubj')",
+    f"WITH {TOKENS}, h AS (SELECT DISTINCT doc_id, sent, head AS pos FROM tok WHERE deprel = 'nsubj') SELECT doc_id, sent, count(*) AS n, sum(pos) AS places, min(form) AS first_form FROM tok JOIN h USING (doc_id, sent, pos) GROUP BY doc_id, sent",
 )
 def _(spark, d):
-    return extraction.has_child(annotated.tokens(spark, d), extraction.SUBJECTS).select("doc_id", "sent", "pos", "form")
+    found = extraction.has_child(annotated.tokens(spark, d), extraction.SUBJECTS)
+    return found.groupBy("doc_id", "sent").agg(F.count("*").alias("n"), F.sum("pos").alias("places"), F.min("form").alias("first_form"))
 
 
 GROUPS = """, grp AS (SELECT doc_id, sent, pos, node AS member, node_type AS kind FROM nd UNION SELECT doc_id, sent, head, node, node_type FROM nd WHERE deprel = 'conj')"""
@@ -303,14 +305,15 @@ def _(spark, d):
 
 @register(
     "numerals",
-    """SELECT i, CAST(i AS DOUBLE) AS value FROM (SELECT unnest(range(21, 100)) AS i) WHERE i % 10 <> 0
- UNION ALL SELECT 100 * h + i, CAST(100 * h + i AS DOUBLE) FROM (SELECT unnest(range(21, 30)) AS i), (SELECT unnest([2, 3, 4]) AS h)""",
+    """WITH q AS (SELECT o_orderkey, o_orderkey % 8 + 2 AS tens, o_orderkey // 8 % 9 + 1 AS ones, o_orderkey // 72 % 4 AS hundreds FROM orders)
+ SELECT o_orderkey, CAST(CASE WHEN hundreds = 0 THEN 0 ELSE 100 * (hundreds + 1) END + 10 * tens + ones AS DOUBLE) AS value FROM q""",
 )
 def _(spark, d):
-    tens = {20: "dvacet", 30: "tricet", 40: "ctyricet", 50: "padesat", 60: "sedesat", 70: "sedmdesat", 80: "osmdesat", 90: "devadesat"}
-    ones = {1: "jedna", 2: "dva", 3: "tri", 4: "ctyri", 5: "pet", 6: "sest", 7: "sedm", 8: "osm", 9: "devet"}
-    rows = [(t + o, tens[t] + ones[o]) for t in tens for o in ones] + [(100 * h + 20 + o, ones[h] + "sta" + "dvacet" + ones[o]) for h in (2, 3, 4) for o in ones]
-    return spark.createDataFrame(rows, "i long, word string").select("i", arithmetic.numeral(F.col("word")).alias("value"))
+    tens, ones = ("dvacet", "tricet", "ctyricet", "padesat", "sedesat", "sedmdesat", "osmdesat", "devadesat"), ("jedna", "dva", "tri", "ctyri", "pet", "sest", "sedm", "osm", "devet")
+    key = F.col("o_orderkey")
+    word = lambda held, n: F.get(F.array(*map(F.lit, held)), n.cast("int"))
+    text = F.concat(word(("", "dvesta", "trista", "ctyrista"), F.floor(key / 72) % 4), word(tens, key % 8), word(ones, F.floor(key / 8) % 9))
+    return table(spark, d, "orders").select("o_orderkey", arithmetic.numeral(text).alias("value"))
 
 
 # Places
@@ -535,14 +538,15 @@ def _(spark, d):
 
 @register(
     "dispatch_edges",
-    """WITH c AS (SELECT p_name || p_partkey AS name, CASE p_partkey % 5 WHEN 0 THEN 'utterance.query' WHEN 1 THEN 'utterance.statement' WHEN 2 THEN 'utterance.command' WHEN 3 THEN 'data.overflow' ELSE 'statement.identity' END AS event, p_size % 2 = 0 AS hole FROM part WHERE p_partkey <= 100)
+    """WITH c AS (SELECT p_brand || ' ' || p_size AS name, CASE p_size % 5 WHEN 0 THEN 'utterance.query' WHEN 1 THEN 'utterance.statement' WHEN 2 THEN 'utterance.command' WHEN 3 THEN 'data.overflow' ELSE 'statement.identity' END AS event, count(*) % 2 = 0 AS hole FROM part WHERE p_size IS NOT NULL GROUP BY p_brand, p_size)
  SELECT a.name AS source, 'zpresneni' AS kind, b.name AS target FROM c a JOIN c b ON (a.event = 'utterance.query' AND b.event = 'data.overflow' AND a.hole) OR (a.event = 'utterance.statement' AND b.event = 'statement.identity')
  UNION ALL SELECT name, 'navrat', '*' FROM c WHERE event IN ('data.overflow', 'statement.identity')""",
 )
 def _(spark, d):
-    n = F.col("p_partkey") % 5
+    n = F.col("p_size") % 5
     event = F.when(n == 0, "utterance.query").when(n == 1, "utterance.statement").when(n == 2, "utterance.command").when(n == 3, "data.overflow").otherwise("statement.identity")
-    cards = table(spark, d, "part").where("p_partkey <= 100").select(F.concat("p_name", "p_partkey").alias("name"), event.alias("event"), (F.col("p_size") % 2 == 0).alias("has_hole"))  # a deck of a hundred cards
+    kinds = table(spark, d, "part").where("p_size IS NOT NULL").groupBy(F.concat_ws(" ", "p_brand", "p_size").alias("name"), event.alias("event"))
+    cards = kinds.agg((F.count("*") % 2 == 0).alias("has_hole"))  # a card for each brand and size
     return dialog.dispatch_edges(cards)
 
 

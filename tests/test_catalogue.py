@@ -6,7 +6,7 @@ import decimal
 import duckdb
 import pytest
 
-from millrace import catalogue
+from millrace import catalogue, catalogue_annotated, catalogue_questions  # noqa: F401  the latter two add their queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
