@@ -35,7 +35,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.runtime import settle
+from millrace.runtime import HELD, released, settle
 
 BLANKS = " \t\r\x0b\x0c"
 LETTERS = ("aeinorst", "bcdfghlm", "kpuvwyz ", "01234567", "89.,-:/=")
@@ -317,7 +317,13 @@ def few_rows(frame: DataFrame, policy: LinePolicy) -> bool:
 
 def removed_lines(docs: DataFrame, policy: LinePolicy | None = None) -> DataFrame:
     """doc_id, key1, key2 (the text's hashes), places: sorted places of the lines that go; rows that lose none are missing."""
-    policy = policy or LinePolicy()
+    with released(docs.sparkSession) as kept:  # only the result is read later
+        gone = found_lines(docs, policy or LinePolicy())
+        kept.append(HELD[-1])
+    return gone
+
+
+def found_lines(docs: DataFrame, policy: LinePolicy) -> DataFrame:
     lines = line_rows(docs.select("doc_id", "text"), policy)
     distinct = distinct_lines(lines, policy)
     pairs = settle(close_pairs(distinct, lines, policy), "line-links")
