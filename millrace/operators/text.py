@@ -36,14 +36,18 @@ def clean_text(raw: Column) -> Column:
     return text
 
 
-def sentences(text: Column) -> Column:
-    """The sentences of a text: they end at . ! ? or … before white space, but not after an abbreviation, nor after a
-    number that a small letter follows."""
+def boundary() -> str:
+    """The pattern of a sentence's end, its mark being the first group."""
     abbreviations = "|".join(fixed.ABBREVIATIONS)
     after_word = rf"(?<!(?<![\p{{L}}\p{{N}}])(?iu:{abbreviations})[.!?…])"
     after_number = r"(?<!(?<![\p{L}\p{N}])\p{Nd}{1,18}[.!?…])"
-    boundary = rf"([.!?…]){after_word}(?:{after_number}\s++|\s++(?!\p{{Ll}}))"
-    parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), boundary, f"$1{MARK}"), MARK)
+    return rf"([.!?…]){after_word}(?:{after_number}\s++|\s++(?!\p{{Ll}}))"
+
+
+def sentences(text: Column) -> Column:
+    """The sentences of a text: they end at . ! ? or … before white space, but not after an abbreviation, nor after a
+    number that a small letter follows."""
+    parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), boundary(), f"$1{MARK}"), MARK)
     return F.filter(F.transform(parts, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
 
 
