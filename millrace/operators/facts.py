@@ -166,13 +166,14 @@ def fingerprints(participants: DataFrame) -> DataFrame:
     return participants.select("fact_id", "node").join(other, "fact_id").where("node <> neighbour").select("node", "neighbour").distinct()
 
 
-def overlap(prints: DataFrame, least: int = 3, pairs: DataFrame | None = None) -> DataFrame:
-    """(a, b, shared): nodes with at least `least` neighbours in common; only among pairs (a, b) if those are given."""
-    left, right = prints.select(F.col("node").alias("a"), "neighbour"), prints.select(F.col("node").alias("b"), "neighbour")
+def overlap(prints: DataFrame, least: int = 3, pairs: DataFrame | None = None, within: Sequence[str] = ()) -> DataFrame:
+    """(a, b, shared): nodes with at least `least` neighbours in common; only among pairs (a, b) if those are given, and only
+    of nodes that agree in the columns `within`, which are met by together with the neighbour."""
+    left, right = prints.select(*within, F.col("node").alias("a"), "neighbour"), prints.select(*within, F.col("node").alias("b"), "neighbour")
     if pairs is not None:
-        joined = pairs.select("a", "b").join(left, "a").join(right, ["b", "neighbour"])
+        joined = pairs.select("a", "b").join(left, "a").join(right, [*within, "b", "neighbour"])
     else:
-        joined = left.join(right, "neighbour").where("a < b")
+        joined = left.join(right, [*within, "neighbour"]).where("a < b")
     return joined.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
