@@ -21,24 +21,21 @@ def numeral(word: Column, table: Mapping[str, int] = fixed.NUMERALS) -> Column:
     names = sorted(table, key=lambda x: (-len(x), x))
     any_of = "|".join(names)
     values = F.create_map(*(F.lit(x) for name in names for x in (name, table[name])))
-    whole = word.rlike(f"^(?:{any_of})+$")
-    parts = F.regexp_extract_all(word, F.lit(f"(?:{any_of})"), F.lit(0))
-    covered = F.array_join(parts, "") == word
 
-    def step(acc: Column, part: Column) -> Column:
-        value = F.element_at(values, part)
+    def step(acc: Column, value: Column) -> Column:
         group = F.when(value >= 100, F.greatest(acc["group"], F.lit(1)) * value).otherwise(acc["group"] + value)
         closes = value >= 1000
         return F.struct(F.when(closes, acc["total"] + group).otherwise(acc["total"]).alias("total"), F.when(closes, 0).otherwise(group).alias("group"))
 
     start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("group"))
-    return F.when(whole & covered, F.aggregate(parts, start, step, lambda acc: (acc["total"] + acc["group"]).cast("double")))
+    summed = lambda parts: F.aggregate(F.transform(parts, lambda part: F.element_at(values, part)), start, step, lambda acc: (acc["total"] + acc["group"]).cast("double"))
+    return strings.bound(F.regexp_extract_all(word, F.lit(f"(?:{any_of})"), F.lit(0)), lambda parts: F.when((word != "") & (F.array_join(parts, "") == word), summed(parts)))
 
 
 def number(token: Column) -> Column:
     """A token's value: digits with a decimal point or comma, or a numeral."""
     digits = token.rlike(r"^[0-9]+(?:[.,][0-9]+)?$")
-    return F.when(digits, F.translate(token, ",", ".").try_cast("double")).otherwise(numeral(strings.fold_accents(token)))
+    return F.when(digits, F.translate(token, ",", ".").try_cast("double")).otherwise(strings.bound(strings.fold_accents(token), lambda word: numeral(word)))
 
 
 def shown(value: Column) -> Column:
@@ -53,8 +50,7 @@ def stream(text: Column, operators: Mapping[str, str] = fixed.OPERATOR_WORDS) ->
     names = F.create_map(*(F.lit(x) for k, v in {**{s: v or s for s, v in signs.items()}, **operators}.items() for x in (k, v)))
 
     def item(token: Column) -> Column:
-        value = number(token)
-        return F.struct(value.alias("value"), F.when(value.isNull(), F.try_element_at(names, strings.fold_accents(token))).alias("op"))
+        return strings.bound(number(token), lambda value: F.struct(value.alias("value"), F.when(value.isNull(), F.try_element_at(names, strings.fold_accents(token))).alias("op")))
 
     items = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), item)
     return F.filter(items, lambda x: x["value"].isNotNull() | x["op"].isNotNull())
@@ -81,18 +77,19 @@ def evaluated(items: Column) -> Column:
 def compute(text: Column, sum_phrases: Sequence[str] = fixed.SUM_PHRASES) -> Column:
     """struct(said, result), null where a text is no sum: numbers and operators strictly in turn, or at least two numbers
     beside a phrase that asks for their sum. Times (with a colon) are left alone."""
-    items = stream(text)
+    return strings.bound(stream(text), lambda items: worked_out(text, items, sum_phrases))
+
+
+def worked_out(text: Column, items: Column, sum_phrases: Sequence[str]) -> Column:
+    """What compute gives for a text and its stream."""
     numbers = F.filter(items, lambda x: x["value"].isNotNull())
     in_turn = F.forall(F.transform(items, lambda x, i: x["value"].isNotNull() == (i % 2 == 0)), lambda x: x) & (F.size(items) >= 3)
     said = F.array_join(F.transform(items, lambda x: F.coalesce(shown(x["value"]), x["op"])), " ")
-    value = evaluated(items)
-    low = strings.fold_accents(text)
-    asks = F.lit(False)
-    for phrase in sum_phrases:
-        asks = asks | low.contains(phrase)
-    total = F.aggregate(numbers, F.lit(0.0), lambda acc, x: acc + x["value"])
+    phrases = F.array(*(F.lit(x) for x in sum_phrases)).cast("array<string>")
+    asks = strings.bound(strings.fold_accents(text), lambda low: F.exists(phrases, lambda phrase: F.contains(low, phrase)))
+    total = F.aggregate(numbers, F.lit(0.0), lambda acc, x: acc + x["value"], shown)
     listed = F.array_join(F.transform(numbers, lambda x: shown(x["value"])), " + ")
     # numbers at the end close the last term; an operator at the end leaves its term as it stands
-    expression = F.when(value.isNotNull(), F.struct(said.alias("said"), shown(value).alias("result")))
-    bill = F.when(asks, F.struct(listed.alias("said"), shown(total).alias("result")))
+    expression = strings.bound(evaluated(items), lambda value: F.when(value.isNotNull(), F.struct(said.alias("said"), shown(value).alias("result"))))
+    bill = F.when(asks, F.struct(listed.alias("said"), total.alias("result")))
     return F.when((F.size(numbers) >= 2) & (F.instr(text, ":") == 0), F.when(in_turn, expression).otherwise(bill))

@@ -13,6 +13,13 @@ from millrace.functions import fixed
 MARK = "\x01"
 
 
+def once_each(rows: DataFrame, keys: Sequence[str], name: str, made: Column) -> DataFrame:
+    """rows with made as a further column, worked out once for each different value of the keys, which are all that it reads."""
+    told = rows.select(*keys).distinct().select(*(F.col(key).alias(f"{key}__of") for key in keys), made.alias(name))
+    same = [F.col(key).eqNullSafe(F.col(f"{key}__of")) for key in keys]
+    return rows.join(told, same, "left").drop(*(f"{key}__of" for key in keys))
+
+
 def without_envelope(text: Column) -> Column:
     """What lies between the start and end marks of a licence envelope."""
     opened = F.regexp_replace(text, fixed.ENVELOPE_START, "")
