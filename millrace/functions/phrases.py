@@ -60,7 +60,11 @@ def first_of(words: Column, make: Callable[[Column, Column], Column]) -> Column:
 def temporal_interval(text: Column, now: Column) -> Column:
     """struct(start, end, granularity) of the first rule that fits: centuries, now, a date, a month, a word for a day, so many
     units from now, the next, the last and this unit; null if a text says no time."""
-    words = words_of(text)
+    return strings.bound(words_of(text), lambda words: interval_of(words, now))
+
+
+def interval_of(words: Column, now: Column) -> Column:
+    """What temporal_interval gives for a text's words."""
     units, numerals, months = table_of(fixed.TIME_UNITS), table_of(fixed.TIME_NUMERALS), table_of(fixed.MONTH_FORMS | fixed.MONTH_NAMES)
     dated = table_of(fixed.MONTH_FORMS)
     unit_of = lambda t: F.nullif(F.try_element_at(units, t), F.lit("century"))
@@ -68,6 +72,7 @@ def temporal_interval(text: Column, now: Column) -> Column:
     at = lambda i: F.when(i >= 0, F.get(words, i))
     none = F.lit(None).cast("timestamp_ntz")
     blank = span(none, none, F.lit(None).cast("string"))
+    spanned = lambda start, unit: strings.bound(start, lambda at: F.when(at.isNotNull(), unit_span(at, unit)).otherwise(blank))
     has = lambda held: F.exists(words, lambda t: t.isin(*held))
 
     numbers = F.filter(F.transform(words, whole), lambda n: n.between(1, 21))
@@ -82,18 +87,19 @@ def temporal_interval(text: Column, now: Column) -> Column:
         year = F.when(at(i + 1).rlike("^[0-9]{4}$"), at(i + 1))
         named = F.when((i > 0) & whole(at(i - 1)).isNotNull() & year.isNotNull(), day_of(year, F.try_element_at(dated, t), whole(at(i - 1))))
         start = F.coalesce(numeric, named)
-        return F.when(start.isNotNull(), unit_span(start, F.lit("day"))).otherwise(blank)
+        return spanned(start, F.lit("day"))
 
     def bare_month(t: Column, i: Column) -> Column:
         number = F.when((i == 0) | whole(at(i - 1)).isNull(), F.try_element_at(months, t))
         this = F.year(now) + F.when(has(fixed.NEXT_WORDS), 1).otherwise(0)
         year = F.when(at(i + 1).rlike("^[0-9]{4}$"), at(i + 1).try_cast("int")).otherwise(this)
         start = F.when(number.isNotNull(), day_of(year, number, F.lit(1)))
-        return F.when(start.isNotNull(), unit_span(start, F.lit("month"))).otherwise(blank)
+        return spanned(start, F.lit("month"))
 
     def day_word(t: Column, _: Column) -> Column:
         days = F.try_element_at(table_of(fixed.DAY_WORDS), t)
-        return F.when(days.isNotNull(), unit_span(moved(floored(now, F.lit("day")), F.lit("day"), days), F.lit("day"))).otherwise(blank)
+        start = F.when(days.isNotNull(), moved(floored(now, F.lit("day")), F.lit("day"), days))
+        return spanned(start, F.lit("day"))
 
     def directed(t: Column, i: Column) -> Column:
         after = F.slice(words, i + 2, F.lit(3))
@@ -106,7 +112,7 @@ def temporal_interval(text: Column, now: Column) -> Column:
         sign = F.when(t.isin(*fixed.BACK_WORDS), -1).when(t.isin(*fixed.FORWARD_WORDS), 1)
         fine = F.when(unit.isin("second", "minute", "hour"), unit).otherwise(F.lit("day"))
         start = F.when(sign.isNotNull() & unit.isNotNull(), floored(moved(now, unit, sign * count), fine))
-        return F.when(start.isNotNull(), unit_span(start, fine)).otherwise(blank)
+        return spanned(start, fine)
 
     def relative(held: tuple[str, ...], n: int):
         def make(t: Column, i: Column) -> Column:
@@ -114,7 +120,7 @@ def temporal_interval(text: Column, now: Column) -> Column:
             if n == 0:
                 unit = F.when(t.isin(*fixed.THIS_YEAR_WORDS), "year").otherwise(unit)
             start = F.when(t.isin(*held) & unit.isNotNull(), moved(floored(now, unit), unit, F.lit(n)))
-            return F.when(start.isNotNull(), unit_span(start, unit)).otherwise(blank)
+            return spanned(start, unit)
 
         return make
 
