@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontam, line_dedup, packing, quality, similar
+from millrace.llm import decontam, line_dedup, packing, quality, similar, simhash
 from millrace.runtime import HELD, released, remove, settle, table
 
 
@@ -30,11 +30,16 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (Jaccard similarity 0.8 of 5-word shingles) stays.
+    """One document of each group of near copies stays: of texts linked by SimHash fingerprints (two bits of 64) or by a Jaccard
+    similarity of 0.8 of their 5-word shingles, which the fingerprints are too narrow to tell; links of both kinds chain.
 
     Null and empty texts are copies of each other. The least id stays, with all rows that have it and a text of the group;
     rows without an id stay. Columns keep their names; an empty table stays empty."""
-    return similar.drop_similar(docs)
+    with released(spark) as kept:  # what the fingerprints need goes before the shingle sets are made
+        found = simhash.near_duplicate_groups(docs.select("doc_id", "text"), key=True)
+        linked = settle(found.select("doc_id", "key", F.col("component_id").alias("group")), "pipeline-fingerprints")
+        kept.append(HELD[-1])
+    return similar.drop_similar(docs, linked)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -158,23 +158,35 @@ def similar_links(made: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFra
     return stars.unionByName(verified(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), docs, nodes))
 
 
-def drop_similar(docs: DataFrame) -> DataFrame:
+def drop_similar(docs: DataFrame, linked: DataFrame | None = None) -> DataFrame:
     """One document of each group of near copies stays, that with the least id; rows with its id and a text of its group
-    stay with it, as do rows without an id. Rows that share an id but not the text are judged each for itself."""
+    stay with it, as do rows without an id. Rows that share an id but not the text are judged each for itself. linked
+    (doc_id, key: the text's hash, group) tells of further links: what shares a group is linked as well."""
     with released(docs.sparkSession) as kept:
-        gone = copies(docs)
+        gone = copies(docs, linked)
         kept.append(HELD[-1])
     if gone.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         gone = F.broadcast(gone)
     return docs.join(gone, (docs["doc_id"] == gone["gone__id"]) & (F.xxhash64(docs["text"]) == gone["gone__key"]), "left_anti")
 
 
-def copies(docs: DataFrame) -> DataFrame:
+def group_links(made: DataFrame, linked: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes: each of a group's with the least of them."""
+    told = linked.where("group IS NOT NULL").select(F.col("doc_id").alias("l_id"), F.col("key").alias("l_key"), "group")
+    met = made.select("doc_id", "key", "node").join(told, F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("key") == F.col("l_key"))).select("group", "node").distinct()
+    least = met.groupBy("group").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("group", "a")
+    return settle(met.join(least, "group").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "similar-linked")
+
+
+def copies(docs: DataFrame, linked: DataFrame | None = None) -> DataFrame:
     """gone__id, gone__key: the rows that go, by their ids and the hashes of their texts."""
     texts = docs.select("doc_id", "text")
     made = settle(texts.select("doc_id", F.xxhash64("text").alias("key"), sets(F.col("text")).alias("s")).select("doc_id", "key", "s.node", "s.n", "s.sketch", "s.parts"), "shingle-sets")
     nodes = settle(made.groupBy("node").agg(F.min("doc_id").alias("rep")), "shingle-nodes")
-    parts = smallest_reachable(similar_links(made, texts, nodes))
+    links = similar_links(made, texts, nodes)
+    if linked is not None:
+        links = links.unionByName(group_links(made, linked))
+    parts = smallest_reachable(links)
     rooted = settle(nodes.join(parts, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root")), "similar-rooted")
     named = settle(rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("least")), "root").select("node", "least"), "similar-named")
     gone = made.select("doc_id", "key", "node").join(named, "node").where("doc_id <> least")
