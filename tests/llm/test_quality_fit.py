@@ -25,3 +25,11 @@ def test_no_labelled_document_is_left_out(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(quality, "fitted", lambda sizes, ratios, least, most, good, policy, fit, counts: seen.update(n=counts[~np.isnan(ratios)].sum()) or policy)
     quality.fitted_policy(docs, labels)
     assert seen["n"] == judged.count() > 0
+
+
+def test_no_text_is_moved_for_the_fit(spark, sf_dir, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{x}.parquet") for x in ("documents", "labels"))
+    plans, own = [], quality.settle
+    monkeypatch.setattr(quality, "settle", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or own(df, label))
+    quality.fitted_policy(docs, labels)
+    assert plans and not any("Join" in x or "Exchange" in x for x in plans)
