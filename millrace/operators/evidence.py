@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.operators.facts import explode_participants, upsert
+from millrace.operators.facts import explode_participants, keyed, upsert
 
 MIN_VOTES, DOMINANCE = 3, 0.8
 MIN_CASE_VOTES = 2
@@ -65,7 +65,7 @@ def false_persons(persons: DataFrame, counted: DataFrame) -> DataFrame:
 def drop_participants(facts: DataFrame, doomed: DataFrame, roles: Sequence[str] | None = None) -> DataFrame:
     """Facts without the doomed nodes (in the roles); those with fewer than two participants left go, equal ones add
     up. doomed: node."""
-    rows = explode_participants(facts).join(doomed.select(F.col("node"), F.lit(True).alias("doomed")).distinct(), "node", "left")
+    rows = explode_participants(keyed(facts)).join(doomed.select(F.col("node"), F.lit(True).alias("doomed")).distinct(), "node", "left")
     gone = F.coalesce("doomed", F.lit(False)) & (F.col("role").isin(*roles) if roles else F.lit(True))
     left = rows.where(~gone).groupBy("fact_id", "predicate", "weight", "seq").agg(F.array_sort(F.collect_list(F.struct("role", "node", "type"))).alias("participants"))
     return upsert(left.where(F.size("participants") >= 2))
