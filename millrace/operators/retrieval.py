@@ -1,7 +1,9 @@
 """Retrieval: postings, BM25, TF-IDF, thresholds, focus and extraction.
 
 An index is four tables: postings (key, term, tf), term_stats (term, df), passage_stats (key, len) and corpus figures in
-one row. Queries are a table as well, so many are answered by one join; only the corpus row is broadcast.
+one row. Queries are a table as well, so many are answered by one join; only the corpus row and the words of queries are
+broadcast, and the most common words where documents are normed. A pair of a query and a passage is summed up where the
+passage's words lie, so that what a common word gives to each pair is never moved.
 """
 
 from __future__ import annotations
@@ -13,11 +15,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.runtime import settle
 
-#: Distinct words of queries that are broadcast at most.
+#: Words of queries, and distinct words of passages, that are broadcast at most.
 MOST_WORDS = 100_000
 
 
+def corpus_of(lengths: DataFrame) -> DataFrame:
+    return lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+
+
 class Index:
     """passages: key and text; tokens are taken by terms."""
 
@@ -28,7 +35,17 @@ class Index:
         self.words = listed.select(key, F.explode("terms").alias("term"))
         self.postings = self.words.groupBy(key, "term").agg(F.count("*").alias("tf"))
         self.term_stats = self.postings.groupBy("term").agg(F.count("*").alias("df"))
-        self.corpus = self.lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+        self.corpus = corpus_of(self.lengths)
+
+    def counted(self) -> Index:
+        """The index with its words counted once and written, so that texts are taken apart once for all that reads them."""
+        if self.words is None:
+            return self
+        out = copy.copy(self)
+        placed = by_key(self.words, self.key).groupBy(self.key, "term").agg(F.count("*").alias("tf"))
+        out.words, out.postings = None, settle(placed, "index-postings")
+        out.term_stats = settle(out.postings.groupBy("term").agg(F.count("*").alias("df")), "index-terms")
+        return out
 
     def holding(self, asked: DataFrame) -> Index:
         """The index as far as queries need it: only their own words are counted, those of a settled index only read."""
@@ -38,16 +55,36 @@ class Index:
         out = copy.copy(self)
         if self.words is not None:
             out.words = self.words.join(wanted, "term", "left_semi")
-            out.postings = out.words.groupBy(self.key, "term").agg(F.count("*").alias("tf"))
-            out.term_stats = out.postings.groupBy("term").agg(F.count("*").alias("df"))
+            out = out.counted()
         else:
             out.postings, out.term_stats = self.postings.join(wanted, "term", "left_semi"), self.term_stats.join(wanted, "term", "left_semi")
         return out
 
-    def weighted(self) -> DataFrame:
-        """postings with their TF-IDF weight, not normed."""
+    def norms(self) -> DataFrame:
+        """key and norm of each passage's TF-IDF vector, of a counted index. Words are broadcast if they are so common that there can't be many such; only
+        what passages have of rarer ones is moved to meet them."""
+        least = self.postings.count() / MOST_WORDS
+        square = lambda stats: self.weighted(stats).groupBy(self.key).agg(F.sum(F.col("weight") * F.col("weight")).alias("square"))
+        common, rare = F.broadcast(self.term_stats.where(F.col("df") > least)), self.term_stats.where(F.col("df") <= least)
+        left = copy.copy(self)
+        left.postings = self.postings.join(common, "term", "left_anti")
+        rest = left.weighted(rare).select(self.key, (F.col("weight") * F.col("weight")).alias("square"))
+        return square(common).unionByName(rest).groupBy(self.key).agg(F.sqrt(F.sum("square")).alias("norm"))
+
+    def weighted(self, stats: DataFrame | None = None) -> DataFrame:
+        """postings with their TF-IDF weight, not normed; of the words in stats, if they are given."""
         idf = F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1
-        return self.postings.join(self.term_stats, "term").crossJoin(F.broadcast(self.corpus.select("n"))).select(self.key, "term", "tf", (F.col("tf") * idf).alias("weight"), idf.alias("idf"))
+        return self.postings.join(self.term_stats if stats is None else stats, "term").crossJoin(F.broadcast(self.corpus.select("n"))).select(self.key, "term", "tf", (F.col("tf") * idf).alias("weight"), idf.alias("idf"))
+
+
+def by_key(df: DataFrame, key: str) -> DataFrame:
+    """df dealt by key, in as many parts as shuffles have: pairs of a part's keys and all queries are far more than its rows."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def few(asked: DataFrame) -> DataFrame:
+    """Words of queries, to be broadcast if they aren't too many."""
+    return F.broadcast(asked) if asked.limit(MOST_WORDS + 1).count() <= MOST_WORDS else asked
 
 
 def query_terms(queries: DataFrame, query_key: str, terms: Column) -> DataFrame:
@@ -56,8 +93,13 @@ def query_terms(queries: DataFrame, query_key: str, terms: Column) -> DataFrame:
 
 def bm25(index: Index, asked: DataFrame, query_key: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query, key, score) for each pair with a term in common; a query's repeated terms count once."""
-    key, index = index.key, index.holding(asked)
-    hits = index.postings.join(asked.select(query_key, "term"), "term").join(index.term_stats, "term").join(index.lengths, key).crossJoin(F.broadcast(index.corpus))
+    key, stored, index = index.key, index.words is None, index.holding(asked)
+    lengths, corpus = index.lengths, index.corpus
+    if not stored:
+        lengths = settle(lengths, "index-lengths")
+        corpus = corpus_of(lengths)
+    words = few(settle(asked.select(query_key, "term").join(index.term_stats, "term"), "asked-words"))
+    hits = by_key(index.postings, key).join(lengths, key).join(words, "term").crossJoin(F.broadcast(corpus))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     return hits.groupBy(query_key, key).agg(F.sum(part).alias("score"))
@@ -65,12 +107,24 @@ def bm25(index: Index, asked: DataFrame, query_key: str, k1: float = 1.5, b: flo
 
 def tfidf(index: Index, asked: DataFrame, query_key: str) -> DataFrame:
     """Cosine of TF-IDF vectors; a query's repeated terms count, unknown ones don't."""
+    index = index.counted()
     key, own = index.key, index.holding(asked)
-    norms = index.weighted().groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    known = asked.join(own.term_stats, "term").crossJoin(F.broadcast(index.corpus.select("n"))).withColumn("qw", F.col("qtf") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1))
+    idf = F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1
+    known = asked.join(own.term_stats, "term").crossJoin(F.broadcast(index.corpus.select("n"))).select(query_key, "term", idf.alias("idf"), (F.col("qtf") * idf).alias("qw"))
+    known = settle(known, "asked-words")
     qnorms = known.groupBy(query_key).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    dots = own.weighted().join(known.select(query_key, "term", "qw"), "term").groupBy(query_key, key).agg(F.sum(F.col("weight") * F.col("qw")).alias("dot"))
-    return dots.join(norms, key).join(qnorms, query_key).select(query_key, key, (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score"))
+    dots = by_key(own.postings, key).join(few(known), "term").groupBy(query_key, key).agg(F.sum(F.col("tf") * F.col("idf") * F.col("qw")).alias("dot"))
+    return dots.join(index.norms(), key).join(F.broadcast(qnorms), query_key).select(query_key, key, (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score"))
+
+
+def share(index: Index, asked: DataFrame, query_key: str) -> DataFrame:
+    """What the words that a query has, each once, make up of a passage's TF-IDF vector of length 1, summed up."""
+    index = index.counted()
+    key, own = index.key, index.holding(asked)
+    idf = F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1
+    known = settle(asked.join(own.term_stats, "term").crossJoin(F.broadcast(index.corpus.select("n"))).select(query_key, "term", idf.alias("idf")), "asked-words")
+    weights = by_key(own.postings, key).join(index.norms(), key)
+    return weights.join(few(known), "term").groupBy(query_key, key).agg(F.sum(F.col("tf") * F.col("idf") / F.col("norm")).alias("score"))
 
 
 def top_k(scores: DataFrame, query_key: str, key: str, k: int = 5) -> DataFrame:
