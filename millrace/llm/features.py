@@ -6,9 +6,10 @@ its time and its arrival plus the delay; a line when its sale is known and it ha
 a line its sale's, plus d). So a feature is a difference of two running sums: of the rows known by `at` and of those
 expired by `at`. Each table of sums is probed by a DuckDB ASOF join inside mapInArrow.
 
-The work is dealt by shards of a client's time. A client with few rows is one shard. One with more is cut into equal
-spans of time, the longest power of four minutes whose fullest span holds at most `shard_rows`; what the spans before have
-summed up to stands first in each shard as a carried row. No row, sum or ask of a hot client so meets the others in one
+The work is dealt by shards of a client's time. A client with few rows is one shard. One with more is cut into spans of
+time, and each of these again into sixteen, down to a minute, as long as it holds more than `shard_rows`: a busy minute
+cuts what is around it, not the client's other time. What the spans before have summed up to stands first in each shard
+as a carried row. No row, sum or ask of a hot client so meets the others in one
 task, only one row for each of its spans does, when these are summed up. Lines that a client has at one instant are
 summed before they are dealt.
 
@@ -43,8 +44,8 @@ from millrace.llm.workers import give_back
 from millrace.runtime import settle
 
 MINUTE = 60_000_000
-#: spans are up to 2 to this power minutes long
-LEVELS = 20
+#: Spans are 2 to one of these powers minutes long; what is cut at first is a client's whole time.
+LEVELS = (20, 16, 12, 8, 4, 0)
 DAY = 86_400_000_000
 
 
@@ -103,8 +104,8 @@ def with_client(df: DataFrame, told: DataFrame, at: str) -> DataFrame:
 
 
 def client_spans(events: DataFrame, policy: FeaturePolicy) -> DataFrame:
-    """events: client, known. Returns (client, span): for each client with more rows than a shard takes, the microseconds
-    of its spans."""
+    """events: client, known. Returns (client, level, span): the spans with more rows than a shard takes, which are cut into those
+    of the next level; level 0 is the client's whole time. There are at most as many of a level as shards."""
     spark = events.sparkSession
     counts = settle(events.groupBy("client").agg(F.count("*").alias("n")), "client-rows")
     total = counts.agg(F.sum("n")).first()[0] or 0
@@ -112,17 +113,25 @@ def client_spans(events: DataFrame, policy: FeaturePolicy) -> DataFrame:
     heavy = counts.where(F.col("n") > most).select("client", F.lit(True).alias("heavy"))
     minute = F.when(F.col("heavy"), F.floor(F.col("known") / MINUTE))
     minutes = with_client(events, heavy, "known").groupBy("client", minute.alias("m")).agg(F.count("*").alias("n"), F.max("heavy").alias("heavy")).where("heavy")
-    levels = range(LEVELS, -1, -2)
-    rolled = minutes.rollup("client", *(F.expr(f"shiftright(m, {x})").alias(f"m{x}") for x in levels)).agg(F.sum("n").alias("n"), F.grouping_id().alias("left_out"))
-    level = F.log2(F.col("left_out") + 1).cast("int") * 2  # as many of the finest are left out, two levels each
-    fullest = rolled.select("client", "n", level.alias("level")).where(f"client IS NOT NULL AND level <= {LEVELS}").groupBy("client", "level").agg(F.max("n").alias("n"))
-    best = F.coalesce(F.max(F.when(F.col("n") <= most, F.col("level"))), F.lit(0))
-    return settle(fullest.groupBy("client").agg((F.pow(F.lit(2), best).cast("long") * MINUTE).alias("span")), "client-spans")
+    cut = [F.expr(f"shiftright(m, {x})").alias(f"m{x}") for x in LEVELS[:-1]]
+    rolled = minutes.rollup("client", *cut).agg(F.sum("n").alias("n"), F.grouping_id().alias("left_out"))
+    level = len(cut) - F.log2(F.col("left_out") + 1).cast("int")
+    span = F.coalesce(*(F.col(f"m{x}") for x in reversed(LEVELS[:-1])), F.lit(0))
+    return settle(rolled.where(F.col("client").isNotNull() & (F.col("n") > most)).select("client", level.alias("level"), span.alias("span")), "client-spans")
 
 
 def in_cells(df: DataFrame, spans: DataFrame, at: str) -> DataFrame:
-    """df with its client's span (null for clients of one shard) and the number of the span that `at` lies in, then 0."""
-    return with_client(df, spans, at).withColumn("cell", F.coalesce(F.floor(F.col(at) / F.col("span")), F.lit(0).cast("long")))
+    """df with whether its client is split (null if not) and the first minute of the span that `at` lies in, then 0."""
+    minute = F.floor(F.col(at) / MINUTE)
+    whole = spans.where("level = 0").select(F.col("client").alias("c0"), F.lit(True).alias("split"))
+    out = df.join(F.broadcast(whole), F.col("client") == F.col("c0"), "left")
+    cell, last = F.when(F.col("split"), F.expr(f"shiftleft(shiftright(minute, {LEVELS[0]}), {LEVELS[0]})")), "split"
+    out = out.withColumn("minute", minute)
+    for i, (bits, finer) in enumerate(zip(LEVELS, LEVELS[1:], strict=False), 1):
+        held = spans.where(f"level = {i}").select(F.col("client").alias(f"c{i}"), F.col("span").alias(f"s{i}"), F.lit(True).alias(f"cut{i}"))
+        out = out.join(F.broadcast(held), (F.col("client") == F.col(f"c{i}")) & (F.when(F.col(last), F.expr(f"shiftright(minute, {bits})")) == F.col(f"s{i}")), "left")
+        cell, last = F.when(F.col(f"cut{i}"), F.expr(f"shiftleft(shiftright(minute, {finer}), {finer})")).otherwise(cell), f"cut{i}"
+    return out.select(*df.columns, "split", F.coalesce(cell, F.lit(0).cast("long")).alias("cell"))
 
 
 def before(keys: list[str], value: Column, order: str) -> Column:
@@ -141,9 +150,9 @@ def line_events(sold: DataFrame, spans: DataFrame, windows: tuple[int, ...]) ->
     fit = lambda d: F.col("known") < F.col("sold") + d * DAY
     own = [x for d in windows for x in (fit(d).cast("long").alias(f"n_lines_{d}"), F.when(fit(d), F.col("cents")).otherwise(zero).alias(f"line_cents_{d}"))]
     added = [f"{m}_{d}" for d in windows for m in ("n_lines", "line_cents")]
-    held = in_cells(sold.select("client", "item", "known", "sold", *own), spans, "known").groupBy("client", "item", "cell", "known").agg(F.max("sold").alias("sold"), F.max("span").alias("span"), *summed(added))
+    held = in_cells(sold.select("client", "item", "known", "sold", *own), spans, "known").groupBy("client", "item", "cell", "known").agg(F.max("sold").alias("sold"), F.max("split").alias("split"), *summed(added))
     held = settle(held, "lines-by-item")
-    latest = held.where("item IS NOT NULL AND span IS NOT NULL").groupBy("client", "item", "cell").agg(F.max("sold").alias("latest"))
+    latest = held.where("item IS NOT NULL AND split").groupBy("client", "item", "cell").agg(F.max("sold").alias("latest"))
     carried = settle(latest.select("client", "item", "cell", before(["client", "item"], F.max("latest"), "cell").alias("carried")).where("carried IS NOT NULL"), "latest-sold")
     ordered = held.join(carried, ["client", "item", "cell"], "left").withColumn("earlier", F.greatest(before(["client", "item", "cell"], F.max("sold"), "known"), "carried"))
     start = {d: F.greatest("known", F.col("earlier") + d * DAY) for d in windows}
@@ -236,7 +245,7 @@ def feature_table(asks: DataFrame, sales: DataFrame, clicks: DataFrame, lines: D
 
     asked = asks.where("client_id IS NOT NULL AND at_us IS NOT NULL").select(F.col("client_id").cast("long").alias("client"), F.col("at_us").alias("us"), F.col("ask_id").cast("long").alias("ask_id"))
     events = settle(in_cells(union(sides(clicked, bought, seen, asked, *line_events(sold, spans, windows), policy)), spans, "us"), "shard-rows")
-    rows = events.drop("span").unionByName(carried_rows(events, len(windows)))
+    rows = events.drop("split").unionByName(carried_rows(events, len(windows)))
     kinds = "ask_id long, d int, t_us long, label boolean, " + ", ".join(f"{x} long" for x in (*COUNTED, *LINES, "last_click_id"))
     return rows.repartition("client", "cell").sortWithinPartitions("client", "cell").mapInArrow(probe(windows, policy.chunk_rows), kinds)
 
@@ -277,16 +286,16 @@ def measure_names(windows: tuple[int, ...]) -> list[str]:
 def carried_rows(events: DataFrame, n_windows: int) -> DataFrame:
     """For each span of a split client that is asked about, and each side, what the spans before have summed up to, as a row
     at the span's start."""
-    measures = [x for x in events.columns if x not in ("client", "cell", "span", "side", "us", "last_ts", "last_id", "ask_id")]
+    measures = [x for x in events.columns if x not in ("client", "cell", "split", "side", "us", "last_ts", "last_id", "ask_id")]
     last = F.max(F.when(F.col("last_id").isNotNull(), F.struct("last_ts", "last_id"))).alias("last")
-    sums = settle(events.where("span IS NOT NULL").groupBy("client", "cell", "side").agg(*summed(measures), last, F.max("span").alias("span")), "span-sums")
+    sums = settle(events.where("split").groupBy("client", "cell", "side").agg(*summed(measures), last), "span-sums")
     asked = sums.where(F.col("side") > n_windows).withColumn("side", F.explode(F.sequence(F.lit(0), F.lit(n_windows))))
     both = sums.where(F.col("side") <= n_windows).withColumn("asked", F.lit(False)).unionByName(asked.withColumn("asked", F.lit(True)))
-    cells = both.groupBy("client", "cell", "side").agg(*summed(measures), F.max("last").alias("last"), F.max("span").alias("span"), F.max("asked").alias("asked"))
+    cells = both.groupBy("client", "cell", "side").agg(*summed(measures), F.max("last").alias("last"), F.max("asked").alias("asked"))
     keys = ["client", "side"]
-    carried = cells.select("client", "cell", "side", "asked", "span", *[before(keys, F.sum(m), "cell").alias(m) for m in measures], before(keys, F.max("last"), "cell").alias("last"))
+    carried = cells.select("client", "cell", "side", "asked", *[before(keys, F.sum(m), "cell").alias(m) for m in measures], before(keys, F.max("last"), "cell").alias("last"))
     return carried.where(F.col("asked") & F.col("n_next").isNotNull()).select(
-        "client", "cell", "side", (F.col("cell") * F.col("span")).alias("us"), *measures, "last.last_ts", "last.last_id", F.lit(None).cast("long").alias("ask_id")
+        "client", "cell", "side", (F.col("cell") * MINUTE).alias("us"), *measures, "last.last_ts", "last.last_id", F.lit(None).cast("long").alias("ask_id")
     )
 
 

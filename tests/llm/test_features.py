@@ -61,3 +61,14 @@ def test_empty_tables(spark, tmp_path):
     assert got == want and len(got) == 2
     none = [spark.createDataFrame([], s) for s in (SALES, CLICKS, LINES)]
     assert features.op12_feature_table(*none).count() == 0
+
+
+def test_a_busy_minute_cuts_only_the_time_around_it(spark):
+    minute, start = features.MINUTE, 28_000_000 * features.MINUTE
+    rows = [(1, start + i * 7 * minute) for i in range(2000)] + [(1, start + 3500 * minute)] * 300 + [(2, start)] * 3
+    events = spark.createDataFrame(rows, "client long, known long")
+    spans = features.client_spans(events, features.FeaturePolicy(shard_rows=50))
+    cells = features.in_cells(events, spans, "known").groupBy("client", "cell").count().collect()
+    busy = [x["count"] for x in cells if x["client"] == 1]
+    assert len(busy) < 400 and sum(busy) == 2300 and sorted(busy)[-2] <= 50  # cut by the busy minute throughout: 2000
+    assert [(x["cell"], x["count"]) for x in cells if x["client"] == 2] == [(0, 3)]
