@@ -47,6 +47,11 @@ def upsert(mentions: DataFrame) -> DataFrame:
     return summed.select(fact_id(F.col("predicate"), F.col("participants")).alias("fact_id"), "predicate", "participants", "weight", "seq")
 
 
+def identified(counted: DataFrame, *more: str) -> DataFrame:
+    """Rows that are one for each fact already, with the facts' columns."""
+    return counted.select(fact_id(F.col("predicate"), F.col("participants")).alias("fact_id"), "predicate", "participants", "weight", "seq", *more)
+
+
 def upsert_counted(mentions: DataFrame) -> DataFrame:
     """upsert with n_sources, the number of different sources, in one pass over the mentions."""
     summed = mentions.groupBy("predicate", "participants").agg(F.count("*").alias("weight"), F.min("seq").alias("seq"), F.count_distinct("source").alias("n_sources"))
