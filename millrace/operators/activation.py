@@ -68,6 +68,19 @@ def spread_facts(participants: DataFrame, sources: Sequence[str], base: float =
     return spread_by(lambda frontier: edges_near(participants, frontier), participants.sparkSession, sources, base, falloff, depth, fanout)
 
 
+def edges_within(facts: DataFrame, frontier: DataFrame, speech: str = "výrok") -> DataFrame:
+    """The edges of edges_near, of facts that hold their participants: each opens them by itself, and none meets another."""
+    held = facts.select("participants", "weight", F.explode(F.array_distinct(F.transform("participants", lambda p: p["node"]))).alias("node"))
+    held = held.join(F.broadcast(frontier.select("node")), "node", "left_semi")
+    near = F.explode(F.filter("participants", lambda p: (p["type"] != speech) & (p["node"] != F.col("node")))).alias("p")
+    return held.select("node", "weight", near).groupBy("node", F.col("p.node").alias("near")).agg(F.max("weight").alias("weight"))
+
+
+def spread_held(facts: DataFrame, sources: Sequence[str], base: float = 0.6, falloff: float = 0.35, depth: int = 2, fanout: int = 8) -> DataFrame:
+    """spread_facts over facts that hold their participants; what a hop reaches, at most fanout nodes for each before, is broadcast."""
+    return spread_by(lambda frontier: edges_within(facts, frontier), facts.sparkSession, sources, base, falloff, depth, fanout)
+
+
 def spread_by(edges_from: Callable[[DataFrame], DataFrame], spark: SparkSession, sources: Sequence[str], base: float, falloff: float, depth: int, fanout: int) -> DataFrame:
     """A hop's heat is settled, so that the next starts from a table of at most fanout rows per node that was reached."""
     frontier = spark.createDataFrame([(x, base) for x in sources], "node string, energy double")
