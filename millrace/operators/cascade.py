@@ -101,9 +101,9 @@ def novel(values: DataFrame, said: DataFrame) -> DataFrame:
     return values.join(said.select("question", "value").distinct(), ["question", "value"], "left_anti")
 
 
-def source_bonus(provenance: DataFrame, doc_heat: DataFrame, factor: float = 2.0) -> DataFrame:
-    """fact_id, bonus: factor times the heat of all documents that a fact comes from."""
-    return provenance.join(doc_heat, provenance["source"] == doc_heat["doc"]).groupBy("fact_id").agg((factor * F.sum("heat")).alias("bonus"))
+def source_bonus(provenance: DataFrame, doc_heat: DataFrame, factor: float = 2.0, by: Sequence[str] = ("fact_id",)) -> DataFrame:
+    """fact_id (or what else tells facts apart), bonus: factor times the heat of all documents that a fact comes from."""
+    return provenance.join(doc_heat, provenance["source"] == doc_heat["doc"]).groupBy(*by).agg((factor * F.sum("heat")).alias("bonus"))
 
 
 def warm_sources(used: DataFrame, links: DataFrame, amount: float = 3.0, falloff: float = 0.35, fanout: int = 8) -> DataFrame:
