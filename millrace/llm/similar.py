@@ -5,27 +5,30 @@ shingle) have a Jaccard similarity of 4/5 or more. No pair of them is missed, wh
 
 Sizes fall into intervals of which the greatest is 5/4 of the least, so near copies lie in the same or in neighbouring
 ones. In such a pair the smaller set has at most r elements, r being its interval's greatest size, and the two differ in
-at most r // 4. Each set is dealt by hash into more than r // 4 parts, so that at least `parts - r // 4` of them are the
-same in both; a part's sum is what they meet by. Empty parts say nothing, and are named only by sets in which those that
-agree might all be empty.
+at most r // 4. Each set is dealt by hash into q sections of about 256 elements, and so is what differs: in one section at
+least it is a q-th of it or less, d at most. Each section is dealt into more than d parts, so that in this one at least
+`parts - d` of them are the same in both; a part's sum is what they meet by. Empty parts say nothing, and are named only by
+sets in which those that agree might all be empty.
 
-Of the texts that share a part, each is first compared with the least it meets. Parts whose texts are then all in one
-group are done; in the others texts of different groups are paired if their sizes and a sketch allow it. The sketch has
-the parities of 256 classes of shingles, and two sketches differ in no more places than the sets do. Pairs are decided
-by the sets themselves, which are made again for those that need it.
+A section has a sketch, the parities of 256 classes of its shingles; two sketches differ in no more places than the sections
+do. Texts that share a part are only compared if their sizes and the sketches of its section allow it, so that long texts
+with a passage in common are told apart by it as short ones are. Each is first compared with the least that it meets. Parts
+whose texts are then all in one group are done; in the others texts of different groups are paired. Pairs are decided by the
+sets themselves, which are made again for those that need it.
 
 Null text counts as empty; empty texts are copies of each other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace.llm.components import smallest_reachable
 from millrace.runtime import HELD, released, settle
@@ -34,8 +37,14 @@ SEED = 43
 SHINGLE = 5
 #: Rows of ids that are broadcast at most.
 MOST_BROADCAST = 200_000
-SETS_DDL = "node long, n int, sketch array<long>, parts array<long>, members array<long>"
-SETS = pa.struct([("node", pa.int64()), ("n", pa.int32()), ("sketch", pa.list_(pa.int64())), ("parts", pa.list_(pa.int64())), ("members", pa.list_(pa.int64()))])
+#: Elements of a section, about.
+SECTION = 256
+#: Rows with one set above which only the first of them names its parts.
+MOST_COPIES = 100
+SKETCH = ("s0", "s1", "s2", "s3")
+SETS_DDL = f"node long, n int, sections array<struct<q: int, {', '.join(f'{x}: long' for x in SKETCH)}, keys: array<long>>>, members array<long>"
+SECTIONS = pa.list_(pa.struct([("q", pa.int32()), *((x, pa.int64()) for x in SKETCH), ("keys", pa.list_(pa.int64()))]))
+SETS = pa.struct([("node", pa.int64()), ("n", pa.int32()), ("sections", SECTIONS), ("members", pa.list_(pa.int64()))])
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -70,38 +79,45 @@ def intervals(n: int) -> list[tuple[int, int]]:
         below, low, at = (at, high), high + 1, at + 1
 
 
-def part_keys(members: np.ndarray) -> np.ndarray:
-    """Hashes by which any two sets of similarity 4/5 or more meet."""
-    if not len(members):
-        return np.zeros(0, np.uint64)
+def sections(members: np.ndarray) -> list[dict]:
+    """For each section of the set, in both of its intervals: q (how many there are), its sketch and the keys of its parts."""
     out, spread = [], mixed(members)
-    for number, high in intervals(len(members)):
-        differ = high // 4
+    classes = (members >> np.uint64(56)).astype(np.int64)
+    for number, high in intervals(len(members)) if len(members) else ():
+        q = max(1, high // SECTION)
+        differ = high // 4 // q
         parts = differ + 1 + (differ + 9) // 10 + 1
-        where = (members % np.uint64(parts)).astype(np.int64)
+        where = (members % np.uint64(q * parts)).astype(np.int64)
         order = np.argsort(where, kind="stable")
         held, first = np.unique(where[order], return_index=True)
         sums = np.add.reduceat(spread[order], first)
         group = mixed(np.array([number + 1], np.uint64))
-        out.append(mixed(sums + mixed(held.astype(np.uint64) + group)))
-        if parts - len(held) >= parts - differ:  # what agrees may be empty throughout
-            empty = np.setdiff1d(np.arange(parts), held).astype(np.uint64)
-            out.append(mixed(mixed(empty + group)))
-    return np.concatenate(out)
+        keys = mixed(sums + mixed(held.astype(np.uint64) + group))
+        ends = np.searchsorted(held, np.arange(q + 1) * parts)
+        odd = np.bincount((where // parts) * 256 + classes, minlength=q * 256) % 2
+        sketches = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(q, 4)
+        for at in range(q):
+            own = keys[ends[at] : ends[at + 1]]
+            if len(own) <= differ:  # what agrees may be empty throughout
+                empty = np.setdiff1d(np.arange(at * parts, (at + 1) * parts), held).astype(np.uint64)
+                own = np.concatenate([own, mixed(mixed(empty + group))])
+            out.append({"q": q, **dict(zip(SKETCH, sketches[at].tolist(), strict=True)), "keys": own.view(np.int64)})
+    return out
+
+
+def part_keys(members: np.ndarray) -> np.ndarray:
+    """Hashes by which any two sets of similarity 4/5 or more meet."""
+    return np.concatenate([np.zeros(0, np.uint64), *(x["keys"].view(np.uint64) for x in sections(members))])
 
 
 def sets(text: Column, members: bool = False) -> Column:
-    """node (equal for equal sets), n, and the sketch and parts; or only the members, if asked for."""
+    """node (equal for equal sets), n, and the sections; or only the members, if asked for."""
 
     def one(raw: str | None) -> dict:
         found = shingles(raw)
         spread = mixed(found)
         node = int(mixed(np.add.reduce(spread, dtype=np.uint64, keepdims=True) + np.uint64(len(found))).view(np.int64)[0])
-        out = {"node": node, "n": len(found), "sketch": None, "parts": None, "members": None}
-        if members:
-            return out | {"members": found.view(np.int64)}
-        odd = np.bincount((found >> np.uint64(56)).astype(np.int64), minlength=256) % 2
-        return out | {"sketch": np.packbits(odd.astype(np.uint8)).view(np.int64), "parts": part_keys(found).view(np.int64)}
+        return {"node": node, "n": len(found), "sections": None if members else sections(found), "members": found.view(np.int64) if members else None}
 
     def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
@@ -138,23 +154,42 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFr
     return settle(both.where(similar(F.size(F.array_intersect("m_a", "m_b")), F.col("n_a"), F.col("n_b"))).select("a", "b"), "similar-links")
 
 
+def shared_parts(made: DataFrame, nodes: DataFrame) -> DataFrame:
+    """key, node, n, q and the sketch of the key's section, for parts that different sets share. All that have a key meet in one
+    shuffle; of a set that very many rows have, only the row that nodes names takes part."""
+    often = nodes.where(F.col("copies") > MOST_COPIES).select("node", "rep")
+    often = F.broadcast(often) if often.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else often
+    once = made.join(often, "node", "left").where(F.col("rep").isNull() | F.col("doc_id").eqNullSafe(F.col("rep")))
+    each = once.select("node", "n", F.posexplode("sections").alias("at", "x"))
+    same = Window.partitionBy("key")
+    keys = each.select("node", "at", F.explode("x.keys").alias("key"))
+    keys = keys.select("key", "node", "at", F.min("node").over(same).alias("low"), F.max("node").over(same).alias("high"))
+    shared = settle(keys.where("low < high").select("key", "node", "at").distinct(), "parts-met")
+    sketches = each.select("node", "at", "n", "x.q", *(f"x.{x}" for x in SKETCH)).dropDuplicates(["node", "at"])
+    return settle(shared.join(sketches, ["node", "at"]).select("key", "node", "n", "q", *SKETCH), "parts-shared")
+
+
+def allowed(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """Whether sizes and sketches of a section allow two sets to be similar: some section has a q-th of what differs, or less."""
+    apart = sum((F.bit_count(a(x).bitwiseXOR(b(x))) for x in SKETCH[1:]), F.bit_count(a(SKETCH[0]).bitwiseXOR(b(SKETCH[0]))))
+    return (9 * a("q") * apart <= a("n") + b("n")) & (5 * F.least(a("n"), b("n")) >= 4 * F.greatest(a("n"), b("n")))
+
+
 def similar_links(made: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes whose connected parts are those of all similar pairs."""
-    keys = made.select("node", F.explode("parts").alias("key"))
-    met = settle(keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low"), "parts-met")
-    met = F.broadcast(met) if met.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else met
-    shared = settle(keys.join(met, "key").select("key", "node", "low").distinct(), "parts-shared")
-    stars = verified(shared.where("node <> low").groupBy("node").agg(F.min("low").alias("a")).select("a", F.col("node").alias("b")), docs, nodes)
+    shared = shared_parts(made, nodes)
+    known = ["node", "n", "q", *SKETCH]
+    low = F.first(F.struct(*known)).over(Window.partitionBy("key").orderBy("node"))
+    near = shared.withColumn("low", low).where((F.col("node") != F.col("low.node")) & allowed(F.col, lambda x: F.col(f"low.{x}")))
+    stars = verified(near.groupBy("node").agg(F.min("low.node").alias("a")).select("a", F.col("node").alias("b")), docs, nodes)
     roots = smallest_reachable(stars)
-    marked = settle(shared.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "parts-marked")
+    marked = settle(shared.join(roots, "node", "left").select("key", *known, F.coalesce("root", "node").alias("root")), "parts-marked")
     mixed_keys = marked.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    sketches = made.select("node", "n", "sketch").join(marked.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    rest = settle(marked.join(mixed_keys, "key", "left_semi").join(sketches, "node"), "parts-mixed")
-    left = rest.select("key", *(F.col(x).alias(f"{x}_a") for x in ("node", "root", "n", "sketch")))
-    right = rest.select("key", *(F.col(x).alias(f"{x}_b") for x in ("node", "root", "n", "sketch")))
-    apart = sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(1, 4)), F.bit_count(F.col("sketch_a")[0].bitwiseXOR(F.col("sketch_b")[0])))
-    allowed = (9 * apart <= F.col("n_a") + F.col("n_b")) & (5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b"))
-    pairs = left.hint("merge").join(right, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & allowed)
+    rest = settle(marked.join(mixed_keys, "key", "left_semi"), "parts-mixed")
+    left = rest.select("key", *(F.col(x).alias(f"{x}_a") for x in (*known, "root")))
+    right = rest.select("key", *(F.col(x).alias(f"{x}_b") for x in (*known, "root")))
+    close = allowed(lambda x: F.col(f"{x}_a"), lambda x: F.col(f"{x}_b"))
+    pairs = left.hint("merge").join(right, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & close)
     return stars.unionByName(verified(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), docs, nodes))
 
 
@@ -181,8 +216,8 @@ def group_links(made: DataFrame, linked: DataFrame) -> DataFrame:
 def copies(docs: DataFrame, linked: DataFrame | None = None) -> DataFrame:
     """gone__id, gone__key: the rows that go, by their ids and the hashes of their texts."""
     texts = docs.select("doc_id", "text")
-    made = settle(texts.select("doc_id", F.xxhash64("text").alias("key"), sets(F.col("text")).alias("s")).select("doc_id", "key", "s.node", "s.n", "s.sketch", "s.parts"), "shingle-sets")
-    nodes = settle(made.groupBy("node").agg(F.min("doc_id").alias("rep")), "shingle-nodes")
+    made = settle(texts.select("doc_id", F.xxhash64("text").alias("key"), sets(F.col("text")).alias("s")).select("doc_id", "key", "s.node", "s.n", "s.sections"), "shingle-sets")
+    nodes = settle(made.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "shingle-nodes")
     links = similar_links(made, texts, nodes)
     if linked is not None:
         links = links.unionByName(group_links(made, linked))

@@ -21,3 +21,13 @@ def test_fingerprints_link_what_sets_do_not(spark, sf_dir):
     assert {r["doc_id"] for r in similar.drop_similar(docs).collect()} == {3, 5, 9}
     kept = dict(corpus_pipeline.STAGES)["simhash"](spark, docs, sf_dir)
     assert {r["doc_id"] for r in kept.collect()} == {3, 9}
+
+
+def test_long_texts_with_a_common_passage_are_not_compared(spark, monkeypatch):
+    passage = words(4, 300)
+    docs = spark.createDataFrame([(i, " ".join(passage + words(10 + i, 1200))) for i in range(8)], "doc_id long, text string")
+    made = docs.select("doc_id", similar.sets(docs["text"]).alias("s")).select("doc_id", "s.*")
+    compared = []
+    monkeypatch.setattr(similar, "verified", lambda pairs, docs, nodes: compared.append(pairs.count()) or pairs)
+    similar.similar_links(made, docs, made.selectExpr("node", "doc_id AS rep", "1L AS copies"))
+    assert compared == [0, 0]
