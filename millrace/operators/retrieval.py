@@ -9,8 +9,9 @@ passage's words lie, so that what a common word gives to each pair is never move
 from __future__ import annotations
 
 import copy
+from functools import reduce
+from operator import and_
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -153,7 +154,10 @@ def distance_activation(scored: DataFrame, doc: str, place: str, tau: float = 1.
     tau = max(tau, 1e-6)
     width = max(1, int(reach * tau))
     sources = scored.where("score <> 0").select(doc, *more, F.col(place).alias("from_place"), "score")
-    spread = sources.withColumn("to_place", F.explode(F.sequence(F.col("from_place") - width, F.col("from_place") + width)))
+    bounds = scored.groupBy(*(F.col(x).alias(f"of_{x}") for x in (doc, *more))).agg(F.min(place).alias("low"), F.max(place).alias("high"))
+    # a document mostly has fewer places than the band, so the band ends with it
+    sources = sources.join(bounds, reduce(and_, (F.col(x) == F.col(f"of_{x}") for x in (doc, *more))))
+    spread = sources.withColumn("to_place", F.explode(F.sequence(F.greatest("low", F.col("from_place") - width), F.least("high", F.col("from_place") + width))))
     spread = spread.withColumn("part", F.col("score") * F.exp(-F.abs(F.col("from_place") - F.col("to_place")) / tau))
     sums = spread.groupBy(doc, *more, F.col("to_place").alias(place)).agg(F.sum("part").alias("activation"))
     return scored.join(sums, [doc, *more, place], "left").withColumn("activation", F.coalesce("activation", F.lit(0.0)))
@@ -164,23 +168,14 @@ def focus_windows(active: DataFrame, query: str, doc: str, place: str, radius: i
 
     Peaks compete within a document alone (windows are clipped to it), so each (query, document) is its own group; the
     k best of a query are picked after that."""
-    schema = f"{query} long, {doc} long, peak int, low int, high int, activation double"
-
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["activation", place], ascending=[False, True])
-        low, high = int(rows[place].min()), int(rows[place].max())
-        covered: set[int] = set()
-        out = []
-        for at, value in zip(rows[place].astype(int), rows["activation"], strict=True):
-            if value <= 0 or len(out) >= k:
-                break
-            if at not in covered:
-                a, b = max(low, at - radius), min(high, at + radius)
-                out.append((rows[query].iloc[0], rows[doc].iloc[0], at, a, b + 1, value))
-                covered.update(range(a, b + 1))
-        return pd.DataFrame(out, columns=[query, doc, "peak", "low", "high", "activation"])
-
-    found = active.groupBy(query, doc).applyInPandas(pick, schema)
+    peaks = F.array_sort(F.collect_list(F.when(F.col("activation") > 0, F.struct((-F.col("activation")).alias("less"), F.col(place).cast("int").alias("at")))))
+    none = F.array().cast("array<struct<less: double, at: int>>")
+    free = lambda taken, x: (F.size(taken) < k) & ~F.exists(taken, lambda t: F.abs(t["at"] - x["at"]) <= radius)
+    picked = F.aggregate("peaks", none, lambda taken, x: F.when(free(taken, x), F.array_append(taken, x)).otherwise(taken))
+    held = active.groupBy(query, doc).agg(peaks.alias("peaks"), F.min(place).cast("int").alias("first"), F.max(place).cast("int").alias("last"))
+    each = held.select(query, doc, "first", "last", F.explode(picked).alias("x"))
+    low, high = F.greatest("first", F.col("x.at") - radius), F.least("last", F.col("x.at") + radius) + 1
+    found = each.select(query, doc, F.col("x.at").alias("peak"), low.alias("low"), high.alias("high"), (-F.col("x.less")).alias("activation"))
     rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("activation"), doc, "peak"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
