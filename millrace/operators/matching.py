@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.operators.facts import explode_participants, node_of
+from millrace.runtime import settle
 
 
 def identity_vote(layers: DataFrame, least: int = 2) -> DataFrame:
@@ -63,7 +64,8 @@ def place_anchored(facts: DataFrame, role: str, inside: DataFrame, limit: int =
 
 def event_neighbourhood(participants: DataFrame, start: str, depth: int = 2, damping: float = 0.4, skip: Sequence[str] = ("být", "druh", "kontext")) -> DataFrame:
     """fact_id, dist, score: facts within depth steps over persons; near ones first, then weight * damping ^ dist."""
-    usable = participants.where(~F.col("predicate").isin(*skip))
+    usable = participants.where(~F.col("predicate").isin(*skip)).select("fact_id", "node", "type", "weight")
+    usable = settle(usable, "neighbourhood-parts")  # each step reads them, and they may be dear to make
     reached = usable.sparkSession.createDataFrame([(start, 0)], "node string, dist int")
     found = None
     for dist in range(depth + 1):
