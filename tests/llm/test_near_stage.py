@@ -24,8 +24,8 @@ def test_fingerprints_link_what_sets_do_not(spark, sf_dir):
 
 
 def test_long_texts_with_a_common_passage_are_not_compared(spark, monkeypatch):
-    passage = words(4, 300)
-    docs = spark.createDataFrame([(i, " ".join(passage + words(10 + i, 1200))) for i in range(8)], "doc_id long, text string")
+    passage = words(4, 900)
+    docs = spark.createDataFrame([(i, " ".join(passage + words(10 + i, 600))) for i in range(8)], "doc_id long, text string")
     made = docs.select("doc_id", similar.sets(docs["text"]).alias("s")).select("doc_id", "s.*")
     compared = []
     monkeypatch.setattr(similar, "verified", lambda pairs, docs, nodes: compared.append(pairs.count()) or pairs)
