@@ -105,10 +105,9 @@ def _(spark, d):
 
 @register("clause_facts")
 def _(spark, d):
-    tokens, entities = annotated.tokens(spark, d), annotated.entities(spark, d)
-    warmth = extraction.person_warmth(entities, tokens, extraction.canonical_persons(entities))
-    nodes = extraction.token_nodes(tokens, entities)
-    found = clauses.clause_facts(nodes, clauses.warm_persons(clauses.mentions_of(warmth, tokens)))
+    mentions = extraction.with_canon(extraction.entity_mentions(annotated.named(spark, d)).where("kind = 'person'"))
+    context = clauses.leading_persons(clauses.with_quiet(extraction.warmth_of(mentions), annotated.sentences(spark, d)))
+    found = clauses.clause_facts_in(annotated.reader(spark, d, context))
     return found.groupBy("predicate").agg(F.count("*").alias("n"), F.sum(F.size("participants")).alias("n_participants"))
 
 
