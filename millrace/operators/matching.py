@@ -66,15 +66,18 @@ def event_neighbourhood(participants: DataFrame, start: str, depth: int = 2, dam
     """fact_id, dist, score: facts within depth steps over persons; near ones first, then weight * damping ^ dist."""
     usable = participants.where(~F.col("predicate").isin(*skip)).select("fact_id", "node", "type", "weight")
     usable = settle(usable, "neighbourhood-parts")  # each step reads them, and they may be dear to make
-    reached = usable.sparkSession.createDataFrame([(start, 0)], "node string, dist int")
+    # what is reached is written too, so that its size is known: a small step is sent to the participants, and none of them moves
+    reached = settle(usable.sparkSession.createDataFrame([(start, 0)], "node string, dist int"), "neighbourhood-nodes")
     found = None
     for dist in range(depth + 1):
         frontier = reached.where(F.col("dist") == dist)
-        facts = usable.join(frontier.select("node"), "node", "left_semi").select("fact_id", "weight").distinct().withColumn("dist", F.lit(dist))
+        facts = usable.join(frontier.select("node"), "node", "left_semi").select("fact_id", "weight").distinct()
+        facts = settle(facts, "neighbourhood-facts").withColumn("dist", F.lit(dist))
         found = facts if found is None else found.unionByName(facts)
         if dist < depth:
             near = usable.where("type = 'person'").join(facts.select("fact_id"), "fact_id", "left_semi").select("node").distinct()
-            reached = reached.unionByName(near.join(reached.select("node").distinct(), "node", "left_anti").withColumn("dist", F.lit(dist + 1)))
+            fresh = settle(near.join(reached.select("node").distinct(), "node", "left_anti").withColumn("dist", F.lit(dist + 1)), "neighbourhood-nodes")
+            reached = reached.unionByName(fresh)
     nearest = found.groupBy("fact_id", "weight").agg(F.min("dist").alias("dist"))
     return nearest.select("fact_id", "dist", (F.col("weight") * F.pow(F.lit(damping), F.col("dist"))).alias("score"))
 
