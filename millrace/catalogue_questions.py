@@ -59,7 +59,8 @@ def _(spark, d):
     inside = lambda i: F.exists("spans", lambda s: (s["start"] <= i) & (i < s["end"]))
     no = F.lit(False)
     tokens = F.transform("w", lambda x, i: F.struct(x.alias("form"), x.alias("norm"), no.alias("skip"), no.alias("relational"), no.alias("boundary"), (~inside(i)).alias("gone"), no.alias("relative"), F.lit(None).cast("struct<predicate: string, object: string>").alias("sub")))
-    found = words.select("key", questions.split_names(tokens, F.col("spans")).alias("n")).where(F.size("n") > 0)
+    # exploded, as a filter would split each line twice
+    found = words.select("key", F.explode(F.filter(F.array(questions.split_names(tokens, F.col("spans"))), lambda n: F.size(n) > 0)).alias("n"))
     return found.select("key.conv_id", "key.turn", "key.line", F.size("n").cast("bigint").alias("n_names"), F.array_join(F.transform("n", lambda x: x["start"]), ",").alias("starts"))
 
 

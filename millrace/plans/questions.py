@@ -141,7 +141,14 @@ def split_names(tokens: Column, spans: Column) -> Column:
     are not there at all, at a relative one the line ends, and the name before it gives way to sub, a question within
     (struct of predicate and object, may be null). Within a run the longest name from the left is taken; a function word after
     a capitalised name, or a word after a name that is none itself, is part of its title. A relational noun at a run's
-    beginning goes with its first name, and is a name where nothing follows."""
+    beginning goes with its first name, and is a name where nothing follows.
+
+    Tokens and spans are worked out once for a line, not anew for each of its words."""
+    return let(tokens, lambda t: let(spans, lambda s: names_from_left(t, s)))
+
+
+def names_from_left(tokens: Column, spans: Column) -> Column:
+    """What split_names gives, of tokens and spans that are values."""
     nothing = F.lit(None).cast("string")
     none = F.array().cast(f"array<{PART}>")
     part = lambda start, end, text, predicate=nothing, thing=nothing: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), text.alias("text"), nothing.alias("role"), predicate.alias("predicate"), thing.alias("object"))
